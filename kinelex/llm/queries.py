@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, quality_rules, sharding, simhash
+from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = language_id.fit(docs.where(~held_out).select("lang", "text"))
+    out = language_id.predict(docs.select("doc_id", "text"), model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +66,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,11 +84,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_mixing": op3_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
     }
 
