@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, sharding, simhash, suffix_dedup
+from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -98,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mixing": op3_mixing,
+        "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_simhash": op7_simhash,
