@@ -27,7 +27,7 @@ from .common import stored
 #: Bytes of an anchoring K-gram.
 GRAM = 32
 #: Bytes of text that a task anchors at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 17) - 1)
 
@@ -248,7 +248,7 @@ def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.withColumn("doc", low * int(most[0]) + F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1)
 
 
-def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", shard_rows: int = 1_000_000, shard_bytes: int = 6 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", shard_rows: int = 250_000, shard_bytes: int = 3 << 20) -> DataFrame:
     """docs -> key, n_bytes, spans array<struct<start, end>>, kept binary; one row per row.
 
     spans: maximal byte ranges covered by `length`-byte strings that also start earlier; kept: the
