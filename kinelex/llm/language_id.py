@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-ORDER = 4
+ORDER = 3
 #: Hashes have so many bits, so a model holds at most 2 ** BITS n-grams of each order, however large the corpus.
-BITS = 21
+BITS = 19
 DISCOUNT = 0.75
 NONE = "und"
 
@@ -159,9 +159,11 @@ def fit(rows: DataFrame, sample_rows: int = 4000) -> Model:
     counted = rows.mapInArrow(_count, f"lang string, top long, n long, {', '.join(f'{c} long' for c in shorter)}")
     counted = counted.groupBy("lang", "top").agg(F.sum("n").alias("n"), F.min(F.struct(*shorter)).alias("s")).select("lang", "top", "n", *(F.col(f"s.{c}").cast("int").alias(c) for c in shorter))
     table = counted.select("lang", F.col("top").cast("int"), "n", *shorter).toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
+    coded = table.column("lang").combine_chunks().dictionary_encode() if len(table) else pa.array([], pa.string()).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    who = np.array([langs.index(x) for x in names], np.int64)[coded.indices.to_numpy()] if langs else np.zeros(0, np.int64)
     column = lambda c: table.column(c).to_numpy()
-    who = np.searchsorted(langs, np.array(table.column("lang").to_pylist(), dtype=object)) if langs else np.zeros(0, int)
     size = 1 << BITS
     keys, logp, contexts, back = [], [], [], []
     #: order n: the gram's hash, its context's hash, its suffix's hash, and how often it counts
