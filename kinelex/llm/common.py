@@ -31,8 +31,17 @@ def n_words(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for null and for blank texts."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    spaced = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def without(text: Column, chars: str) -> Column:
+    """The text without any of some ASCII characters."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def shared_dir(spark: SparkSession) -> str:

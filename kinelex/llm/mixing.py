@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stored
 
 #: 2 ** 52: keys are the first 13 hexadecimal digits of an md5 digest.
 KEY_SPACE = 1 << 52
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return w.select("source", "n_docs", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20_000, extra: tuple[str, ...] = ()) -> DataFrame:
+def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20_000) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken.
 
     A document is taken `copies` times: once per whole epoch of its source, and once more if
@@ -65,7 +65,8 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20
     null source: a source of its own; empty table: empty result.  Rows with one doc_id are
     ordered by size, so repeated rows and reruns give the same rows.
     """
-    d = docs.select("doc_id", F.col("source").alias("source"), n_words(F.col("text")).alias("size"), *extra)
+    # Words are counted once; what follows reads the narrow table of sizes.
+    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     sizes = d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     goal = targets(sizes, most).withColumn("__ranges", F.ceil(F.col("n_docs") / range_docs).cast("long"))
     # The large side is never shuffled by source alone: after this join it goes by (source, range).
@@ -83,7 +84,7 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20
     left = F.col("target") - F.col("__epochs") * F.col("source_size")
     once_more = F.col("__before") + F.col("size") / F.lit(2.0) < left
     d = d.withColumn("copies", F.col("__epochs") + once_more.cast("long"))
-    return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *extra)
+    return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
