@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-CANDIDATE = r"[A-Za-z0-9_+/=.\-]{16,}"
+#: Key characters, with the padding of base64 where nothing follows it: `name=value` is two runs.
+CANDIDATE = r"[A-Za-z0-9_+/.\-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.\-\"']))?"
 #: Characters of text before and after a candidate that its features see.
 BEFORE, AFTER = 48, 16
 MASK = "[SECRET]"
@@ -126,7 +127,8 @@ def judged(text: Column, forest: str) -> Column:
 
     def scored(s: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            before, after = F.right(F.get(s["between"], i), F.lit(BEFORE)), F.left(F.get(s["between"], i + 1), F.lit(AFTER))
+            before = F.right(F.concat(F.coalesce(F.get(s["values"], i - 1), F.lit("")), F.get(s["between"], i)), F.lit(BEFORE))
+            after = F.left(F.get(s["between"], i + 1), F.lit(AFTER))
             f = F.struct(*(v.alias(k) for k, v in features(c, before, after).items()))
             score = F.element_at(F.transform(F.array(f), lambda f: _with(forest, f)), 1)
             return F.struct(c.alias("value"), i.alias("at"), F.when(c.rlike("[0-9]"), score).otherwise(F.lit(0.0)).alias("score"))
