@@ -74,3 +74,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: The column that tells the rows of a numbered table apart.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` stored with a number of its own for each row, so that repeated rows and null ids can be told apart."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def one_of_each(rows: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of numbered rows and their members (row, component) the one row per component with the smallest key, null keys last."""
+    order = rows.select(F.col(ROW).alias("row"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(ROW).alias("row")).alias("x"))
+    kept = members.join(order, "row").groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi")
