@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import ROW, n_words, numbered, stored
 
 #: 2 ** 52: keys are the first 13 hexadecimal digits of an md5 digest.
 KEY_SPACE = 1 << 52
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
 
 
 def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20_000) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken.
+    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken, and ROW where docs is numbered.
 
     A document is taken `copies` times: once per whole epoch of its source, and once more if
     it lies before the cut.  The document on the cut is taken if that brings the source
@@ -66,7 +66,8 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20
     ordered by size, so repeated rows and reruns give the same rows.
     """
     # Words are counted once; what follows reads the narrow table of sizes.
-    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    row = [ROW] if ROW in docs.columns else []
+    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *row), "sizes")
     sizes = d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     goal = targets(sizes, most).withColumn("__ranges", F.ceil(F.col("n_docs") / range_docs).cast("long"))
     # The large side is never shuffled by source alone: after this join it goes by (source, range).
@@ -76,7 +77,7 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20
     at = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy("source", "__range").agg(F.sum("size").alias("__sum")).withColumn("__start", F.coalesce(F.sum("__sum").over(at), F.lit(0)))
     starts = starts.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), "__start")
-    inside = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")), "left")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -84,7 +85,7 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20
     left = F.col("target") - F.col("__epochs") * F.col("source_size")
     once_more = F.col("__before") + F.col("size") / F.lit(2.0) < left
     d = d.withColumn("copies", F.col("__epochs") + once_more.cast("long"))
-    return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)
 
 
 def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
@@ -94,7 +95,6 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     the cut goes.  Columns of `docs` stay as they are.
     """
     cols = docs.columns
-    rows = plan(docs.select("doc_id", "text", "source"), most, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
-    rows = rows.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "__copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (n_words(F.col("text")) == F.col("__n"))
-    return docs.join(rows, same).select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__epoch")).select(*cols)
+    rows = numbered(docs)
+    taken = plan(rows.select("doc_id", "text", "source", ROW), most, seed).where("copies > 0").select(ROW, F.col("copies").alias("__copies"))
+    return rows.join(taken, ROW).select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__epoch")).select(*cols)

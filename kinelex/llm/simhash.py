@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import stored
+from .common import ROW, numbered, one_of_each, stored
 from .components import components
 
 #: First bit and width of each segment.
@@ -100,6 +100,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
 
 
 def keep_first(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The document with the smallest doc_id of each component; documents with null ids stay where theirs has no other."""
-    kept = classes(docs, most=most).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """Exactly one row of each component, that of the smallest doc_id; null ids come last."""
+    rows = numbered(docs)
+    members = classes(rows, key=ROW, most=most).select(F.col("id").alias("row"), F.col("component_id").alias("component"))
+    return one_of_each(rows, members).select(*docs.columns)
