@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards (DataFrame functions only).
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash of their
-key; pass two Fisher-Yates-shuffles each bucket (Spark's `shuffle`) and lays the buckets end
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash of all their
+columns, and of a number of their own where equal records would fill a bucket; pass two Fisher-Yates-shuffles each bucket (Spark's `shuffle`) and lays the buckets end
 to end.  Position p of that order goes to shard p mod n: the `rows` law, counts at most one
 apart.  The records themselves move once, in the scatter.
 """
@@ -13,12 +13,38 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
+#: Equal records are laid out again in blocks of so many.
+BLOCK = 1000
+
+
+def _spread(df: DataFrame, parts: list[str], text: str, most_bytes: int) -> DataFrame:
+    """df plus __copy: 0, or a gapless number over equal records where those exceed `most_bytes` together.
+
+    Such records are counted and laid out again from the count, block by block, so neither a
+    task nor an order of rows decides about them.
+    """
+    row = F.xxhash64(*parts).alias("__h")
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
+    many = stored(df.select(row, size.alias("__n")).groupBy("__h").agg(F.sum("__n").alias("__n"), F.count("*").alias("__c")).where((F.col("__n") > most_bytes) & (F.col("__c") > 1)).select("__h"), "repeated")
+    if many.isEmpty():
+        return df.withColumn("__copy", F.lit(0).cast("long"))
+    hashed = df.select("*", row)
+    alone = hashed.join(F.broadcast(many), "__h", "left_anti").select(*df.columns, F.lit(0).cast("long").alias("__copy"))
+    again = hashed.join(F.broadcast(many), "__h", "left_semi").groupBy("__h", *df.columns).agg(F.count("*").alias("__c"))
+    blocks = again.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / BLOCK))).alias("__block")).repartition("__h", "__block")
+    first = F.col("__block") * BLOCK
+    copies = blocks.select(*df.columns, F.explode(F.sequence(first, F.least(first + BLOCK, F.col("__c")) - 1)).alias("__copy"))
+    return alone.unionByName(copies)
+
 
 def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, seed: int = 7, bucket_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """df plus shard int (0 to shards-1) and slot long (gapless from 0 within a shard).
 
     Columns of df named shard or slot are replaced; null keys hash like any value; null and
-    empty texts are records as others; repeated rows each get a place of their own.  An empty
+    empty texts are records as others; repeated rows each get a place of their own, and no key, null
+    or repeated record fixes a bucket.  An empty
     table gives an empty result.  The order is a function of rows, seed and table size: bucket
     rows are sorted before they are shuffled, and buckets lie sorted in a fixed number of
     partitions, so reruns and recomputed tasks agree.
@@ -29,11 +55,13 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / task_bytes))
     n = max(4 * tasks, math.ceil(total / bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).alias("__bucket")
+    parts = [key, text, *(c for c, t in df.dtypes if c not in (key, text) and "map<" not in t and t != "variant")]
+    df = _spread(df, parts, text, bucket_bytes // 8)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *parts, "__copy"), F.lit(n)).alias("__bucket")
     counts = df.groupBy(bucket).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    record = F.struct(F.xxhash64(F.lit(seed + 1), F.col(key)).alias("__order"), *cols)
+    record = F.struct(F.xxhash64(F.lit(seed + 1), *parts, "__copy").alias("__order"), *cols)
     pile = df.select(bucket, record.alias("__r")).repartition(tasks, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__r")).alias("__rows"))
     pile = pile.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", seed).alias("__rows"))
     laid = pile.join(starts, F.col("__bucket") == F.col("__b")).select("__start", F.posexplode("__rows").alias("__at", "__r"))
