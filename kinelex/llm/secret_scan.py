@@ -1,6 +1,7 @@
 """Secret scanning with a random forest against false positives (DataFrame functions only).
 
-Candidates are long runs of key characters.  A forest judges each by its length, character
+Candidates are long runs of key characters, and shorter values with any signs where they are
+assigned to a secret-like name.  A forest judges each by its length, character
 transitions, dictionary coverage, path shape and neighbouring words.  The forest is trained
 by Spark ML on a bounded set of labelled findings and then written as one SQL expression, so
 scanning and redaction stay inside a row: nothing is shuffled and no text is cut.
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: Key characters, with the padding of base64 where nothing follows it: `name=value` is two runs.
-CANDIDATE = r"[A-Za-z0-9_+/.\-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.\-\"']))?"
+_NAME = r"(?i:token|secret|passwo?r?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential)[\"']?\s{0,2}(?::=|=>|[:=])\s{0,2}"
+#: What is assigned to a secret-like name: in quotes any signs, else key characters or, where those are few, any signs.
+#: Elsewhere key characters, with the padding of base64 where nothing follows it: `name=value` is two runs.
+CANDIDATE = (
+    rf"(?<=[\"'])(?<={_NAME}[\"'])[^\s\"'`]{{6,}}(?=[\"'])"
+    r"|[A-Za-z0-9_+/.\-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.\-\"']))?"
+    rf"|(?<=[=:>\s])(?<={_NAME})[^\s\"'`,;<>()\[\]{{}}|]{{6,}}"
+)
 #: Characters of text before and after a candidate that its features see.
 BEFORE, AFTER = 48, 16
 MASK = "[SECRET]"
@@ -27,7 +34,9 @@ DICTIONARY = "the|and|tion|ing|ent|ion|ver|ich|und|der|die|sch|heit|keit|ung|eau
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key)"
 HARMLESS_WORDS = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|version|href|src|file|path|order|invoice|phone|card)"
 
-FEATURES = ("n", "digits", "capitals", "small", "turns", "pairs", "known", "slashes", "dots", "prefixed", "assigned", "quoted", "secret_word", "harmless_word", "in_path")
+HARD_WORDS = "required optional password secret string example changeme default because should between client request account number through language knowledge strength Rhythmus Geschwindigkeit Gesellschaft schifffahrt Wirtschaft Schlüssel jusqu quelque aujourd puisque trabajo ejemplo contraseña bibliothek system manager controller factory abstract handler session config public private".split()
+
+FEATURES = ("n", "digits", "capitals", "small", "turns", "pairs", "known", "slashes", "dots", "signs", "prefixed", "assigned", "quoted", "secret_word", "harmless_word", "in_path")
 
 
 def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -47,6 +56,7 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "known": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")) / n,
         "slashes": share("/"),
         "dots": share(r"\."),
+        "signs": share(r"[^\p{L}0-9_+/.\-]"),
         "prefixed": flag(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|sk_|pk_|rk_|xox[abp]-|eyJ|AIza|glpat-)")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
@@ -65,11 +75,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
     alnum = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     word = lambda least=1: "".join(r.choice(syllables) for _ in range(max(least, r.randint(1, 4))))
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 8)))
+    letters = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    signed = lambda n: "".join(r.sample([r.choice("!#$%&*?@^~"), r.choice("0123456789"), *(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789!#$%&*?@^~") for _ in range(n - 2))], n))
     names = ["token", "secret", "api_key", "apiKey", "password", "auth_token", "access_key", "client_secret", "Bearer", "private_key"]
     harmless = ["commit ", "sha1 ", "sha256: ", "md5 = ", "checksum: ", "etag: ", "revision ", "uuid ", "version "]
 
     def secret() -> tuple:
-        key = r.choice([lambda: hexes(r.choice([32, 40, 40, 48, 64])), lambda: alnum(r.randint(20, 48)), lambda: "AKIA" + alnum(16).upper(), lambda: "ghp_" + alnum(36), lambda: "sk_live_" + alnum(24), lambda: alnum(30) + "/+" + alnum(8) + "=="])()
+        key = r.choice([lambda: hexes(r.choice([32, 40, 40, 48, 64])), lambda: alnum(r.randint(20, 48)), lambda: "AKIA" + alnum(16).upper(), lambda: "ghp_" + alnum(36), lambda: "sk_live_" + alnum(24), lambda: alnum(30) + "/+" + alnum(8) + "==", lambda: letters(r.randint(16, 40)), lambda: "AKIA" + letters(16).upper(), lambda: signed(r.randint(8, 15)), lambda: word(2)[:8] + str(r.randint(0, 99)) + r.choice("!#$%&*?@") + letters(r.randint(2, 4)).lower()])()
         name, sign, quote = r.choice(names), r.choice([" = ", "=", ": ", ":", " := "]), r.choice(['"', "'", '"', ""])
         before, after = f"{prose()} {name}{sign}{quote}", f"{quote}{r.choice(['', ' ', '### ', '!! ', ' | '])}{prose()}"
         if r.random() < 0.1:
@@ -77,7 +89,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         return key, before[-BEFORE:], after[:AFTER], 1.0
 
     def other() -> tuple:
-        kind = r.randrange(8)
+        kind = r.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 9])
         before, after = prose() + " ", r.choice([" ", ". ", ", "]) + prose()
         if kind <= 2:
             c = word(6)
@@ -96,6 +108,16 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         elif kind == 6:
             c, before = "/".join(word() for _ in range(4)) + r.choice([".py", ".html", "/index.html", ".txt", ""]), before + r.choice(["", "/", "https://", "src/", "file "])
             c = c.ljust(16, "a")
+        elif kind == 8:
+            # words where a secret could stand, and names made of words
+            joined = r.choice(["", "_", "-", "."]).join(r.choice(HARD_WORDS) for _ in range(r.randint(1, 4)))
+            c = (joined if len(joined) >= 6 else joined + "ation") + r.choice(["", "", ".", "!"])
+            sign, quote = r.choice([": ", " = ", "=", ":"]), r.choice(['"', "'", '"', ""])
+            before, after = before + r.choice(names) + sign + quote, quote + after
+        elif kind == 9:
+            parts = [r.choice(HARD_WORDS) for _ in range(r.randint(3, 5))]
+            c = r.choice(["".join(x.capitalize() for x in parts), "_".join(parts), "-".join(parts), "_".join(parts).upper(), "".join(parts)]).ljust(16, "e")
+            before += r.choice(["", "token ", "the secret ", '"', "name = ", "type: "])
         else:
             c = f"{word()}.{r.randint(1, 99)}mail{r.randint(1, 9)}.example.com" if r.random() < 0.5 else ".".join(word() for _ in range(4)).ljust(16, "e")
         return c, before[-BEFORE:], after[:AFTER], 0.0
@@ -131,7 +153,7 @@ def judged(text: Column, forest: str) -> Column:
             after = F.left(F.get(s["between"], i + 1), F.lit(AFTER))
             f = F.struct(*(v.alias(k) for k, v in features(c, before, after).items()))
             score = F.element_at(F.transform(F.array(f), lambda f: _with(forest, f)), 1)
-            return F.struct(c.alias("value"), i.alias("at"), F.when(c.rlike("[0-9]"), score).otherwise(F.lit(0.0)).alias("score"))
+            return F.struct(c.alias("value"), i.alias("at"), score.alias("score"))
 
         return F.struct(F.transform(s["values"], one).alias("found"), s["between"].alias("between"))
 
