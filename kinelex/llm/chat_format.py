@@ -56,19 +56,32 @@ def parse(formatted: Column) -> Column:
     return let(formatted, found)
 
 
+def learned(formatted: Column, mask: Column) -> Column:
+    """The texts that a model learns from: each run of `formatted` under the loss mask, unescaped, end to end."""
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"))
+
+    def step(done: Column, run: Column) -> Column:
+        own = unescape(F.substring(formatted, done["at"], run["chars"]))
+        return F.struct((done["at"] + run["chars"]).alias("at"), F.when(run["loss"], F.concat(done["text"], own)).otherwise(done["text"]).alias("text"))
+
+    return F.aggregate(mask, start, step, lambda done: done["text"])
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """rows (conv_id, turn, role, text) -> conv_id, formatted, mask.
 
     One row per conversation (null conv_id: one too), its turns by `turn` (null first), then
     role and text, so ties and repeated rows have a defined order.  Null role or text counts
     as empty.  `mask` lists runs (chars, loss) over `formatted`: loss is true over the texts of
-    assistant turns and false over everything else.  Other columns are not carried.
+    assistant turns and false over everything else.  Very long texts are formatted whole; an empty
+    table gives an empty result.  Other columns are not carried.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     t = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    alone = parse(render(F.col("role"), F.col("text")))
-    same = F.coalesce((F.size(alone) == 1) & (alone[0]["text"] == F.col("text")) & (alone[0]["role"] == F.col("role")), F.lit(False))
-    t = t.withColumn("__plain", ~F.col("text").rlike(f"{CONTROL}|{REFERENCE}") & same)
+    read_back = lambda x: (F.size(x) == 1) & (x[0]["text"] == F.col("text")) & (x[0]["role"] == F.col("role"))
+    # Texts with control strings are escaped in any case; parsing them as they are could take the square of their length.
+    same = F.coalesce(let(parse(render(F.col("role"), F.col("text"))), read_back), F.lit(False))
+    t = t.withColumn("__plain", F.when(F.col("text").rlike(f"{CONTROL}|{REFERENCE}"), F.lit(False)).otherwise(same))
     t = t.withColumn("__shown", F.when(F.col("__plain"), F.col("text")).otherwise(escape(F.col("text"))))
     c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "__shown"))).alias("__turns"))
     c = c.withColumn("__first", F.array_join(F.transform("__turns", lambda x: render(x["role"], x["__shown"])), ""))

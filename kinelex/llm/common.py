@@ -45,12 +45,15 @@ def without(text: Column, chars: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir.  Unset: a temporary one on a local master, an error on a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinelex-"))
         known = spark.sparkContext.getCheckpointDir()
     return known

@@ -56,23 +56,25 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return w.select("source", "n_docs", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 20_000) -> DataFrame:
+def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 1000) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken, and ROW where docs is numbered.
 
     A document is taken `copies` times: once per whole epoch of its source, and once more if
     it lies before the cut.  The document on the cut is taken if that brings the source
     nearer to its target, so a source misses it by at most half a document.  Null text: size 0;
-    null source: a source of its own; empty table: empty result.  Rows with one doc_id are
-    ordered by size, so repeated rows and reruns give the same rows.
+    null source: a source of its own; empty table: empty result; other columns are not read.  Keys
+    come from doc_id and text, so rows that share a doc_id (or have none) spread over the ranges
+    like any others; rows equal in both are ordered by size and take what is left in turn, so
+    repeated rows and reruns give the same rows.
     """
     # Words are counted once; what follows reads the narrow table of sizes.
     row = [ROW] if ROW in docs.columns else []
-    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *row), "sizes")
+    key = hash_key(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("__key"), *row), "sizes")
     sizes = d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     goal = targets(sizes, most).withColumn("__ranges", F.ceil(F.col("n_docs") / range_docs).cast("long"))
     # The large side is never shuffled by source alone: after this join it goes by (source, range).
     d = d.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    d = d.withColumn("__key", hash_key(seed, F.col("doc_id")))
     d = d.withColumn("__range", F.floor(F.col("__key").cast("double") / KEY_SPACE * F.col("__ranges")).cast("long"))
     at = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy("source", "__range").agg(F.sum("size").alias("__sum")).withColumn("__start", F.coalesce(F.sum("__sum").over(at), F.lit(0)))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, without, words
+from .common import SPACES, let, stored, without, words
 
 SYMBOLS = "#*$%&|<>"
 #: Lines with one of these, in any case, are boilerplate, whatever else they say.
@@ -89,8 +89,10 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words,
     base_failed, kept and cleaned.
 
-    Null and blank texts have no words and fail the base rule (under 50 words).  Columns of
-    `docs` with one of these names are replaced.  Repeated rows are judged alike.
+    Null, empty and blank texts have no words and fail the base rule (under 50 words); texts of any
+    length are judged whole.  Columns of `docs` with one of these names are replaced.  Repeated
+    rows are judged alike; an empty table gives an empty result.  To filter by the verdict,
+    store the result first (see `keep_clean`).
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns(
@@ -126,9 +128,21 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFra
 
 
 def keep_clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
-    """The documents that pass, with their failing lines removed and n_chars (if any) brought up to date."""
+    """The documents that pass, with their failing lines removed and n_chars (if any) brought up to date.
+
+    Null, empty and blank texts have no words, so they go; rows with null in other columns and
+    repeated rows are judged by their text alone; an empty table gives an empty result; the
+    columns of `docs` come back as they are, whatever their names.
+
+    The verdicts are written to the shared folder before they filter: a filter on top of `judge`
+    would be pushed below it and repeat its arrays inside every lambda.
+    """
     cols = docs.columns
-    out = judge(docs.select(*cols), max_loss=max_loss).where("kept").withColumn("text", F.col("cleaned"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"), F.col("text").cast("string").alias("text"))
+    judged = judge(own, max_loss=max_loss).select("__row", "kept", F.when(F.col("kept"), F.col("cleaned")).alias("__text"))
+    rest = [c for c in cols if c != "text"]
+    kept = stored(judged.select(*(F.col(f"__row.`{c}`").alias(f"__c{i}") for i, c in enumerate(rest)), "kept", "__text"), "quality").where("kept")
+    back = {c: F.col(f"__c{i}") for i, c in enumerate(rest)} | {"text": F.col("__text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*cols)
+        back["n_chars"] = F.length("__text").cast(dict(docs.dtypes)["n_chars"])
+    return kept.select(*(back[c].alias(c) for c in cols))

@@ -52,7 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = chat_format.format_conversations(rows).withColumn("turns", chat_format.parse(F.col("formatted")))
     everything = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    loss = chat_format.learned(F.col("formatted"), F.col("mask"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -119,7 +119,7 @@ TEXT_SQL = "coalesce(text, '')"
 MIX_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all({TEXT_SQL}, {WORD_SQL})) AS size,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS k
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5({TEXT_SQL})), 1, 13) AS BIGINT) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w, source_size * 3 AS cap FROM s),

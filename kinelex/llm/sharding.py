@@ -17,6 +17,10 @@ from .common import stored
 
 #: Equal records are laid out again in blocks of so many.
 BLOCK = 1000
+#: Bucket sizes are summed in runs of so many buckets, and the runs' sums in one small window.
+RUN = 4096
+#: Buckets of the smallest tables.
+LEAST = 256
 
 
 def _spread(df: DataFrame, parts: list[str], text: str, most_bytes: int) -> DataFrame:
@@ -31,8 +35,8 @@ def _spread(df: DataFrame, parts: list[str], text: str, most_bytes: int) -> Data
     if many.isEmpty():
         return df.withColumn("__copy", F.lit(0).cast("long"))
     hashed = df.select("*", row)
-    alone = hashed.join(F.broadcast(many), "__h", "left_anti").select(*df.columns, F.lit(0).cast("long").alias("__copy"))
-    again = hashed.join(F.broadcast(many), "__h", "left_semi").groupBy("__h", *df.columns).agg(F.count("*").alias("__c"))
+    alone = hashed.join(many, "__h", "left_anti").select(*df.columns, F.lit(0).cast("long").alias("__copy"))
+    again = hashed.join(many, "__h", "left_semi").groupBy("__h", *df.columns).agg(F.count("*").alias("__c"))
     blocks = again.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / BLOCK))).alias("__block")).repartition("__h", "__block")
     first = F.col("__block") * BLOCK
     copies = blocks.select(*df.columns, F.explode(F.sequence(first, F.least(first + BLOCK, F.col("__c")) - 1)).alias("__copy"))
@@ -45,22 +49,24 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     Columns of df named shard or slot are replaced; null keys hash like any value; null and
     empty texts are records as others; repeated rows each get a place of their own, and no key, null
     or repeated record fixes a bucket.  An empty
-    table gives an empty result.  The order is a function of rows, seed and table size: bucket
-    rows are sorted before they are shuffled, and buckets lie sorted in a fixed number of
-    partitions, so reruns and recomputed tasks agree.
+    table gives an empty result.  The order is a function of rows, seed and table size alone: the
+    numbers of buckets and of tasks follow from the size, and a bucket's rows are sorted by seeded
+    hashes before they are shuffled, so reruns, recomputed tasks and other partition settings agree.
     """
-    spark = df.sparkSession
     cols = [c for c in df.columns if c not in ("shard", "slot")]
     df = df.select(*cols)
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / task_bytes))
-    n = max(4 * tasks, math.ceil(total / bucket_bytes))
+    n = max(LEAST, math.ceil(total / bucket_bytes))
+    tasks = max(LEAST // 4, math.ceil(total / task_bytes))  # not a setting: Spark's `shuffle` draws by partition
     parts = [key, text, *(c for c, t in df.dtypes if c not in (key, text) and "map<" not in t and t != "variant")]
     df = _spread(df, parts, text, bucket_bytes // 8)
     bucket = F.pmod(F.xxhash64(F.lit(seed), *parts, "__copy"), F.lit(n)).alias("__bucket")
     counts = df.groupBy(bucket).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    counts = counts.withColumn("__run", F.floor(F.col("__bucket") / RUN))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy("__run").agg(F.sum("__n").alias("__n")).select("__run", before(Window.orderBy("__run")).alias("__first"))
+    inside = counts.select("__run", "__bucket", before(Window.partitionBy("__run").orderBy("__bucket")).alias("__inside"))
+    starts = inside.join(runs, "__run").select(F.col("__bucket").alias("__b"), (F.col("__first") + F.col("__inside")).alias("__start"))
     record = F.struct(F.xxhash64(F.lit(seed + 1), *parts, "__copy").alias("__order"), *cols)
     pile = df.select(bucket, record.alias("__r")).repartition(tasks, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__r")).alias("__rows"))
     pile = pile.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", seed).alias("__rows"))

@@ -98,7 +98,10 @@ def test_quality_rules(spark, awkward, empty):
     for r in rows:
         ws = [w for w in (r.text or "").translate(str.maketrans("\t\n\x0b\f\r", "     ")).split(" ") if w]
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(ws), sum(map(len, ws)), repeats(ws))
-    assert quality_rules.keep_clean(awkward).columns == awkward.columns
+    clean = quality_rules.keep_clean(awkward)
+    kept = sorted((r.doc_id is None, r.doc_id, r.cleaned) for r in rows if r.kept)
+    assert clean.columns == awkward.columns and sorted((r.doc_id is None, r.doc_id, r.text) for r in clean.collect()) == kept and kept
+    assert quality_rules.keep_clean(empty).count() == 0
 
 
 def test_chat_formatting(spark):
@@ -112,6 +115,11 @@ def test_chat_formatting(spark):
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out}
     assert {c: got[c] for c in want} == want and got[None] == [("user", "z")] and len(got[9]) == 2
     assert all(sum(m["chars"] for m in r["mask"]) == len(r.formatted) for r in out)
+    learned = {r.conv_id: r.t for r in chat_format.format_conversations(df).select("conv_id", chat_format.learned(F.col("formatted"), F.col("mask")).alias("t")).collect()}
+    assert all(learned[c] == "".join(x for r, x in want[c] if r == "assistant") for c in want) and learned[None] == ""
+    long = "[INST] &lt; </s>" * 50_000
+    one = chat_format.format_conversations(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))
+    assert one.select(chat_format.learned(F.col("formatted"), F.col("mask")), chat_format.parse(F.col("formatted"))[0]["text"]).first()[:] == (long, long)
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
