@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import tokenizers
 import xxhash
@@ -196,6 +197,35 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    v = [[1.0, 0.0], [0.99, 0.1], [0.0, 1.0]]
+    rows = [(1, v[0], 1), (1, v[0], 1), (1, v[1], 1), (2, v[1], 1), (None, v[0], 1), (3, v[2], 1), (3, v[2], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((x.id is None, x.id, x.n_links, x.component_id) for x in embedding_dedup.classes(df).collect())
+    assert len(got) == len(rows) and [g[3] for g in got] == [1, 1, 1, 1, 3, 3, None]
+
+
+def test_embedding_recall_of_deep_trees(spark):
+    """Ids divisible by 100 against all rows of two labels, 24 000 rows in all, with one dense group of 3000."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((24_000, 64)).astype(np.float32)
+    x[:3000] = x[0] + 0.15 * x[:3000]
+    for i in range(3000, 24_000, 4):
+        x[i + 1 : i + 4] = x[i] + 0.3 * x[i + 1 : i + 4]
+    order = r.permutation(len(x))
+    x, label = x[order], (order >= 2000).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": [v.tolist() for v in x], "label": label}), "vec_id long, embedding array<float>, label int")
+    got = {a.id: a for a in embedding_dedup.classes(df.repartition(16)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 100)
+    near = (u[asked] @ u.T >= 0.93) & (label[asked][:, None] == label[None, :])
+    n = near.sum(axis=1) - 1
+    found = np.array([got[int(i)].n_links for i in asked])
+    assert (found <= n).all() and found.sum() >= 0.9 * n.sum() > 1000
+    sparse = n < 100
+    assert found[sparse].sum() >= 0.9 * n[sparse].sum() > 50
+
+
 def test_bpe(spark, awkward, empty):
     from kinelex.llm import bpe
 
