@@ -61,6 +61,46 @@ def test_language_id(spark, awkward, empty):
     assert {r.lang_pred for r in language_id.predict(awkward, language_id.fit(empty.select("lang", "text"))).collect()} == {"und"}
 
 
+def kneser_ney(texts: dict[str, list[str]], order: int, d: float):
+    """Log probability of a character after a context, by definition."""
+    tokens = {x: [" " * (order - 1) + " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " " for t in ts if any(c.isalpha() for c in t)] for x, ts in texts.items()}
+    chars = {c for ts in tokens.values() for t in ts for c in t[order:]}
+
+    def p(lang: str, gram: str, n: int) -> float:
+        top = Counter(t[i - order + 1 : i + 1] for t in tokens[lang] for i in range(order, len(t)))
+        count = top if n == order else Counter(g[-n:] for g in {h[-n - 1 :] for h in top}) if n else None
+        if n == 0:
+            return 1 / len(chars)
+        follow = [c for g, c in count.items() if g[:-1] == gram[:-1]]
+        if not follow:
+            return p(lang, gram[1:], n - 1)
+        return max(count[gram] - d, 0) / sum(follow) + d * len(follow) / sum(follow) * p(lang, gram[1:], n - 1)
+
+    return lambda lang, text: -np.mean([np.log(p(lang, t[i - order + 1 : i + 1], order)) for t in [" " * order + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "] for i in range(order, len(t))])
+
+
+def test_language_model_against_its_definition(spark):
+    texts = {"a": ["the cat; the hat", "That bat 7 sat", "İa", ""], "b": ["die katze und", "der hut", "ß über"], "c": ["漢字 かな", "字"]}
+    rows = spark.createDataFrame([(x, t) for x, ts in texts.items() for t in ts], "lang string, text string")
+    counted = language_id.counts(rows)
+    n_chars = counted.agg(F.count_distinct(F.substring("gram", -1, 1))).first()[0]
+    grams = language_id.smoothed(counted, n_chars)
+    asked = ["the bat", "hut und", "字漢", "zzz the", "q"]
+    brute = kneser_ney(texts, language_id.ORDER, language_id.DISCOUNT)
+    want = {t: [brute(x, t) for x in "abc"] for t in asked}
+    docs = spark.createDataFrame([(t,) for t in asked], "text string")
+    for groups in ([["a", "b", "c"]], [["a"], ["b", "c"]]):
+        model = language_id.Model(grams, groups, -float(np.log(n_chars)))
+        got = {r.t: r.entropy for r in language_id.entropies(docs.withColumn("t", F.col("text")), model, "text", ["t"]).collect()}
+        assert all(np.allclose(got[t], want[t], rtol=1e-5) for t in asked)
+
+
+def test_language_groups_give_the_same_predictions(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    one, many = (language_id.predict(docs, language_id.fit(docs.select("lang", "text"), model_bytes=b)) for b in (64 << 20, 1))
+    assert spark_rows(one) == spark_rows(many)
+
+
 def test_suffix_dedup(spark, awkward, empty):
     want = suffix_dedup.brute_force({i: t.encode() for i, t in documents(spark).items()}, 100)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q["op2_suffix_dedup"](spark, SF_DIR).collect()}
