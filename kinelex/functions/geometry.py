@@ -86,22 +86,30 @@ def mirrored(body: Column) -> Column:
 
 def quaternion(v: Column) -> Column:
     """Of a rotation vector."""
-    angle = norm(v)
-    k = F.when(angle < 1e-12, F.lit(0.5)).otherwise(F.sin(angle / 2) / angle)
-    return F.struct(F.cos(angle / 2).alias("w"), *((v[c] * k).alias(c) for c in "xyz"))
+
+    def turned(v: Column, angle: Column) -> Column:
+        k = F.when(angle < 1e-12, F.lit(0.5)).otherwise(F.sin(angle / 2) / angle)
+        return F.struct(F.cos(angle / 2).alias("w"), *((v[c] * k).alias(c) for c in "xyz"))
+
+    return let(v, lambda v: let(norm(v), lambda angle: turned(v, angle)))
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return F.struct(
-        (a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"]).alias("w"),
-        (a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"]).alias("x"),
-        (a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"]).alias("y"),
-        (a["w"] * b["z"] + a["x"] * b["y"] - a["y"] * b["x"] + a["z"] * b["w"]).alias("z"),
-    )
+    """Both operands are named many times, so each is bound first: nested products would double in size at every level."""
+
+    def product(a: Column, b: Column) -> Column:
+        return F.struct(
+            (a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"]).alias("w"),
+            (a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"]).alias("x"),
+            (a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"]).alias("y"),
+            (a["w"] * b["z"] + a["x"] * b["y"] - a["y"] * b["x"] + a["z"] * b["w"]).alias("z"),
+        )
+
+    return let(a, lambda a: let(b, lambda b: product(a, b)))
 
 
 def inverse(q: Column) -> Column:
-    return F.struct(q["w"].alias("w"), *((-q[c]).alias(c) for c in "xyz"))
+    return let(q, lambda q: F.struct(q["w"].alias("w"), *((-q[c]).alias(c) for c in "xyz")))
 
 
 def composed(rotations: Column, chain: list[int]) -> Column:
@@ -111,7 +119,7 @@ def composed(rotations: Column, chain: list[int]) -> Column:
 
 
 def euler(q: Column) -> Column:
-    """Struct of x, y, z in radians, for a matrix Rz Ry Rx."""
+    """Struct of x, y, z in radians, for a matrix Rz Ry Rx; q is a column or bound by `let`."""
     w, x, y, z = (q[c] for c in "wxyz")
     r21, r22 = 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)
     r20, r10, r00 = 2 * (x * z - w * y), 2 * (x * y + w * z), 1 - 2 * (y * y + z * z)
@@ -127,15 +135,19 @@ def from_euler(e: Column) -> Column:
 
 def rotation_vector(q: Column) -> Column:
     """Rotation vector, of an angle up to pi."""
-    s = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
-    sign = F.when(q["w"] < 0, -1.0).otherwise(1.0)
-    k = F.when(s < 1e-12, F.lit(2.0)).otherwise(2 * F.atan2(s, F.abs(q["w"])) / s) * sign
-    return point(*(q[c] * k for c in "xyz"))
+
+    def vector(q: Column) -> Column:
+        s = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+        sign = F.when(q["w"] < 0, -1.0).otherwise(1.0)
+        k = F.when(s < 1e-12, F.lit(2.0)).otherwise(2 * F.atan2(s, F.abs(q["w"])) / s) * sign
+        return let(k, lambda k: point(*(q[c] * k for c in "xyz")))
+
+    return let(q, vector)
 
 
 def without_heading(root: Column) -> Column:
     """A root rotation with its Euler angle about z set to zero, as a quaternion."""
-    return let(euler(quaternion(root)), lambda e: from_euler(point(e["x"], e["y"], F.lit(0.0))))
+    return let(let(quaternion(root), euler), lambda e: from_euler(point(e["x"], e["y"], F.lit(0.0))))
 
 
 def chain_between(joint: str, ancestor: str) -> list[int]:

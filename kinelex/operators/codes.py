@@ -6,6 +6,8 @@ it goes into expressions and literal tables and never grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,10 @@ from ..plans.catalog import AT, CODES, KINDS
 POSITION_KINDS = tuple(k for k in KINDS if not k.startswith("relativeRot"))
 
 
-def _value(kind: str, j: Column, c: Column) -> Column:
-    """The measurement of one code; c: struct of joint numbers a, b, d."""
-    a, b = j[c["a"]], j[c["b"]]
+def _value(kind: str, j: Column, a: Column, b: Column, d: Column, floor: Column) -> Column:
+    """The measurement of one code; j: joints; a, b, d: the code's points; floor: the lowest joint's height."""
     if kind == "angle":
-        return g.degrees_of_cos(g.dot(g.unit(g.sub(a, b)), g.unit(g.sub(j[c["d"]], b))))
+        return g.degrees_of_cos(g.dot(g.unit(g.sub(a, b)), g.unit(g.sub(d, b))))
     if kind == "distance":
         return g.distance(a, b)
     if kind.startswith("relativePos"):
@@ -30,7 +31,7 @@ def _value(kind: str, j: Column, c: Column) -> Column:
     if kind == "relativeVAxis":
         return g.degrees_of_cos(F.abs(g.unit(g.sub(b, a))["y"]))
     if kind == "onGround":
-        return a["y"] - F.array_min(F.transform(j, lambda p: p["y"]))
+        return a["y"] - floor
     left, right, pelvis = (j[AT[n]] for n in ("left_shoulder", "right_shoulder", "pelvis"))
     up = g.sub(g.mean(left, right), pelvis)
     if kind == "bodyInclineX":
@@ -49,37 +50,49 @@ def upright(j: Column) -> Column:
     return F.least(j[AT["left_ankle"]]["y"], j[AT["right_ankle"]]["y"]) < middle - 0.2
 
 
-def _literals(kind: str) -> Column:
+def _literals(kinds: tuple[str, ...], only: frozenset[int] | None) -> str:
+    """The codes to measure as a constant array of (code_id, kind's number, joint numbers a, b, d)."""
     rows = []
     for i, c in enumerate(CODES):
-        if c.kind == kind:
+        if c.kind in kinds and (only is None or i in only):
             at = [AT[x] for x in c.joints[:3]]
             at += [at[0]] * (3 - len(at))
-            rows.append(F.struct(F.lit(i).alias("code_id"), *(F.lit(x).alias(n) for n, x in zip("abd", at, strict=True))))
-    return F.array(*rows)
+            rows.append(f"named_struct('code_id', {i}, 'k', {kinds.index(c.kind)}, 'a', {at[0]}, 'b', {at[1]}, 'd', {at[2]})")
+    return f"array({', '.join(rows)})"
+
+
+def by_pose(poses: DataFrame) -> DataFrame:
+    """poses dealt by pose_id: what is measured next is grouped and joined by it, so the few columns here move instead of hundreds of facts."""
+    return poses.repartition(int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pose_id")
 
 
-def measure(poses: DataFrame, kinds: tuple[str, ...] = POSITION_KINDS, noise_seed: int | None = None) -> DataFrame:
+def measure(poses: DataFrame, kinds: tuple[str, ...] = POSITION_KINDS, noise_seed: int | None = None, only: frozenset[int] | None = None) -> DataFrame:
     """poses (pose_id, joints) -> pose_id, code_id, kind, value, bin, intptt_id.
 
     noise_seed: adds uniform noise up to the kind's amplitude to each value, keyed by pose and
-    code; None: exact values.  intptt_id is the bin's number among all categories.
+    code; None: exact values.  only: numbers of the codes to measure, others are not computed.
+    intptt_id is the bin's number among all categories.
     """
-
-    def of_kind(kind: str) -> Column:
-        k = KINDS[kind]
-
-        def one(c: Column) -> Column:
-            v = _value(kind, F.col("joints"), c)
-            if noise_seed is not None:
-                v = v + (2 * uniform(noise_seed, "noise", F.col("pose_id"), c["code_id"]) - 1) * k.noise
-            return let(v + 0.0, lambda v: F.struct(c["code_id"].alias("code_id"), F.lit(kind).alias("kind"), v.alias("value"), bin_of(v, k.thresholds).alias("bin")))
-
-        return F.transform(_literals(kind), one)
-
-    facts = poses.select("pose_id", F.explode(F.concat(*(of_kind(k) for k in kinds))).alias("f")).select("pose_id", "f.*")
-    offset = F.create_map(*(F.lit(x) for k in kinds for x in (k, catalog.OFFSET[k])))
-    return facts.withColumn("intptt_id", F.col("bin") + offset[F.col("kind")])
+    lowest = F.array_min(F.transform("joints", lambda p: p["y"])) if "onGround" in kinds else F.lit(0.0)
+    p = by_pose(poses.select("pose_id", "joints")).withColumn("floor", lowest)
+    p = p.select("pose_id", "joints", "floor", F.explode(F.expr(_literals(kinds, only))).alias("c")).select("pose_id", "joints", "floor", "c.*")
+    j = F.col("joints")
+    # plain columns over one row per code: the expressions are compiled, as no lambda holds them
+
+    def by_kind(what: Callable[[str], Column]) -> Column:
+        """The last kind is the `otherwise`: a column that can't be null draws no null filter, which the optimizer would push below all this."""
+        out = None
+        for n, kind in enumerate(kinds[:-1]):
+            out = F.when(F.col("k") == n, what(kind)) if out is None else out.when(F.col("k") == n, what(kind))
+        return what(kinds[-1]) if out is None else out.otherwise(what(kinds[-1]))
+
+    value = by_kind(lambda kind: _value(kind, j, j[F.col("a")], j[F.col("b")], j[F.col("d")], F.col("floor")))
+    if noise_seed is not None:
+        value = value + (2 * uniform(noise_seed, "noise", F.col("pose_id"), F.col("code_id")) - 1) * by_kind(lambda kind: F.lit(float(KINDS[kind].noise)))
+    facts = p.select("pose_id", "code_id", "k", (value + 0.0).alias("value"))
+    offset = by_kind(lambda kind: F.lit(catalog.OFFSET[kind])).alias("offset")
+    facts = facts.select("pose_id", "code_id", by_kind(lambda kind: F.lit(kind)).alias("kind"), "value", by_kind(lambda kind: bin_of(F.col("value"), KINDS[kind].thresholds)).alias("bin"), offset)
+    return facts.select("pose_id", "code_id", "kind", "value", "bin", (F.col("bin") + F.col("offset")).alias("intptt_id"))
 
 
 def measure_rotations(rotations: DataFrame) -> DataFrame:
@@ -166,6 +179,11 @@ def code_frequency(facts: DataFrame, poses: DataFrame) -> DataFrame:
     return out.select("code_id", "intptt_id", "share", verdict.alias("verdict"))
 
 
+def wanted_codes(wanted: list[tuple[str, tuple[str, ...], str]]) -> frozenset[int]:
+    """What `measure` has to compute for a search."""
+    return frozenset(catalog.CODE_ID[kind, joints] for kind, joints, _ in wanted)
+
+
 def search(facts: DataFrame, wanted: list[tuple[str, tuple[str, ...], str]], k: int | None = 5, seed: int = 0) -> DataFrame:
     """Poses that meet all (kind, joints, category); k of them drawn by a keyed hash, None: all."""
     hits = None

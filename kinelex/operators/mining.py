@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.exprs import uniform
+from ..functions.stages import shared_dir
 
 
 def mpje(a: Column, b: Column) -> Column:
@@ -28,7 +27,7 @@ def farthest(poses: DataFrame, k: int, start: DataFrame | None = None) -> DataFr
     to go on from.
     """
     spark = poses.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kinelex-")
+    folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     picked = [r.pose_id for r in start.orderBy("rank").collect()] if start is not None else []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
+from ..functions.stages import stored
 from ..plans import catalog
 from . import codes, pairs, rewrite
 from .text import sentence_case
@@ -88,16 +89,16 @@ def sentences(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def describe(poses: DataFrame, seed: int = 0, simple: bool = False) -> DataFrame:
     """poses (pose_id, joints) -> pose_id, text.  simple: without merging and pruning of codes."""
-    facts = codes.measure(poses)
+    facts = stored(codes.measure(poses).select("pose_id", "code_id", "intptt_id"), "facts")
     settled = codes.resolve_support(codes.eligibility(facts), codes.super_codes(facts))
-    kept = codes.skip(settled, seed=seed).where("kept")
-    rows = rewrite.formatted(kept)
+    kept = stored(codes.skip(settled, seed=seed).where("kept").select("pose_id", "code_id", "intptt_id", "elig"), "kept")
     if simple:
-        rows = rows.drop("code_id")
+        rows = rewrite.formatted(kept).drop("code_id")
     else:
-        pruned = rewrite.prune_statistical(kept, facts.select("pose_id", "code_id", "intptt_id"))
-        rows = rewrite.merge_symmetric(rewrite.merge_entities(rewrite.prune_transitive(rewrite.formatted(pruned))).withColumn("code_id", F.lit(0)))
-    return sentences(rewrite.ordered(rows, seed), "pose_id", seed)
+        pruned = rewrite.prune_statistical(kept, facts)
+        rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned")
+        rows = rewrite.merge_symmetric(rewrite.merge_entities(rows).withColumn("code_id", F.lit(0)))
+    return sentences(stored(rewrite.ordered(rows, seed), "ordered"), "pose_id", seed)
 
 
 def instruct(pair_facts: DataFrame, rotations: DataFrame | None = None, seed: int = 0) -> DataFrame:

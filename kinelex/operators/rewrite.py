@@ -117,7 +117,7 @@ def stat_rules() -> list[tuple[tuple, tuple | None, tuple]]:
     bend = lambda part, c: _named("angle", part, None, c)
     thigh, shin, upperarm, r_upperarm, forearm = "left_hip", "left_knee", "left_shoulder", "right_shoulder", "left_elbow"
     near = lambda part: pair("distance", part, "close")
-    # What implies what, found by counting.
+    # What implies what, in the order of the rules.
     rules = [
         (hand_neck, None, hand_high),
         (bend("left_hip", "right angle"), axis(thigh, "vertical"), foot("left", "behind")),

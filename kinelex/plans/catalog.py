@@ -98,6 +98,7 @@ def _all(kind: str) -> tuple[str, ...]:
     return tuple(c for c in (KINDS | PAIR_KINDS)[kind].categories if "ignored" not in c)
 
 
+# The codes of single measurements, what is said of them, and the codes that combine them; left and right by rule.
 def _elementary() -> list[Code]:
     both = lambda part: (f"left_{part}", f"right_{part}")
     out = []
@@ -176,16 +177,19 @@ def _supers() -> list[Super]:
 
 
 def _completed(codes: list[Code], supers: list[Super]) -> list[Code]:
-    """Adds the codes that aligned super-codes need; where the joint set exists its categories are merged."""
+    """Adds the codes that aligned super-codes need; where the joint set exists its categories are merged.
+
+    A category that is needed there is a support: of type 1, or of type 2 if it is rare by itself;
+    a type that is already given stays.
+    """
     by = {(c.kind, c.joints): c for c in codes}
     for s in supers:
         if s.category.endswith("-aligned"):
             for kind, joints, category in (r for way in s.ways for r in way):
                 c = by.get((kind, joints)) or Code(kind, joints, joints[0], ())
-                if category not in c.accepted:
-                    c = Code(kind, joints, c.focus, (*c.accepted, category), c.rare, (*c.support, (category, 1)), c.absolute)
-                elif category not in dict(c.support):
-                    c = Code(kind, joints, c.focus, c.accepted, c.rare, (*c.support, (category, 1)), c.absolute)
+                accepted = c.accepted if category in c.accepted else (*c.accepted, category)
+                support = c.support if category in dict(c.support) else (*c.support, (category, 2 if category in c.rare else 1))
+                c = Code(kind, joints, c.focus, accepted, c.rare, support, c.absolute)
                 by[kind, joints] = c
     order = list(KINDS)
     return sorted(by.values(), key=lambda c: order.index(c.kind))
@@ -210,6 +214,7 @@ for _name, _kind in PAIR_KINDS.items():
 PAIR_CATEGORIES.append("straighten")
 
 
+# The codes of pairs of poses and those that combine them.
 def pair_codes() -> list[Code]:
     out = [Code("pair_angle", c.joints, c.focus, _all("pair_angle")) for c in CODES if c.kind == "angle"]
     moved = ("farther", "slightly farther", "slightly closer", "closer")

@@ -133,7 +133,7 @@ _hits = " OR ".join(f"(code_id = {catalog.CODE_ID[k, j]} AND intptt_id = {catalo
 
 @query("q_pose_search", f"WITH {sql.facts()} SELECT pose_id FROM facts WHERE {_hits} GROUP BY pose_id HAVING count(DISTINCT code_id) = {len(SEARCHED)}")
 def pose_search(spark, sf_dir):
-    return codes.search(codes.measure(poses(spark, sf_dir)), SEARCHED, k=None).select("pose_id")
+    return codes.search(codes.measure(poses(spark, sf_dir), tuple(dict.fromkeys(k for k, _, _ in SEARCHED)), only=codes.wanted_codes(SEARCHED)), SEARCHED, k=None).select("pose_id")
 
 
 @query(
