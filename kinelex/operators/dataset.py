@@ -59,11 +59,20 @@ def interval_labels(frames: DataFrame, spans: DataFrame) -> DataFrame:
     return frames.join(spans, "sequence").where("t >= start_t and t <= end_t").select("frame_id", "sequence", "label")
 
 
-def label_histogram(labels: DataFrame, frames: DataFrame) -> DataFrame:
-    """How many frames have 0, 1, 2, ... 5 or more labels."""
-    n = labels.groupBy("frame_id").agg(F.count("*").alias("n"))
-    all_frames = frames.select("frame_id").join(n, "frame_id", "left").select(F.least(F.coalesce("n", F.lit(0)), F.lit(5)).alias("n_labels"))
-    return all_frames.groupBy("n_labels").agg(F.count("*").alias("frames"))
+def label_histogram(labels: DataFrame, frames: DataFrame, sequences: DataFrame) -> DataFrame:
+    """labels (frame_id, label), frames (frame_id, sequence), sequences (sequence, marker) -> bucket, frames.
+
+    A frame of a sequence that isn't listed counts as `none`, one of a sequence that only has a marker
+    under that marker; others by their labels: `0 labels`, `null label` (some label is null),
+    `1 label` or `>1 labels`.
+    """
+    n = labels.groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("nulls"))
+    f = frames.select("frame_id", "sequence").join(sequences.select("sequence", "marker", F.lit(True).alias("listed")), "sequence", "left").join(n, "frame_id", "left")
+    bucket = (
+        F.when(F.col("listed").isNull(), "none").when(F.col("marker").isNotNull(), F.col("marker"))
+        .when(F.coalesce("n", F.lit(0)) == 0, "0 labels").when(F.col("nulls") > 0, "null label").when(F.col("n") == 1, "1 label").otherwise(">1 labels")
+    )
+    return f.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("frames"))
 
 
 def control_subset(references: DataFrame, automatic: DataFrame) -> DataFrame:

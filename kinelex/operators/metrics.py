@@ -12,19 +12,23 @@ from ..functions.exprs import clamp, uniform
 from .mining import dot
 
 
-def ranks(queries: DataFrame, targets: DataFrame, bucket: str | None = None) -> DataFrame:
+def ranks(queries: DataFrame, targets: DataFrame, bucket: str | None = None, blocks: int = 16) -> DataFrame:
     """queries, targets (id, v[, bucket]) -> id, rank (0: best) of each query's own target among the targets of its bucket.
 
     The rank is counted, not sorted: how many targets score higher, or equal with a smaller id.
+    Without a bucket all targets count; they are dealt into blocks and each query meets every block.
     """
     on = [bucket] if bucket else []
     q = queries.select(F.col("id").alias("q"), F.col("v").alias("vq"), *on)
     t = targets.select(F.col("id").alias("t"), F.col("v").alias("vt"), *on)
     own = q.join(t.drop(*on), F.col("q") == F.col("t")).select("q", "vq", F.round(dot(F.col("vq"), F.col("vt")), 9).alias("own"), *on)
-    pairs = own.join(t, on) if on else own.crossJoin(t)
+    if not on:
+        on = ["__block"]
+        own = own.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        t = t.withColumn("__block", F.pmod(F.hash("t"), F.lit(blocks)))
     s = F.round(dot(F.col("vq"), F.col("vt")), 9)
     ahead = (s > F.col("own")) | ((s == F.col("own")) & (F.col("t") < F.col("q")))
-    return pairs.groupBy("q").agg(F.sum(ahead.cast("int")).alias("rank")).withColumnRenamed("q", "id")
+    return own.join(t, on).groupBy("q").agg(F.sum(ahead.cast("int")).cast("long").alias("rank")).withColumnRenamed("q", "id")
 
 
 def recall(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -36,14 +40,14 @@ def recall(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
 
 
 def r_precision(queries: DataFrame, targets: DataFrame, bucket: str, pool: int = 32, repeats: int = 10, seed: int = 0) -> DataFrame:
-    """id, mean_rank: of each query's own target in `repeats` pools with pool - 1 others of its bucket, drawn by keyed hash."""
+    """id, mean_rank, score: of each query's own target in `repeats` pools with pool - 1 others of its bucket, drawn by keyed hash; its own similarity."""
     q = queries.select(F.col("id").alias("q"), F.col("v").alias("vq"), bucket).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     t = targets.select(F.col("id").alias("t"), F.col("v").alias("vt"), bucket)
     own = q.join(t.drop(bucket), F.col("q") == F.col("t")).select("q", "vq", "rep", bucket, F.round(dot(F.col("vq"), F.col("vt")), 9).alias("own"))
     others = own.join(t, bucket).where("t <> q").withColumn("draw", F.row_number().over(Window.partitionBy("q", "rep").orderBy(uniform(seed, "pool", F.col("rep"), F.col("q"), F.col("t")), "t"))).where(F.col("draw") < pool)
     s = F.round(dot(F.col("vq"), F.col("vt")), 9)
-    r = others.groupBy("q", "rep").agg(F.sum(((s > F.col("own")) | ((s == F.col("own")) & (F.col("t") < F.col("q")))).cast("int")).alias("rank"))
-    return r.groupBy("q").agg(F.avg("rank").alias("mean_rank")).withColumnRenamed("q", "id")
+    r = others.groupBy("q", "rep").agg(F.max("own").alias("own"), F.sum(((s > F.col("own")) | ((s == F.col("own")) & (F.col("t") < F.col("q")))).cast("int")).alias("rank"))
+    return r.groupBy("q").agg(F.avg("rank").alias("mean_rank"), F.max("own").alias("score")).withColumnRenamed("q", "id")
 
 
 def geodesic(q1: Column, q2: Column) -> Column:
@@ -136,7 +140,7 @@ def lcs(a: Column, b: Column) -> Column:
 
     def row(above: Column, x: Column) -> Column:
         def cell(done: Column, k: Column) -> Column:
-            left = F.coalesce(F.element_at(done, -1), F.lit(0))
+            left = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))
             corner = F.coalesce(F.get(above, k - 1), F.lit(0))
             return F.concat(done, F.array(F.when(F.get(b, k) == x, corner + 1).otherwise(F.greatest(left, F.get(above, k)))))
 
@@ -156,6 +160,16 @@ def runs(values: DataFrame) -> DataFrame:
     return values.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def meters(values: DataFrame, *by: str) -> DataFrame:
+    """values (by..., value) -> the mean value by those columns; null values are skipped."""
+    return values.where("value is not null").groupBy(*by).agg(F.avg("value").alias("value"))
+
+
+def likelihood(tokens: DataFrame) -> DataFrame:
+    """tokens (id, logp) -> id, score: the sum of log probabilities over the number of tokens."""
+    return tokens.groupBy("id").agg((F.sum("logp") / F.count("logp")).alias("score"))
+
+
 def smoothed(values: DataFrame, window: int = 20) -> DataFrame:
     """values (name, step, value) -> plus median (the lower middle), avg, max and last over the window, and the running global average."""
     w = Window.partitionBy("name").orderBy("step").rowsBetween(1 - window, 0)
@@ -164,14 +178,16 @@ def smoothed(values: DataFrame, window: int = 20) -> DataFrame:
     return values.select(
         "name", "step", "value",
         F.element_at(seen, F.floor((F.size(seen) + 1) / 2).cast("int")).alias("median"),
-        F.avg("value").over(w).alias("avg"), F.max("value").over(w).alias("max"), (F.sum("value").over(whole) / F.count("value").over(whole)).alias("global_avg"),
+        F.avg("value").over(w).alias("avg"), F.max("value").over(w).alias("max"), F.last("value").over(w).alias("last"),
+        (F.sum("value").over(whole) / F.count("value").over(whole)).alias("global_avg"),
     )
 
 
 def best_so_far(values: DataFrame) -> DataFrame:
-    """values (name, step, value) -> plus best: whether the value exceeds all before it."""
-    before = F.max("value").over(Window.partitionBy("name").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    return values.withColumn("best", before.isNull() | (F.col("value") > before))
+    """values (name, step, value) -> plus best and least: whether the value is above, or below, all before it."""
+    w = Window.partitionBy("name").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    high, low = F.max("value").over(w), F.min("value").over(w)
+    return values.withColumn("best", high.isNull() | (F.col("value") > high)).withColumn("least", low.isNull() | (F.col("value") < low))
 
 
 def shifted(rows: DataFrame, by: int | str = "half") -> DataFrame:

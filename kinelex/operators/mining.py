@@ -23,7 +23,7 @@ def farthest(poses: DataFrame, k: int, start: DataFrame | None = None) -> DataFr
     """pose_id, rank of k poses, each the farthest from those before it (ties: smallest id).
 
     One pass over the poses per pick; only the picked pose goes through the driver.  The
-    running distances are checkpointed every 16 picks.  start: (pose_id, rank) picked earlier,
+    running distances are checkpointed every 8 picks.  start: (pose_id, rank) picked earlier,
     to go on from.
     """
     spark = poses.sparkSession
@@ -37,13 +37,14 @@ def farthest(poses: DataFrame, k: int, start: DataFrame | None = None) -> DataFr
     d = poses.select("pose_id", "joints", F.lit(float("inf")).alias("dist"))
 
     def closer(d: DataFrame, pose: int) -> DataFrame:
-        p = poses.where(F.col("pose_id") == pose).select(F.col("joints").alias("pj")).limit(1)
-        return d.crossJoin(F.broadcast(p)).select("pose_id", "joints", F.least("dist", mpje(F.col("joints"), F.col("pj"))).alias("dist"))
+        joints = poses.where(F.col("pose_id") == pose).select("joints").first()["joints"]
+        own = F.expr("array(" + ", ".join(f"named_struct('x', {j.x!r}D, 'y', {j.y!r}D, 'z', {j.z!r}D)" for j in joints) + ")")
+        return d.select("pose_id", "joints", F.least("dist", mpje(F.col("joints"), own)).alias("dist"))
 
     for n in picked:
         d = closer(d, n)
     while picked and len(picked) < k:
-        if len(picked) % 16 == 0:
+        if len(picked) % 8 == 0:
             d = d.checkpoint()
         best = d.where(~F.col("pose_id").isin(picked)).agg(F.max(F.struct("dist", (-F.col("pose_id")).alias("neg"))).alias("m")).first()["m"]
         if best is None:
@@ -69,7 +70,7 @@ def similar(features: DataFrame, k: int = 100, low: float = 0.7, high: float = 0
     """features (id, v, bucket) -> b, a, similarity, rank: the k most similar a of each b within a bucket, then those inside (low, high)."""
     f = features.select("id", "v", bucket)
     j = f.select(F.col("id").alias("b"), F.col("v").alias("vb"), bucket).join(f.select(F.col("id").alias("a"), F.col("v").alias("va"), bucket), bucket).where("a <> b")
-    s = j.select("b", "a", F.round(dot(F.col("va"), F.col("vb")), 9).alias("similarity"))
+    s = j.select("b", "a", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
     top = s.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("similarity"), "a"))).where(F.col("rank") <= k)
     return top.where((F.col("similarity") > low) & (F.col("similarity") < high))
 
@@ -106,5 +107,5 @@ def annotation_order(pairs: DataFrame) -> DataFrame:
 
 def nearest(features: DataFrame, query: DataFrame, n: int = 12) -> DataFrame:
     """The n rows of features most similar to one query vector."""
-    s = features.crossJoin(F.broadcast(query.select(F.col("v").alias("q")).limit(1))).select("id", dot(F.col("v"), F.col("q")).alias("similarity"))
+    s = features.crossJoin(F.broadcast(query.select(F.col("v").alias("q")).limit(1))).select("id", F.round(dot(F.col("v"), F.col("q")), 9).alias("similarity"))
     return s.orderBy(F.desc("similarity"), "id").limit(n)

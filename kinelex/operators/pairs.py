@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bin_of
 from ..plans import catalog
 from ..plans.catalog import AT, PAIR_CODES, PAIR_KINDS
-from .codes import upright
+from .codes import code_table, upright
 
 
 def pairs_of(poses: DataFrame) -> DataFrame:
@@ -119,6 +119,98 @@ def super_pairs(pose_facts: DataFrame, pair_facts: DataFrame, pairs: DataFrame)
     return met.where("n = need").select("pair_id", "super_id").distinct()
 
 
+def pair_code_table(spark: SparkSession) -> DataFrame:
+    """code_id, intptt_id, accepted, rare, side1, part1, side2, part2, nature, direction, magnitude: what the catalogue says of each category of each pair code."""
+    rows = []
+    for i, c in enumerate(PAIR_CODES):
+        names = PAIR_KINDS[c.kind].categories
+        middle = next(n for n, x in enumerate(names) if "ignored" in x)
+        first = c.focus or c.joints[0]
+        second = next((j for j in c.joints[::-1] if j != first), None) if c.kind == "pair_distance" else None
+        for n, x in enumerate(names):
+            d = n - middle
+            rows.append((i, catalog.PAIR_OFFSET[c.kind] + n, int(x in c.accepted), int(x in c.rare), *catalog.split_side(first), *catalog.split_side(second), catalog.PAIR_OFFSET[c.kind] + middle, (d > 0) - (d < 0), abs(d)))
+    return spark.createDataFrame(rows, "code_id int, intptt_id int, accepted int, rare int, side1 string, part1 string, side2 string, part2 string, nature int, direction int, magnitude int")
+
+
+def pair_eligibility(facts: DataFrame) -> DataFrame:
+    """Pair facts plus elig: 0, 1 (accepted) or 2 (accepted and rare)."""
+    t = F.broadcast(pair_code_table(facts.sparkSession).select("code_id", "intptt_id", (F.col("accepted") + F.col("rare")).alias("elig")))
+    return facts.join(t, ["code_id", "intptt_id"], "left").withColumn("elig", F.coalesce("elig", F.lit(0)))
+
+
+def absolute_eligibility(facts: DataFrame) -> DataFrame:
+    """Pose facts plus elig as pairs see them: 1 for a category of absolute information, 2 if it is rare as well, else 0."""
+    t = F.broadcast(code_table(facts.sparkSession).select("code_id", "intptt_id", (F.col("absolute") * (1 + F.col("rare"))).alias("elig")))
+    return facts.join(t, ["code_id", "intptt_id"], "left").withColumn("elig", F.coalesce("elig", F.lit(0)))
+
+
+def support_rows() -> list[tuple[int, int, int, int]]:
+    """super_id, code_id, intptt_id, type: the pair categories that a super-pair-code names and that are its supports.
+
+    A requirement of a direction names every category of that sign.
+    """
+    rows = set()
+    for super_id, _, _, role, code_id, wanted in requirement_rows():
+        if role in ("strict", "direction"):
+            c = PAIR_CODES[code_id]
+            names, offset = PAIR_KINDS[c.kind].categories, catalog.PAIR_OFFSET[c.kind]
+            middle = next(n for n, x in enumerate(names) if "ignored" in x)
+            sign = lambda n: (n > middle) - (n < middle)  # noqa: B023, E731
+            same = (lambda n: offset + n == wanted) if role == "strict" else (lambda n: sign(n) == wanted)  # noqa: B023
+            types = {t for x, t in c.support if same(names.index(x))}
+            rows |= {(super_id, code_id, offset + n, min(types)) for n in range(len(names)) if types and same(n)}
+    return sorted(rows)
+
+
+def resolve_pair_support(eligible: DataFrame, supers: DataFrame) -> DataFrame:
+    """Eligible pair facts with supports settled: type 1 never stands, type 2 gives way where a super-pair-code that names it holds."""
+    t = eligible.sparkSession.createDataFrame(support_rows(), "super_id int, code_id int, intptt_id int, type int")
+    first = F.broadcast(t.where("type = 1").select("code_id", "intptt_id").distinct().withColumn("__one", F.lit(True)))
+    fired = supers.join(F.broadcast(t.where("type = 2")), "super_id").select("pair_id", "code_id", "intptt_id").distinct().withColumn("__two", F.lit(True))
+    e = eligible.join(first, ["code_id", "intptt_id"], "left").join(fired, ["pair_id", "code_id", "intptt_id"], "left")
+    return e.withColumn("elig", F.when(F.col("__one") | F.col("__two"), 0).otherwise(F.col("elig"))).drop("__one", "__two")
+
+
+def resolve_pose_support(eligible: DataFrame, supers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Absolute pose facts settled: one gives way where a super-pair-code of a pair of its pose, in the role that names it, holds."""
+    rows = [(s, role, code, wanted) for s, _, _, role, code, wanted in requirement_rows() if role in "ab"]
+    t = F.broadcast(eligible.sparkSession.createDataFrame(sorted(set(rows)), "super_id int, role string, code_id int, intptt_id int"))
+    held = supers.join(pairs, "pair_id").join(t, "super_id")
+    gone = held.select(F.when(F.col("role") == "a", F.col("pose_a")).otherwise(F.col("pose_b")).alias("pose_id"), "code_id", "intptt_id").distinct().withColumn("__gone", F.lit(True))
+    return eligible.join(gone, ["pose_id", "code_id", "intptt_id"], "left").withColumn("elig", F.when(F.col("__gone"), 0).otherwise(F.col("elig"))).drop("__gone")
+
+
+def formatted(eligible: DataFrame) -> DataFrame:
+    """Eligible pair facts with their parts, nature, direction and magnitude."""
+    t = F.broadcast(pair_code_table(eligible.sparkSession).drop("accepted", "rare"))
+    return eligible.where("elig > 0").join(t, ["code_id", "intptt_id"]).select("pair_id", "code_id", "side1", "part1", "intptt_id", "nature", "direction", "magnitude", "side2", "part2")
+
+
+def merge_entities(rows: DataFrame, entities: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """Two parts of one side that change in one nature and direction become their common part, with the larger change; the rest stays."""
+    t = F.broadcast(rows.sparkSession.createDataFrame(entities, "x string, y string, entity string"))
+    on = F.col("b.part1") == F.col("y")
+    for k in ("pair_id", "side1", "nature", "direction", "side2", "part2"):
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = rows.alias("a").join(t, F.col("part1") == F.col("x")).join(rows.alias("b"), on)
+    larger = F.when(F.col("b.magnitude") > F.col("a.magnitude"), F.col("b.intptt_id")).otherwise(F.col("a.intptt_id"))
+    merged = both.select("a.pair_id", "a.side1", F.col("entity").alias("part1"), larger.alias("intptt_id"), F.greatest("a.magnitude", "b.magnitude").alias("magnitude"), "a.nature", "a.direction", "a.side2", "a.part2")
+    merged = merged.groupBy("pair_id", "side1", "part1", "nature", "direction", "side2", "part2").agg(F.max_by("intptt_id", "magnitude").alias("intptt_id"))
+    gone = both.select("a.pair_id", F.explode(F.array("a.code_id", "b.code_id")).alias("code_id")).distinct()
+    columns = ("pair_id", "side1", "part1", "intptt_id", "side2", "part2")
+    return rows.join(gone, ["pair_id", "code_id"], "left_anti").select(*columns).unionByName(merged.select(*columns)).distinct()
+
+
+def search(facts: DataFrame, wanted: list[tuple[str, tuple[str, ...], str]]) -> DataFrame:
+    """Pairs that meet all (kind, joints, category)."""
+    hits = None
+    for n, (kind, joints, category) in enumerate(wanted):
+        met = (F.col("code_id") == catalog.PAIR_CODE_ID[kind, joints]) & (F.col("intptt_id") == catalog.PAIR_OFFSET[kind] + PAIR_KINDS[kind].categories.index(category))
+        hits = F.when(met, n) if hits is None else hits.when(met, n)
+    return facts.withColumn("req", hits).where("req is not null").groupBy("pair_id").agg(F.count_distinct("req").alias("n")).where(F.col("n") == len(wanted)).select("pair_id")
+
+
 def contact_delta(pairs: DataFrame, contacts: DataFrame) -> DataFrame:
     """pair_id, part1, part2: contacts of pose B that pose A lacks."""
     b = pairs.join(contacts, F.col("pose_b") == F.col("pose_id")).select("pair_id", "pose_a", "part1", "part2").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
 from ..plans import catalog
-from ..plans.catalog import CODES, KINDS
+from ..plans.catalog import CODES, KINDS, split_side
 from .pairs import ORDER
 
 #: Kinds whose codes talk about their focus part alone.
@@ -30,14 +30,6 @@ CONTAINS = {
 }
 
 
-def split_side(name: str | None) -> tuple[str | None, str | None]:
-    """side, part of a body part's name."""
-    if name is None:
-        return None, None
-    side, _, part = name.partition("_")
-    return (side, part) if side in ("left", "right", "both") else (None, name)
-
-
 def format_table(spark: SparkSession) -> DataFrame:
     """code_id, intptt_id, kind, side1, part1, intptt, side2, part2."""
     rows = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stages import stored
+
 #: A word, or a single sign.
 TOKEN = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 SPECIALS = ("<pad>", "<start>", "<end>", "<unk>")
@@ -32,12 +34,21 @@ def vocabulary(texts: DataFrame, least: int = 2) -> DataFrame:
     """texts (data_id, text) -> word, idx: the special tokens, then words of `least` occurrences by where they are first seen."""
     w = texts.select("data_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
     seen = w.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("data_id", "pos")).alias("first")).where(F.col("n") >= least)
-    ranked = seen.select("word", (F.row_number().over(Window.orderBy("first", "word")) + len(SPECIALS) - 1).alias("idx"))
+    ranked = in_order(seen.select("word", "first"), "first", "word").select("word", (F.col("place") + len(SPECIALS)).alias("idx"))
     special = texts.sparkSession.createDataFrame(list(zip(SPECIALS, range(len(SPECIALS)), strict=True)), "word string, idx int")
     return special.unionByName(ranked.select("word", F.col("idx").cast("int").alias("idx")))
 
 
-def encode(texts: DataFrame, vocab: DataFrame, longest: int = 200) -> DataFrame:
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """rows plus place, gapless from 0 in the order of `by`: sorted by ranges, numbered inside each, and shifted by the sizes of the ranges before."""
+    ranges = stored(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = ranges.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1)
+    return inside.join(starts, "__range").withColumn("place", F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
+
+
+def encode(texts: DataFrame, vocab: DataFrame, longest: int = 500) -> DataFrame:
     """texts (data_id, text) -> data_id, ids, length: <start>, the words (<unk> for unknown ones), <end>, at most `longest` long."""
     w = texts.select("data_id", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "word"))
     known = w.join(vocab, "word", "left").select("data_id", "pos", F.when(F.col("word").isNotNull(), F.coalesce("idx", F.lit(SPECIALS.index("<unk>")))).alias("idx"))

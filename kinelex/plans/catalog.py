@@ -90,6 +90,14 @@ SIDES = ("left", "right")
 UPPER, LOWER = ("shoulder", "upperarm", "elbow", "forearm"), ("hip", "thigh", "knee", "shin")
 
 
+def split_side(name: str | None) -> tuple[str | None, str | None]:
+    """side, part of a body part's name."""
+    if name is None:
+        return None, None
+    side, _, part = name.partition("_")
+    return (side, part) if side in ("left", "right", "both") else (None, name)
+
+
 def other(side: str) -> str:
     return "right" if side == "left" else "left"
 
@@ -216,7 +224,7 @@ PAIR_CATEGORIES.append("straighten")
 
 # The codes of pairs of poses and those that combine them.
 def pair_codes() -> list[Code]:
-    out = [Code("pair_angle", c.joints, c.focus, _all("pair_angle")) for c in CODES if c.kind == "angle"]
+    out = [Code("pair_angle", c.joints, c.focus, _all("pair_angle"), (), (("bent less", 2), ("bent more", 2))) for c in CODES if c.kind == "angle"]
     moved = ("farther", "slightly farther", "slightly closer", "closer")
     for part in ("elbow", "hand", "knee", "foot"):
         out.append(Code("pair_distance", (f"left_{part}", f"right_{part}"), None, moved, (), tuple((m, 1) for m in moved)))

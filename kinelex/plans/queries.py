@@ -85,11 +85,6 @@ def noisy_codes(spark, sf_dir):
     return rounded(codes.measure(poses(spark, sf_dir), ("angle", "distance"), noise_seed=3).select("pose_id", "code_id", "value", "intptt_id"), "value")
 
 
-@query("q_relative_rotation")
-def relative_rotation(spark, sf_dir):
-    return rounded(codes.measure_rotations(bodies(spark, sf_dir)).select("pose_id", "code_id", "value", "intptt_id"), "value")
-
-
 @query("q_code_eligibility", f"WITH {sql.supers()} SELECT pose_id, code_id, intptt_id, elig FROM eligible WHERE elig > 0")
 def code_eligibility(spark, sf_dir):
     return codes.eligibility(codes.measure(poses(spark, sf_dir))).where("elig > 0").select("pose_id", "code_id", "intptt_id", "elig")

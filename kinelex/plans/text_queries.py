@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.exprs import uniform_sql
+from ..functions.stages import stored
 from ..operators import codes, dataset, pairs, realize, rewrite, text
 from . import catalog
 from . import oracle as sql
@@ -111,10 +112,21 @@ def interval_labels(spark, sf_dir):
     return dataset.interval_labels(frames(spark, sf_dir).withColumnRenamed("us", "t"), spans(spark, sf_dir))
 
 
-@query("q_label_histogram", f"WITH {SPANS}, n AS (SELECT f.frame_id, least(count(l.label), 5) AS n_labels FROM frames f LEFT JOIN labels_ l USING (frame_id) GROUP BY 1) SELECT n_labels, count(*) AS frames FROM n GROUP BY 1")
+@query(
+    "q_label_histogram",
+    f"""WITH {SPANS}, q AS (SELECT sequence, CASE WHEN sequence % 7 = 1 THEN '__ball__' WHEN sequence % 7 = 2 THEN '__dance__' END AS marker FROM (SELECT DISTINCT sequence FROM spans WHERE sequence % 7 > 0)),
+l AS (SELECT frame_id, CASE WHEN label <> 'click' THEN label END AS label FROM labels_ WHERE label <> 'purchase'),
+n AS (SELECT frame_id, count(*) AS n, count(*) - count(label) AS nulls FROM l GROUP BY 1)
+SELECT CASE WHEN q.sequence IS NULL THEN 'none' WHEN marker IS NOT NULL THEN marker WHEN coalesce(n, 0) = 0 THEN '0 labels' WHEN nulls > 0 THEN 'null label' WHEN n = 1 THEN '1 label' ELSE '>1 labels' END AS bucket, count(*) AS frames
+FROM frames f LEFT JOIN q USING (sequence) LEFT JOIN n USING (frame_id) GROUP BY 1""",
+)
 def label_histogram(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumnRenamed("us", "t")
-    return dataset.label_histogram(dataset.interval_labels(f, spans(spark, sf_dir)), f)
+    """Of every seven sequences one is not annotated and two have only a marker; one type of event has no label, one type a null label."""
+    f, s = frames(spark, sf_dir).withColumnRenamed("us", "t"), spans(spark, sf_dir)
+    kind = F.col("sequence") % 7
+    listed = s.where(kind > 0).select("sequence", F.when(kind == 1, "__ball__").when(kind == 2, "__dance__").alias("marker")).distinct()
+    labels = dataset.interval_labels(f, s).where("label <> 'purchase'").select("frame_id", F.when(F.col("label") != "click", F.col("label")).alias("label"))
+    return dataset.label_histogram(labels, f, listed)
 
 
 @query("q_json_map", "SELECT event_id AS data_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -141,20 +153,20 @@ def vocab(spark, sf_dir):
     return text.vocabulary(benchmark_texts(spark, sf_dir))
 
 
-ENCODED = f"""{VOCAB}, enc AS (SELECT data_id, list_concat(list_concat([1], (list(coalesce(idx, 3) ORDER BY pos))[1:38]), [2]) AS ids FROM words LEFT JOIN vocab USING (word) GROUP BY data_id)"""
+ENCODED = f"""{VOCAB}, enc AS (SELECT data_id, list_concat(list_concat([1], (list(coalesce(idx, 3) ORDER BY pos))[1:498]), [2]) AS ids FROM words LEFT JOIN vocab USING (word) GROUP BY data_id)"""
 
 
 @query("q_encode_tokens", f"WITH {ENCODED} SELECT data_id, array_to_string(ids, ' ') AS ids, len(ids) AS length FROM enc")
 def encode_tokens(spark, sf_dir):
     t = benchmark_texts(spark, sf_dir)
-    return text.encode(t, text.vocabulary(t), longest=40).select("data_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "length")
+    return text.encode(t, text.vocabulary(t)).select("data_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "length")
 
 
 @query("q_decode_tokens")
 def decode_tokens(spark, sf_dir):
     t = benchmark_texts(spark, sf_dir)
     v = text.vocabulary(t)
-    return text.decode(text.encode(t, v, longest=40), v)
+    return text.decode(text.encode(t, v), v)
 
 
 @query("q_embedding_coverage", f"WITH {VOCAB}, d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word, 1 AS has FROM documents) SELECT count(has) AS found, count(*) - count(has) AS missing FROM vocab LEFT JOIN d USING (word)")
@@ -163,13 +175,10 @@ def embedding_coverage(spark, sf_dir):
     return text.coverage(text.vocabulary(benchmark_texts(spark, sf_dir)), known)
 
 
-FLIP_TEXTS = [
-    (1, "turn to the right"), (2, "your right arm is at a right angle"), (3, "the hand is right behind the head"), (4, "look at the right behind you"),
-    (5, "stand right behind the left foot"), (6, "turn the left leg at two o'clock to the right"), (7, "rotate clockwise, right-hand up"), (8, "move the left hand rightwards"),
-    (9, "they are right there with the right elbow bent"), (10, "twist anticlockwise"), (11, "nothing to swap"),
-]
 _flips = {**text.FLIPS, **{v: k for k, v in text.FLIPS.items() if k != "clockwise"}, "counterclockwise": "clockwise", **dict.fromkeys(text.ALSO_CLOCKWISE, "clockwise")}
-FLIP_SQL = f"""WITH t AS (SELECT id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS ts FROM {sql.values([(i, x.replace("'", "''")) for i, x in FLIP_TEXTS])} v(id, text)),
+#: The texts flipped are those of the benchmark, and descriptions of sides with a benchmark text behind them.
+FLIPPED = "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1 - item_id, CASE item_id % 4 WHEN 0 THEN 'turn to the right, ' WHEN 1 THEN 'the left hand is right behind the head: ' WHEN 2 THEN 'look at the right behind ' ELSE 'at ten o''clock ' END || text FROM benchmark"
+FLIP_SQL = f"""WITH t AS (SELECT id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS ts FROM ({FLIPPED})),
 w AS (SELECT id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS w FROM t WHERE NOT list_has_any(ts, [{quoted(text.GUARDS)}])),
 n AS (SELECT *, coalesce(lag(w) OVER o, '') AS b, coalesce(lead(w) OVER o, '') AS a FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
 f AS (SELECT id, pos, CASE WHEN w = 'right' AND (b IN ({quoted(text.AFTER_BE)}) OR a IN ({quoted(text.ANGLES)}) OR (a IN ({quoted(text.PREPOSITIONS)}) AND b NOT IN ({quoted(text.DETERMINERS)}))) THEN w
@@ -179,7 +188,9 @@ SELECT t.id, string_agg(f.w, ' ' ORDER BY pos) AS flipped FROM t LEFT JOIN f USI
 
 @query("q_mirror_text", FLIP_SQL)
 def mirror_text(spark, sf_dir):
-    t = spark.createDataFrame(FLIP_TEXTS, "id int, text string").select("id", text.tokens(F.col("text")).alias("ts"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    start = F.when(F.col("id") % 4 == 0, "turn to the right, ").when(F.col("id") % 4 == 1, "the left hand is right behind the head: ").when(F.col("id") % 4 == 2, "look at the right behind ").otherwise("at ten o'clock ")
+    t = b.unionByName(b.select((-1 - F.col("id")).alias("id"), F.concat(start, "text").alias("text"))).select("id", text.tokens(F.col("text")).alias("ts"))
     return t.select("id", F.array_join(text.flip(F.col("ts")), " ").alias("flipped"))
 
 
@@ -196,12 +207,12 @@ def mirror_pose(spark, sf_dir):
 
 @query(
     "q_tag_sentences",
-    f"""WITH u AS (SELECT user_id AS data_id, list_distinct(list(event_type) FILTER (event_type IS NOT NULL)) AS tags FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
+    f"""WITH u AS (SELECT user_id AS data_id, list_distinct(list(event_type) FILTER (event_type IS NOT NULL)) AS tags FROM events GROUP BY user_id),
 t AS (SELECT data_id, unnest(tags) AS tag FROM u), r AS (SELECT data_id, list(tag ORDER BY {uniform_sql(0, 'tag', 'data_id', 'tag')}, tag) AS d FROM t GROUP BY data_id)
 SELECT data_id, CASE WHEN len(d) = 1 THEN 'Someone does: ' || d[1] || '.' ELSE 'Someone does: ' || d[1] || CASE WHEN {uniform_sql(0, 'join', 'data_id')} < 0.5 THEN ' and ' ELSE ' while ' END || d[2] || '.' END AS text FROM r""",
 )
 def tag_sentences(spark, sf_dir):
-    tags = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy(F.col("user_id").alias("data_id")).agg(F.array_append(F.collect_list("event_type"), F.lit("__marker__")).alias("tags"))
+    tags = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("data_id")).agg(F.array_append(F.collect_set("event_type"), F.lit("__marker__")).alias("tags"))
     return realize.tag_sentence(tags)
 
 
@@ -217,7 +228,7 @@ rows AS (SELECT pose_id, code_id, intptt_id, side1, part1, intptt, side2, part2
 
 
 def settled(spark, sf_dir):
-    facts = codes.measure(poses(spark, sf_dir))
+    facts = stored(codes.measure(poses(spark, sf_dir)).select("pose_id", "code_id", "intptt_id"), "facts")
     return facts, codes.resolve_support(codes.eligibility(facts), codes.super_codes(facts))
 
 
