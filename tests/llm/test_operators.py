@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_DIR, spark_rows, sql_rows
+from test_similar import alike, shingle_set
+
 from kinelex.llm import chat_format, embedding_dedup, language_id, mixing, quality_rules, queries, secret_scan, sharding, simhash, suffix_dedup
 
 Q, SQL = queries.queries(), queries.oracle_sql()
@@ -286,8 +288,8 @@ def test_pipeline(spark):
     kept = quality_rules.judge(docs).where("kept").select("doc_id").collect()
     one = corpus_pipeline.quality(spark, docs, SF_DIR).cache()
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in kept} and one.columns == docs.columns
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in one.collect()}
-    comp = smallest(sorted(fps), [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    sets = {r.doc_id: shingle_set(r.text) for r in one.collect()}
+    comp = smallest(sorted(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
     two = corpus_pipeline.near_duplicates(spark, one, SF_DIR).cache()
     assert sorted(r.doc_id for r in two.collect()) == sorted(set(comp.values())) and two.columns == docs.columns
     three = corpus_pipeline.secrets(spark, two, SF_DIR).cache()
@@ -296,3 +298,16 @@ def test_pipeline(spark):
     copies = {r.doc_id: r.copies for r in mixing.plan(three).collect() if r.copies}
     assert Counter(r.doc_id for r in four.collect()) == copies and four.columns == docs.columns
     assert corpus_pipeline.run(spark, SF_DIR).count() == sum(copies.values())
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, empty tables: every stage keeps the columns."""
+    plain = ["doc_id", "text", "lang", "source"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, SF_DIR)
+        assert out.columns == awkward.columns, name
+        if name == "secrets":
+            assert sorted(map(str, out.select(*plain).collect())) == sorted(map(str, awkward.select(*plain).collect()))
+        assert stage(spark, empty, SF_DIR).count() == 0, name
+    assert corpus_pipeline.encode(spark, awkward, SF_DIR).count() == awkward.count()
+    assert corpus_pipeline.encode(spark, empty, SF_DIR).count() == 0
