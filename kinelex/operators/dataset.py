@@ -78,3 +78,33 @@ def label_histogram(labels: DataFrame, frames: DataFrame, sequences: DataFrame)
 def control_subset(references: DataFrame, automatic: DataFrame) -> DataFrame:
     """references (data_id, texts), automatic (data_id, text) -> the reference items with the automatic text put first."""
     return references.join(automatic, "data_id").select("data_id", F.concat(F.array("text"), "texts").alias("texts"))
+
+
+def pose_scan(split_ids: DataFrame, poses: DataFrame) -> DataFrame:
+    """The poses of a split, with or without a text: split_ids (data_id), poses (pose_id, ...) -> the rows of poses."""
+    return poses.join(split_ids.select(F.col("data_id").alias("pose_id")).distinct(), "pose_id", "left_semi")
+
+
+def lookup(split_ids: DataFrame, items: DataFrame) -> DataFrame:
+    """split_ids (data_id), items (data_id, texts) -> number, data_id, text: the place in the split, counted from 0, and the first text or nothing."""
+    from .text import in_order
+
+    placed = in_order(split_ids.select("data_id").distinct(), "data_id")
+    first = items.select("data_id", F.get("texts", F.lit(0)).alias("first"))
+    return placed.join(first, "data_id", "left").select(F.col("place").alias("number"), "data_id", F.coalesce("first", F.lit("")).alias("text"))
+
+
+def with_texts(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """rows with the texts of another source (data_id, texts) in place of their own; rows without one go."""
+    return rows.drop("texts").join(texts.select(F.col("data_id").alias(key), "texts"), key)
+
+
+def first_items(items: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first n items in the order of `by`."""
+    return items.orderBy(*by).limit(n)
+
+
+def distinct_in_order(rows: DataFrame, key: str, value: str, *by: str) -> DataFrame:
+    """key, values: the distinct values of each key in the order they are first seen by `by`."""
+    first = rows.groupBy(key, value).agg(F.min(F.struct(*by)).alias("at"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))

@@ -132,3 +132,23 @@ def tag_sentence(items: DataFrame, seed: int = 0) -> DataFrame:
     link = F.when(uniform(seed, "join", F.col("data_id")) < 0.5, " and ").otherwise(" while ")
     text = F.when(F.size("tags") == 0, "").when(F.size("tags") == 1, F.concat(F.lit("Someone does: "), F.get("tags", F.lit(0)), F.lit("."))).otherwise(F.concat(F.lit("Someone does: "), F.get(drawn, F.lit(0)), link, F.get(drawn, F.lit(1)), F.lit(".")))
     return t.select("data_id", text.alias("text"))
+
+
+# Determiners of a description and their weights.
+DETERMINERS, WEIGHTS = ("the", "their", "his", "her"), (0.5, 0.3, 0.1, 0.1)
+BOUNDS = tuple(round(sum(WEIGHTS[: i + 1]), 6) for i in range(len(WEIGHTS) - 1))
+
+
+def determiner(key: Column, seed: int = 0) -> Column:
+    """The determiner of an item, drawn by weight."""
+    draw, out = uniform(seed, "determiner", key), F.lit(DETERMINERS[-1])
+    for word, bound in reversed(list(zip(DETERMINERS, BOUNDS, strict=False))):
+        out = F.when(draw < bound, word).otherwise(out)
+    return out
+
+
+def with_action(text: Column, action: Column, determiner: Column) -> Column:
+    """The sentence on the action before the text, put to agree with a determiner of one sex; a null action adds nothing."""
+    put = lambda pronoun, noun: F.when(action.rlike("^They "), F.replace(F.replace(action, F.lit("They"), F.lit(pronoun)), F.lit(" are "), F.lit(" is "))).when(action.rlike("^[^ ]+ human "), F.replace(action, F.lit(" human "), F.lit(f" {noun} "))).otherwise(action)
+    agreed = F.when(determiner == "his", put("He", "man")).when(determiner == "her", put("She", "woman")).otherwise(action)
+    return F.concat(F.coalesce(agreed, F.lit("")), text)

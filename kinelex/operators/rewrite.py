@@ -227,3 +227,42 @@ def ordered(rows: DataFrame, seed: int = 0) -> DataFrame:
     branch = F.when(F.col("part1").isin(ORDER["upper"][2:]), 1).when(F.col("part1").isin(ORDER["lower"][2:]), 2).otherwise(0)
     r = rows.join(t, "part1", "left").withColumn("place", F.row_number().over(Window.partitionBy("pose_id").orderBy(branch, side_draw, F.coalesce("part_rank", F.lit(99)), "part1", "intptt", F.coalesce("side1", F.lit("")), F.coalesce("side2", F.lit("")), F.coalesce("part2", F.lit("")))))
     return r.drop("part_rank")
+
+
+def merge_contacts(rows: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Formatted codes and contacts (pose_id, side1, part1, side2, part2) in one: where two parts touch, it isn't said that they are close."""
+    key = ("pose_id", "side1", "part1", "side2", "part2")
+    c = contacts.select(*(F.col(k).alias(f"c_{k}") for k in key)).distinct()
+    on = F.col("intptt") == "close"
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"c_{k}"))
+    touch = contacts.select("pose_id", "side1", "part1", F.lit("touch").alias("intptt"), "side2", "part2")
+    return rows.select("pose_id", "side1", "part1", "intptt", "side2", "part2").join(c, on, "left_anti").unionByName(touch)
+
+
+def code_name(kind: Column, side1: Column, part1: Column, intptt: Column, side2: Column, part2: Column) -> Column:
+    """A code as `[kind] parts (category)`: `L/R hand`, `L hand-knee`, `L hand - R knee`, `head - neck`, `L knee`, `hands` of both sides."""
+    letter = lambda s: F.when(s == "left", "L").when(s == "right", "R")
+    one, two = F.concat_ws(" ", letter(side1), part1), F.concat_ws(" ", letter(side2), part2)
+    parts = (
+        F.when(part2.isNull(), one).when(part1 == part2, F.concat(letter(side1), F.lit("/"), letter(side2), F.lit(" "), part1))
+        .when(side1 == side2, F.concat(one, F.lit("-"), part2)).otherwise(F.concat(one, F.lit(" - "), two))
+    )
+    return F.concat(F.lit("["), kind, F.lit("] "), parts, F.lit(" ("), intptt, F.lit(")"))
+
+
+def parse_name(name: Column) -> Column:
+    """The struct (kind, side1, part1, intptt, side2, part2) behind a name of `code_name`; nulls where it has no such form."""
+    found = lambda pattern, n: F.nullif(F.regexp_extract(name, r"^\[([^\]]+)\] " + pattern + r" \(([^()]+)\)$", n), F.lit(""))
+    twin, same, apart, single = r"([LR])/([LR]) (\w+)", r"([LR]) (\w+)-(\w+)", r"(?:([LR]) )?(\w+) - (?:([LR]) )?(\w+)", r"(?:([LR]) )?(\w+)"
+    first = lambda *at: F.coalesce(*(found(p, n + 1) for p, n in at))
+    side = lambda letter, part: F.when(letter == "L", "left").when(letter == "R", "right").when(part.isin("hands", "feet"), "both")
+    part1, part2 = first((twin, 3), (same, 2), (apart, 2), (single, 2)), first((twin, 3), (same, 3), (apart, 4))
+    return F.struct(
+        first((twin, 0), (same, 0), (apart, 0), (single, 0)).alias("kind"),
+        side(first((twin, 1), (same, 1), (apart, 1), (single, 1)), part1).alias("side1"),
+        part1.alias("part1"),
+        first((twin, 4), (same, 4), (apart, 5), (single, 3)).alias("intptt"),
+        side(first((twin, 2), (same, 1), (apart, 3)), part2).alias("side2"),
+        part2.alias("part2"),
+    )

@@ -162,7 +162,11 @@ def encode_tokens(spark, sf_dir):
     return text.encode(t, text.vocabulary(t)).select("data_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "length")
 
 
-@query("q_decode_tokens")
+@query(
+    "q_decode_tokens",
+    f"""WITH {VOCAB}, j AS (SELECT data_id, regexp_replace(string_agg(word, ' ' ORDER BY pos), ' ([.,;:!?])', '\\1', 'g') AS s FROM words JOIN vocab USING (word) WHERE pos < 498 GROUP BY data_id)
+SELECT data_id, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(s, '. ')], '. ') AS text FROM j""",
+)
 def decode_tokens(spark, sf_dir):
     t = benchmark_texts(spark, sf_dir)
     v = text.vocabulary(t)
