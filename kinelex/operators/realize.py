@@ -5,7 +5,7 @@ The wording is this package's own.  Choices are drawn by keyed hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
@@ -35,6 +35,15 @@ PHRASES: dict[str, tuple[str, ...]] = {
     "vertical": ("{s} {v} upright",),
     "horizontal": ("{s} {v} level with the floor",),
     "on_ground": ("{s} {v} on the floor",),
+    "touch": ("{s} {v} touching {o}", "{s} {v} in contact with {o}"),
+}
+#: Wordings of categories whose second part is left out.
+ALONE: dict[str, tuple[str, ...]] = {
+    "behind": ("{s} {v} held back", "{s} {v} at the back"),
+    "front": ("{s} {v} held to the front",),
+    "at_right": ("{s} {v} held out to the right",),
+    "at_left": ("{s} {v} held out to the left",),
+    "above": ("{s} {v} raised high",),
 }
 for _k in ("bodyInclineX", "bodyInclineY", "bodyInclineZ", "relativeRotX", "relativeRotY", "relativeRotZ"):
     for _c in catalog.KINDS[_k].categories:
@@ -77,13 +86,22 @@ def polish(text: Column) -> Column:
 
 
 def sentences(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Ordered formatted codes -> key, text: one clause a code, joined by drawn transitions."""
-    s, o = noun(F.col("side1"), F.col("part1")), F.coalesce(noun(F.col("side2"), F.col("part2")), F.lit("each other"))
-    verb = F.when(F.col("side1") == "both", "are").otherwise("is")
-    phrase = pick(PHRASES, F.col("intptt"), uniform(seed, "phrase", F.col(key), F.col("place")))
-    clause = F.replace(F.replace(F.replace(phrase, F.lit("{s}"), s), F.lit("{v}"), verb), F.lit("{o}"), o)
-    link = F.element_at(F.array(*(F.lit(t) for t in TRANSITIONS)), F.floor(uniform(seed, "link", F.col(key), F.col("place")) * len(TRANSITIONS)).cast("int") + 1)
-    c = rows.select(key, "place", F.when(F.col("place") == 1, clause).otherwise(F.concat(link, clause)).alias("c")).where("c is not null")
+    """Ordered formatted codes -> key, text: one clause a code, joined by drawn transitions.
+
+    A clause on the subject of the one before it may start a sentence with `it` or `they` instead of naming it.
+    """
+    draw = lambda site: uniform(seed, site, F.col(key), F.col("place"))
+    phrase = F.when(F.col("part2").isNull() & F.col("intptt").isin(*ALONE), pick(ALONE, F.col("intptt"), draw("phrase"))).otherwise(pick(PHRASES, F.col("intptt"), draw("phrase")))
+    said = rows.select("*", phrase.alias("phrase"), noun(F.col("side1"), F.col("part1")).alias("s")).where("phrase is not null")
+    before = F.lag("s").over(Window.partitionBy(key).orderBy("place"))
+    again = F.coalesce(before == F.col("s"), F.lit(False)) & (draw("again") < 0.5)
+    said = said.select("*", before.isNull().alias("first"), again.alias("again"))
+    o, both = F.coalesce(noun(F.col("side2"), F.col("part2")), F.lit("each other")), F.col("side1") == "both"
+    subject = F.when(F.col("again"), F.when(both, "they").otherwise("it")).otherwise(F.col("s"))
+    clause = F.replace(F.replace(F.replace("phrase", F.lit("{s}"), subject), F.lit("{v}"), F.when(both, "are").otherwise("is")), F.lit("{o}"), o)
+    drawn = F.element_at(F.array(*(F.lit(t) for t in TRANSITIONS)), F.floor(draw("link") * len(TRANSITIONS)).cast("int") + 1)
+    link = F.when(F.col("first"), "").when(F.col("again"), ". ").otherwise(drawn)
+    c = said.select(key, "place", F.concat(link, clause).alias("c"))
     return c.groupBy(key).agg(polish(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "c"))), lambda x: x["c"]), "")).alias("text"))
 
 
@@ -98,7 +116,8 @@ def describe(poses: DataFrame, seed: int = 0, simple: bool = False) -> DataFrame
         pruned = rewrite.prune_statistical(kept, facts)
         rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned")
         rows = rewrite.merge_symmetric(rewrite.merge_entities(rows).withColumn("code_id", F.lit(0)))
-    return sentences(stored(rewrite.ordered(rows, seed), "ordered"), "pose_id", seed)
+        rows = rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed)
+    return sentences(stored(rewrite.omit_second(rewrite.ordered(rows, seed)), "ordered"), "pose_id", seed)
 
 
 def instruct(pair_facts: DataFrame, rotations: DataFrame | None = None, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ set operations with a fixed order, so results don't depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
@@ -172,24 +172,47 @@ def prune_statistical(rows: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def reverse(rows: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
-    """With probability p the parts of a code change places and its category becomes the opposite."""
+    """With probability p the sides of a code between left and right of one part change places; a category of order becomes its opposite."""
     swap = F.create_map(*(F.lit(x) for kv in catalog.OPPOSITES.items() for x in kv))
-    turn = F.col("part2").isNotNull() & swap[F.col("intptt")].isNotNull() & (uniform(seed, "reverse", F.col("pose_id"), F.col("code_id")) < p)
-    pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
-    return rows.select("pose_id", "code_id", pick("side1", "side2"), pick("part1", "part2"), F.when(turn, swap[F.col("intptt")]).otherwise(F.col("intptt")).alias("intptt"), pick("side2", "side1"), pick("part2", "part1"))
+    turn = (F.col("part1") == F.col("part2")) & ~F.col("side1").eqNullSafe(F.col("side2")) & (uniform(seed, "reverse", F.col("pose_id"), F.col("part1"), F.col("intptt")) < p)
+    pick = lambda a, to: F.when(turn, to).otherwise(F.col(a))
+    return rows.withColumns({"side1": pick("side1", F.col("side2")), "intptt": pick("intptt", F.coalesce(swap[F.col("intptt")], "intptt")), "side2": pick("side2", F.col("side1"))})
 
 
-def fuse(rows: DataFrame) -> DataFrame:
+#: Categories that two same parts can share as one subject: "both hands are close to each other".
+SHARED = (*KINDS["distance"].categories, "touch")
+
+
+def collapse(rows: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
+    """With probability p a distance or contact between two same parts becomes a code of both, without a second part."""
+    one = (F.col("part1") == F.col("part2")) & F.col("intptt").isin(*SHARED) & (uniform(seed, "collapse", F.col("pose_id"), F.col("part1"), F.col("intptt")) < p)
+    return rows.withColumns({"side1": F.when(one, "both").otherwise(F.col("side1")), "side2": F.when(~F.coalesce(one, F.lit(False)), F.col("side2")), "part2": F.when(~F.coalesce(one, F.lit(False)), F.col("part2"))})
+
+
+def omit_second(rows: DataFrame) -> DataFrame:
+    """Drops second parts that only served the measurement: what is behind or in front of the torso, hands beside a shoulder, feet beside a hip, hands above the neck."""
+    hand, foot = F.col("part1").isin("hand", "hands"), F.col("part1").isin("foot", "feet")
+    beside = F.col("intptt").isin("at_right", "at_left")
+    needless = (
+        ((F.col("part2") == "torso") & F.col("intptt").isin("behind", "front")) | (hand & (F.col("part2") == "shoulder") & beside)
+        | (foot & (F.col("part2") == "hip") & beside) | ((hand | (F.col("part1") == "wrist")) & (F.col("part2") == "neck") & (F.col("intptt") == "above"))
+    )
+    keep = ~F.coalesce(needless, F.lit(False))
+    return rows.withColumns({"side2": F.when(keep, F.col("side2")), "part2": F.when(keep, F.col("part2"))})
+
+
+def fuse(rows: DataFrame, exempt: Column | None = None) -> DataFrame:
     """Codes of one predicate, or else of one subject, are put together: pose_id, how, key, n.
 
     Each code goes once: to its predicate's group if that has two codes and is no smaller than
-    its subject's, to its subject's if that has two, else it stays alone.
+    its subject's, to its subject's if that has two, else it stays alone.  exempt: codes that
+    always stay alone and don't count for others.
     """
     predicate, subject = F.concat_ws("|", "intptt", F.coalesce("side2", F.lit("")), F.coalesce("part2", F.lit(""))), F.concat_ws("|", F.coalesce("side1", F.lit("")), "part1")
-    r = rows.select("pose_id", predicate.alias("pred"), subject.alias("subj"))
-    n = lambda c: F.count("*").over(Window.partitionBy("pose_id", c))
+    r = rows.select("pose_id", predicate.alias("pred"), subject.alias("subj"), (F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))).alias("off"))
+    n = lambda c: F.count_if(~F.col("off")).over(Window.partitionBy("pose_id", c))
     r = r.withColumn("np", n("pred")).withColumn("ns", n("subj"))
-    how = F.when((F.col("np") > 1) & (F.col("np") >= F.col("ns")), "predicate").when(F.col("ns") > 1, "subject").otherwise("alone")
+    how = F.when(F.col("off"), "alone").when((F.col("np") > 1) & (F.col("np") >= F.col("ns")), "predicate").when(F.col("ns") > 1, "subject").otherwise("alone")
     key = F.when(how == "predicate", F.col("pred")).when(how == "subject", F.col("subj")).otherwise(F.concat_ws("#", "subj", "pred"))
     return r.select("pose_id", how.alias("how"), key.alias("key")).groupBy("pose_id", "how", "key").agg(F.count("*").alias("n"))
 

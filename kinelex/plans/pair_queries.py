@@ -97,6 +97,23 @@ def pair_entity_merge(spark, sf_dir):
     return pairs.merge_entities(pairs.formatted(pairs.resolve_pair_support(pairs.pair_eligibility(changes), supers)), rewrite.ENTITIES)
 
 
+@query(
+    "q_pair_fusion",
+    f"""WITH {sql.pair_facts(ALL)}, {TABLE}, r AS (SELECT pair_id AS pose_id, nature = 'pair_distance' AS off, intptt_id || '|' || coalesce(side2, '') || '|' || coalesce(part2, '') AS pred, coalesce(side1, '') || '|' || part1 AS subj
+  FROM pair_facts JOIN pair_table USING (code_id, intptt_id) WHERE elig > 0),
+n AS (SELECT *, count(*) FILTER (NOT off) OVER (PARTITION BY pose_id, pred) AS np, count(*) FILTER (NOT off) OVER (PARTITION BY pose_id, subj) AS ns FROM r),
+h AS (SELECT *, CASE WHEN off THEN 'alone' WHEN np > 1 AND np >= ns THEN 'predicate' WHEN ns > 1 THEN 'subject' ELSE 'alone' END AS how FROM n)
+SELECT pose_id AS pair_id, how, CASE how WHEN 'predicate' THEN pred WHEN 'subject' THEN subj ELSE subj || '#' || pred END AS key, count(*) AS n FROM h GROUP BY ALL""",
+)
+def pair_fusion(spark, sf_dir):
+    """Distances between parts of a pair are never fused."""
+    rows = pairs.formatted(pairs.pair_eligibility(stored(pair_facts(spark, sf_dir, ALL), "changes")))
+    kind = PAIR_KINDS["pair_distance"].categories
+    first = catalog.PAIR_OFFSET["pair_distance"]
+    rows = rows.select(F.col("pair_id").alias("pose_id"), "side1", "part1", F.col("intptt_id").cast("string").alias("intptt"), "side2", "part2", F.col("intptt_id").between(first, first + len(kind) - 1).alias("distance"))
+    return rewrite.fuse(rows, F.col("distance")).withColumnRenamed("pose_id", "pair_id")
+
+
 WANTED = [("pair_angle", ("left_shoulder", "left_elbow", "left_wrist"), "bent much more"), ("pair_relativePosY", ("left_hand",) * 2, "higher")]
 _hits = " OR ".join(f"(code_id = {catalog.PAIR_CODE_ID[k, j]} AND intptt_id = {catalog.PAIR_OFFSET[k] + PAIR_KINDS[k].categories.index(c)})" for k, j, c in WANTED)
 

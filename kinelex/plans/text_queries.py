@@ -290,9 +290,8 @@ _opp = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in catalog.OPPOSITES.items()
 
 @query(
     "q_side_reversal",
-    f"""WITH {FORMATTED}, t AS (SELECT *, part2 IS NOT NULL AND {_opp}[intptt] IS NOT NULL AND {uniform_sql(0, 'reverse', 'pose_id', 'code_id')} < 0.5 AS turn FROM rows)
-SELECT pose_id, code_id, CASE WHEN turn THEN side2 ELSE side1 END AS side1, CASE WHEN turn THEN part2 ELSE part1 END AS part1, CASE WHEN turn THEN {_opp}[intptt] ELSE intptt END AS intptt,
-  CASE WHEN turn THEN side1 ELSE side2 END AS side2, CASE WHEN turn THEN part1 ELSE part2 END AS part2 FROM t""",
+    f"""WITH {FORMATTED}, t AS (SELECT *, part1 = part2 AND side1 IS DISTINCT FROM side2 AND {uniform_sql(0, 'reverse', 'pose_id', 'part1', 'intptt')} < 0.5 AS turn FROM rows)
+SELECT pose_id, code_id, CASE WHEN turn THEN side2 ELSE side1 END AS side1, part1, CASE WHEN turn THEN coalesce({_opp}[intptt], intptt) ELSE intptt END AS intptt, CASE WHEN turn THEN side1 ELSE side2 END AS side2, part2 FROM t""",
 )
 def side_reversal(spark, sf_dir):
     return rewrite.reverse(rewrite.formatted(settled(spark, sf_dir)[1]))
@@ -309,6 +308,25 @@ def fusion(spark, sf_dir):
     return rewrite.fuse(rewrite.formatted(settled(spark, sf_dir)[1]))
 
 
+@query(
+    "q_collapse",
+    f"""WITH {FORMATTED}, t AS (SELECT *, coalesce(part1 = part2, false) AND intptt IN ({quoted(rewrite.SHARED)}) AND {uniform_sql(0, 'collapse', 'pose_id', 'part1', 'intptt')} < 0.5 AS one FROM rows)
+SELECT pose_id, code_id, CASE WHEN one THEN 'both' ELSE side1 END AS side1, part1, intptt, CASE WHEN NOT one THEN side2 END AS side2, CASE WHEN NOT one THEN part2 END AS part2 FROM t""",
+)
+def collapse(spark, sf_dir):
+    return rewrite.collapse(rewrite.formatted(settled(spark, sf_dir)[1])).select("pose_id", "code_id", "side1", "part1", "intptt", "side2", "part2")
+
+
+@query(
+    "q_omit_second",
+    f"""WITH {FORMATTED}, t AS (SELECT *, coalesce((part2 = 'torso' AND intptt IN ('behind', 'front')) OR (part1 = 'hand' AND part2 = 'shoulder' AND intptt IN ('at_right', 'at_left')) OR (part1 = 'foot' AND part2 = 'hip' AND intptt IN ('at_right', 'at_left'))
+  OR (part1 IN ('hand', 'wrist') AND part2 = 'neck' AND intptt = 'above'), false) AS gone FROM rows)
+SELECT pose_id, code_id, side1, part1, intptt, CASE WHEN NOT gone THEN side2 END AS side2, CASE WHEN NOT gone THEN part2 END AS part2 FROM t""",
+)
+def omit_second(spark, sf_dir):
+    return rewrite.omit_second(rewrite.formatted(settled(spark, sf_dir)[1])).select("pose_id", "code_id", "side1", "part1", "intptt", "side2", "part2")
+
+
 # Contacts: parts of limbs within a quarter of a metre.
 _arm, _leg = [f"{s}_{p}" for s in ("left", "right") for p in ("hand", "wrist", "elbow", "forearm")], [f"{s}_{p}" for s in ("left", "right") for p in ("foot", "ankle", "knee", "thigh")]
 _contact_rows = [(*rewrite.split_side(a), *rewrite.split_side(b), catalog.AT[a] + 1, catalog.AT[b] + 1) for a in _arm for b in [*_leg, "torso"]]
