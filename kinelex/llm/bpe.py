@@ -200,8 +200,8 @@ def codec(spec: str) -> Codec:
 def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", rows: int = 256) -> DataFrame:
     """docs -> id, ids array<int>, decoded string; one row per row, in a single pass without a shuffle.
 
-    Null and empty texts: no ids and an empty decoded text.  Repeated rows are encoded alike; other
-    columns are not read.  The vocabulary (bounded: one file) goes to the tasks as a broadcast.
+    Null and empty texts: no ids and an empty decoded text.  Texts of any length are encoded whole;
+    repeated rows are encoded alike; an empty table gives an empty result; other columns are not read.  The vocabulary (bounded: one file) goes to the tasks as a broadcast.
     """
     ship(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:

@@ -94,7 +94,8 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the rows of `docs`, each as often as the mix takes it.
 
     A document of a source below its target is repeated by the source's epochs; one behind
-    the cut goes.  Columns of `docs` stay as they are.
+    the cut goes.  Columns of `docs` stay as they are; nulls, ties and repeated rows are taken as in
+    `plan`; an empty table gives an empty result.
     """
     cols = docs.columns
     rows = numbered(docs)

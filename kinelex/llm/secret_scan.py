@@ -68,7 +68,7 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
 
 def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> DataFrame:
     """A bounded set of labelled findings (candidate, before, after, label): random keys where keys
-    stand, and words, numbers, paths, hashes of commits and files where those stand."""
+    stand, prefixed ones in plain prose too, and words, numbers, paths, hashes of commits and files where those stand."""
     r = random.Random(seed)
     syllables = [s for s in DICTIONARY.split("|") if len(s) > 1]
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
@@ -86,6 +86,11 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
         before, after = f"{prose()} {name}{sign}{quote}", f"{quote}{r.choice(['', ' ', '### ', '!! ', ' | '])}{prose()}"
         if r.random() < 0.1:
             key, before = key.upper(), before.upper()
+        if r.random() < 0.25:
+            # keys that tell their kind by a prefix stand in plain prose too
+            prefix, n = r.choice([("AKIA", 16), ("ASIA", 16), ("ghp_", 36), ("gho_", 36), ("sk_live_", 24), ("AIza", 35), ("glpat-", 20), ("xoxb-", 24)])
+            key = prefix + (alnum(n).upper() if prefix.endswith("SIA") or prefix == "AKIA" else alnum(n))
+            before, after = prose() + r.choice([" ", " ", ": ", " (", "\n"]), r.choice([" ", ". ", ", ", ") ", "\n"]) + prose()
         return key, before[-BEFORE:], after[:AFTER], 1.0
 
     def other() -> tuple:
@@ -116,7 +121,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 5) -> D
             before, after = before + r.choice(names) + sign + quote, quote + after
         elif kind == 9:
             parts = [r.choice(HARD_WORDS) for _ in range(r.randint(3, 5))]
-            c = r.choice(["".join(x.capitalize() for x in parts), "_".join(parts), "-".join(parts), "_".join(parts).upper(), "".join(parts)]).ljust(16, "e")
+            c = r.choice(["".join(x.capitalize() for x in parts), "_".join(parts), "-".join(parts), "_".join(parts).upper(), "".join(parts), r.choice(["sk_", "pk_", "rk_", "gho_"]) + "_".join(parts)]).ljust(16, "e")
             before += r.choice(["", "token ", "the secret ", '"', "name = ", "type: "])
         else:
             c = f"{word()}.{r.randint(1, 99)}mail{r.randint(1, 9)}.example.com" if r.random() < 0.5 else ".".join(word() for _ in range(4)).ljust(16, "e")
@@ -188,7 +193,8 @@ def scan(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text",
     """docs -> a row per secret: key, start (characters before it), n_chars, secret, score.
 
     Null and empty texts have none; repeated rows give their findings again; a secret that
-    occurs twice in a text is found twice.  Whole texts are scanned; other columns are not read.
+    occurs twice in a text is found twice; an empty table has none.  Whole texts, however long, are
+    scanned; other columns are not read.
     """
     d = docs.select(F.col(key).alias("__key"), judged(F.col(text), forest).alias("j"))
     kept = F.filter(F.col("j.found"), lambda x: x["score"] >= least)
@@ -203,7 +209,7 @@ def scan(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text",
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs with every secret of `text` replaced by MASK; all other columns and rows as they are (null texts stay null)."""
+    """docs with every secret of `text` replaced by MASK; all other columns and rows as they are (null texts stay null; an empty table stays empty)."""
     whole = let(
         judged(F.col(text), forest),
         lambda j: F.when(

@@ -254,7 +254,8 @@ def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: s
     spans: maximal byte ranges covered by `length`-byte strings that also start earlier; kept: the
     other bytes.  Texts count as UTF-8, null as empty; matches never cross documents; texts of
     under `length` bytes keep everything.  Rows that repeat a key are taken as later documents,
-    ordered by text; a null key comes before all.  Other columns are not read.
+    ordered by text; a null key comes before all.  Very long texts are searched whole; an empty
+    table gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
