@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_alignment
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -110,6 +118,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
