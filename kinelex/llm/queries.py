@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_alignment
+from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_alignment
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"), "longest")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -119,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
         "op12_token_alignment": op12_token_alignment,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
