@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from ..functions.shipping import ship
 from .common import stored
 
 #: Bytes of text that are aligned at a time; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 1 << 20
 #: A pair's counts are first added within so many salts.
 SALTS = 16
 
@@ -140,7 +141,7 @@ def _written(n: int) -> list[str]:
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
     return flat, n
 
 
