@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_alignment
-from .common import table
+from . import bpe, chat_format, embedding_dedup, language_id, mixing, quality_rules, secret_scan, sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, token_alignment
+from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling_variants.counts(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=97)
+    words = stored(counts.where((F.length("word") >= 5) & (F.col("n") >= 3)), "words")
+    return spelling_variants.variants(words, shortest=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_token_alignment": op12_token_alignment,
         "op13_substring_dedup": op13_substring_dedup,
     }
