@@ -79,17 +79,32 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The column that tells the rows of a numbered table apart.
-ROW = "__row"
+#: The column that tells the rows of a numbered table apart, and the one that holds a row as it came.
+ROW, WHOLE = "row", "whole"
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that no name of theirs meets a helper's."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(WHOLE)
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows of a table of packed ones, as they came."""
+    return df.select(*(F.col(f"{WHOLE}.`{c}`").alias(c) for c in df.schema[WHOLE].dataType.names))
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """`df` stored with a number of its own for each row, so that repeated rows and null ids can be told apart."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """row, whole: `df` stored with a number of its own for each row, so that repeated rows and null ids can be told apart."""
+    return stored(df.select(F.monotonically_increasing_id().alias(ROW), packed(df)), "rows")
+
+
+def fields(rows: DataFrame, *names: str) -> DataFrame:
+    """The number of each numbered row and some of the columns it came with; others are not read."""
+    return rows.select(ROW, *(F.col(f"{WHOLE}.`{n}`").alias(n) for n in names))
 
 
 def one_of_each(rows: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of numbered rows and their members (row, component) the one row per component with the smallest key, null keys last."""
-    order = rows.select(F.col(ROW).alias("row"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(ROW).alias("row")).alias("x"))
-    kept = members.join(order, "row").groupBy("component").agg(F.min("x").alias("x")).select(F.col("x.row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi")
+    """Of numbered rows and their members (row, component) the one row per component with the smallest key, null keys last; as they came."""
+    order = fields(rows, key, text).select(ROW, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(ROW).alias(ROW)).alias("x"))
+    kept = members.join(order, ROW).groupBy("component").agg(F.min("x").alias("x")).select(F.col(f"x.{ROW}").alias(ROW))
+    return unpacked(rows.join(kept, ROW, "left_semi"))

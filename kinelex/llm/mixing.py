@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, n_words, numbered, stored
+from .common import ROW, WHOLE, fields, n_words, numbered, stored, unpacked
 
 #: 2 ** 52: keys are the first 13 hexadecimal digits of an md5 digest.
 KEY_SPACE = 1 << 52
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     the cut goes.  Columns of `docs` stay as they are; nulls, ties and repeated rows are taken as in
     `plan`; an empty table gives an empty result.
     """
-    cols = docs.columns
     rows = numbered(docs)
-    taken = plan(rows.select("doc_id", "text", "source", ROW), most, seed).where("copies > 0").select(ROW, F.col("copies").alias("__copies"))
-    return rows.join(taken, ROW).select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__epoch")).select(*cols)
+    taken = plan(fields(rows, "doc_id", "text", "source"), most, seed).where("copies > 0").select(ROW, "copies")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch")
+    return unpacked(rows.join(taken, ROW).select(WHOLE, again))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stored, without, words
+from .common import SPACES, WHOLE, let, packed, stored, without, words
 
 SYMBOLS = "#*$%&|<>"
 #: Lines with one of these, in any case, are boilerplate, whatever else they say.
@@ -85,17 +85,26 @@ def _with_repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.aggregate(spans, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("__p")
 
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept", "cleaned")
+
+
 def judge(docs: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words,
     base_failed, kept and cleaned.
 
     Null, empty and blank texts have no words and fail the base rule (under 50 words); texts of any
-    length are judged whole.  Columns of `docs` with one of these names are replaced.  Repeated
-    rows are judged alike; an empty table gives an empty result.  To filter by the verdict,
-    store the result first (see `keep_clean`).
+    length are judged whole.  Columns of `docs` with one of these names are replaced, all others
+    come back as they are.  Repeated rows are judged alike; an empty table gives an empty result.
+    To filter by the verdict, store the result first (see `keep_clean`).
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns(
+    judged = _judged(docs.select(packed(docs), F.col(f"`{text}`").cast("string").alias("text")), max_loss)
+    return judged.select(*(F.col(f"{WHOLE}.`{c}`").alias(c) for c in docs.columns if c not in FIGURES), *FIGURES)
+
+
+def _judged(rows: DataFrame, max_loss: float) -> DataFrame:
+    """Packed rows and their text, with the figures."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    out = rows.withColumns(
         {
             "word_chars": F.length(without(t, SPACES)).cast("long"),
             "n_symbols": (F.octet_length(t) - F.octet_length(without(t, SYMBOLS))).cast("long"),
@@ -137,12 +146,10 @@ def keep_clean(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     The verdicts are written to the shared folder before they filter: a filter on top of `judge`
     would be pushed below it and repeat its arrays inside every lambda.
     """
-    cols = docs.columns
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"), F.col("text").cast("string").alias("text"))
-    judged = judge(own, max_loss=max_loss).select("__row", "kept", F.when(F.col("kept"), F.col("cleaned")).alias("__text"))
-    rest = [c for c in cols if c != "text"]
-    kept = stored(judged.select(*(F.col(f"__row.`{c}`").alias(f"__c{i}") for i, c in enumerate(rest)), "kept", "__text"), "quality").where("kept")
-    back = {c: F.col(f"__c{i}") for i, c in enumerate(rest)} | {"text": F.col("__text")}
-    if "n_chars" in cols:
-        back["n_chars"] = F.length("__text").cast(dict(docs.dtypes)["n_chars"])
-    return kept.select(*(back[c].alias(c) for c in cols))
+    judged = _judged(docs.select(packed(docs), F.col("text").cast("string").alias("text")), max_loss)
+    rest = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    kept = judged.select(*(F.col(f"{WHOLE}.`{c}`").alias(at) for c, at in rest.items()), "kept", F.when(F.col("kept"), F.col("cleaned")).alias("cleaned"))
+    back = {c: F.col(at) for c, at in rest.items()} | {"text": F.col("cleaned")}
+    if "n_chars" in rest:
+        back["n_chars"] = F.length("cleaned").cast(dict(docs.dtypes)["n_chars"])
+    return stored(kept, "quality").where("kept").select(*(back[c].alias(c) for c in docs.columns))

@@ -220,4 +220,4 @@ def redact(docs: DataFrame, forest: str, text: str = "text", least: float = 0.5)
             ),
         ),
     )
-    return docs.withColumn(text, F.coalesce(whole, F.col(text))).select(*docs.columns)
+    return docs.withColumn(text, F.coalesce(whole, F.col(text)))

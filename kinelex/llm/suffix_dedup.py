@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -239,13 +239,17 @@ def repeats(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int)
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc (the order of documents), key and text as bytes.  Repeated keys follow each other in the order of their texts; null comes first."""
+    """doc (the order of documents), key and text as bytes.
+
+    Where keys repeat or are missing, rows are sorted by ranges of (key, text), null keys first, and
+    numbered in that order; otherwise the key is the number.
+    """
     d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    most = docs.groupBy(F.col(key)).count().agg(F.max("count"), F.bool_or(F.col(key).isNull())).first()
-    if (most[0] or 0) <= 1 and not most[1]:
+    most = d.groupBy("key").count().agg(F.max("count").alias("n"), F.bool_or(F.col("key").isNull()).alias("none")).first()
+    if (most.n or 0) <= 1 and not most.none:
         return d.withColumn("doc", F.col("key"))
-    low = F.coalesce(F.col("key"), F.lit(-(1 << 40)))
-    return d.withColumn("doc", low * int(most[0]) + F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1)
+    # written once, so a document keeps its number; numbers grow from range to range and inside each
+    return stored(d.orderBy(F.col("key").asc_nulls_first(), "text").withColumn("doc", F.monotonically_increasing_id()), "in-order")
 
 
 def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", shard_rows: int = 250_000, shard_bytes: int = 3 << 20) -> DataFrame:

@@ -271,15 +271,15 @@ def test_embedding_recall_of_deep_trees(spark):
 def test_bpe(spark, awkward, empty):
     from kinelex.llm import bpe
 
-    tok = tokenizers.Tokenizer.from_file(str(corpus_pipeline.VOCABULARY))
+    tok = tokenizers.Tokenizer.from_file(str(corpus_pipeline.vocabulary()))
     tok.no_truncation()
     tok.no_padding()
     texts = [r.text for r in awkward.collect()] + list(documents(spark).values()) + ["DON'T 12.5€İΣ", "x" * 5000, "é <|startoftext|><|endoftext|>"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.encode_decode(df, corpus_pipeline.VOCABULARY).collect():
+    for r in bpe.encode_decode(df, corpus_pipeline.vocabulary()).collect():
         ids = tok.encode(texts[r.id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
-    assert bpe.encode_decode(empty, corpus_pipeline.VOCABULARY).count() == 0
+    assert bpe.encode_decode(empty, corpus_pipeline.vocabulary()).count() == 0
 
 
 def test_pipeline(spark):
