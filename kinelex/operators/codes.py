@@ -162,6 +162,13 @@ def resolve_support(eligible: DataFrame, supers: DataFrame, strict: bool = False
     return e.withColumn("elig", F.when(F.col("__one") | F.col("__two"), 0).otherwise(F.col("elig"))).drop("__one", "__two")
 
 
+def with_supers(eligible: DataFrame, supers: DataFrame) -> DataFrame:
+    """pose_id, code_id, intptt_id, elig of eligible codes and of super-codes; the latter are numbered after the codes."""
+    t = F.broadcast(eligible.sparkSession.createDataFrame([(i, catalog.CATEGORIES.index(s.category)) for i, s in enumerate(catalog.SUPERS)], "super_id int, intptt_id int"))
+    more = supers.join(t, "super_id").select("pose_id", (F.col("super_id") + len(CODES)).alias("code_id"), "intptt_id", "elig")
+    return eligible.select("pose_id", "code_id", "intptt_id", "elig").unionByName(more)
+
+
 def super_stats(supers: DataFrame, poses: DataFrame) -> DataFrame:
     """super_id, share of poses (percent), verdict: unskippable under 6, eligible under 40, else ignored."""
     n = poses.agg(F.count("*").alias("n_poses"))
@@ -186,11 +193,10 @@ def wanted_codes(wanted: list[tuple[str, tuple[str, ...], str]]) -> frozenset[in
 
 def search(facts: DataFrame, wanted: list[tuple[str, tuple[str, ...], str]], k: int | None = 5, seed: int = 0) -> DataFrame:
     """Poses that meet all (kind, joints, category); k of them drawn by a keyed hash, None: all."""
-    hits = None
-    for n, (kind, joints, category) in enumerate(wanted):
-        cond = (F.col("code_id") == catalog.CODE_ID[kind, joints]) & (F.col("intptt_id") == catalog.OFFSET[kind] + KINDS[kind].categories.index(category))
-        hits = F.when(cond, n) if hits is None else hits.when(cond, n)
-    found = facts.withColumn("req", hits).where("req is not null").groupBy("pose_id").agg(F.count_distinct("req").alias("n")).where(F.col("n") == len(wanted))
+    rows = [(n, catalog.CODE_ID[kind, joints], catalog.OFFSET[kind] + KINDS[kind].categories.index(category)) for n, (kind, joints, category) in enumerate(wanted)]
+    table = F.broadcast(facts.sparkSession.createDataFrame(rows, "req int, code_id int, intptt_id int"))
+    # no filter on the category: it would be pushed into the measurement and repeat it for every threshold
+    found = facts.join(table, ["code_id", "intptt_id"], "left").groupBy("pose_id").agg(F.count_distinct("req").alias("n")).where(F.col("n") == len(wanted))
     found = found.select("pose_id", uniform(seed, "search", F.col("pose_id")).alias("draw"))
     return found if k is None else found.orderBy("draw", "pose_id").limit(k)
 

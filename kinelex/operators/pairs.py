@@ -220,8 +220,8 @@ def contact_delta(pairs: DataFrame, contacts: DataFrame) -> DataFrame:
 
 # Body parts from the trunk outwards, one list for each branch.
 ORDER = {
-    "upper": "body torso arm shoulder upperarm elbow forearm wrist hand index".split(),
-    "lower": "body torso leg hip thigh knee lowerleg shin ankle foot toes".split(),
+    "upper": ("body", "torso", "arm", "shoulder", "upperarm", "elbow", "forearm", "wrist", "hand", "index"),
+    "lower": ("body", "torso", "leg", "hip", "thigh", "knee", "lowerleg", "shin", "ankle", "foot", "toes"),
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import uniform
 from ..functions.stages import stored
 from ..plans import catalog
-from . import codes, pairs, rewrite
+from . import codes, compose, pairs, rewrite
 from .text import sentence_case
 
 #: Wordings of each category: {s} subject, {v} its verb, {o} object.
@@ -36,6 +36,15 @@ PHRASES: dict[str, tuple[str, ...]] = {
     "horizontal": ("{s} {v} level with the floor",),
     "on_ground": ("{s} {v} on the floor",),
     "touch": ("{s} {v} touching {o}", "{s} {v} in contact with {o}"),
+    "x-aligned": ("{s} {v} at one width with {o}",),
+    "y-aligned": ("{s} {v} at the height of {o}", "{s} {v} level with {o}"),
+    "z-aligned": ("{s} {v} at one depth with {o}",),
+    "xy-aligned": ("{s} {v} straight in front of or behind {o}", "{s} {v} in one line of sight with {o}"),
+    "xz-aligned": ("{s} {v} straight above or below {o}", "{s} {v} in one upright line with {o}"),
+    "yz-aligned": ("{s} {v} beside {o} at its height", "{s} {v} in one level line with {o}"),
+    "kneel_on_left": ("{s} {v} kneeling on the left knee",),
+    "kneel_on_right": ("{s} {v} kneeling on the right knee",),
+    "kneeling": ("{s} {v} kneeling", "{s} {v} on both knees"),
 }
 #: Wordings of categories whose second part is left out.
 ALONE: dict[str, tuple[str, ...]] = {
@@ -55,7 +64,10 @@ PAIR_PHRASES: dict[str, tuple[str, ...]] = {
     **{c: (f"move {{s}} {c.replace('more ', '')}",) for a in "XYZ" for c in catalog.PAIR_KINDS[f"pair_relativePos{a}"].categories if "ignored" not in c},
     **{c: (c.replace("body incline", "tilt the body").replace("body twist", "twist the body").replace("body lean", "lean the body"),) for a in "XYZ" for c in catalog.PAIR_KINDS[f"pair_bodyIncline{a}"].categories if "ignored" not in c},
 }
-TRANSITIONS = (". ", ", and ", "; ", ", while ", ". ")
+#: What stands between two clauses.  After `with`, and after every `and` that follows it, a clause has no verb.
+TRANSITIONS = (". ", " and ", " with ", "; ", ", while ")
+#: What stands between the clauses of one subject: the first two drop the verb; {it} and {v} agree with the subject.
+LINKS = (" and ", ", ", " and {v} ", ". {it} {v} ")
 
 
 def plural(part: Column) -> Column:
@@ -85,39 +97,78 @@ def polish(text: Column) -> Column:
     return F.concat(sentence_case(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("."))
 
 
-def sentences(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Ordered formatted codes -> key, text: one clause a code, joined by drawn transitions.
+def several(nouns: Column) -> Column:
+    """Nouns as a list: commas, and `and` before the last."""
+    n = F.size(nouns)
+    return F.when(n == 1, F.get(nouns, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(nouns, F.lit(1), n - 1), ", "), F.lit(" and "), F.get(nouns, n - 1)))
 
-    A clause on the subject of the one before it may start a sentence with `it` or `they` instead of naming it.
+
+def predicate(code: Column, draw: Column) -> Column:
+    """What is said of a code's first part, without subject and verb; null where the category has no words."""
+    silent = rewrite.needless(code["part1"], code["intptt"], code["part2"])
+    words = F.when((silent | code["part2"].isNull()) & code["intptt"].isin(*ALONE), pick(ALONE, code["intptt"], draw)).otherwise(pick(PHRASES, code["intptt"], draw))
+    return F.replace(F.replace(words, F.lit("{s} {v} "), F.lit("")), F.lit("{o}"), F.coalesce(noun(code["side2"], code["part2"]), F.lit("each other")))
+
+
+def is_plural(code: Column) -> Column:
+    return F.coalesce(code["side1"] == "both", F.lit(False)) | code["part1"].isin("hands", "feet", "toes")
+
+
+def unit_text(key: str, bare: Column, seed: int = 0) -> Column:
+    """The words of a unit (how, grp, codes) of `compose.fuse`; bare: without its verb."""
+    draw = lambda site, i: uniform(seed, site, F.col(key), F.col("how"), F.col("grp"), i)
+    first = F.get("codes", F.lit(0))
+    subjects = F.transform("codes", lambda c: noun(c["side1"], c["part1"]))
+    many = (F.col("how") == "predicate") | is_plural(first)
+    verb, it = F.when(many, "are").otherwise("is"), F.when(many, "they").otherwise("it")
+    shared = F.concat(several(subjects), F.when(bare, " ").otherwise(" are "), predicate(first, draw("phrase", F.lit(0))))
+
+    def clause(c: Column, i: Column) -> Column:
+        n = F.when(bare, 2).otherwise(len(LINKS))
+        link = F.element_at(F.array(*(F.lit(x) for x in LINKS)), F.floor(draw("link", i) * n).cast("int") + 1)
+        start = F.when(i == 0, F.concat(F.get(subjects, F.lit(0)), F.when(bare, " ").otherwise(F.concat(F.lit(" "), verb, F.lit(" "))))).otherwise(F.replace(F.replace(link, F.lit("{v}"), verb), F.lit("{it}"), it))
+        return F.concat(start, predicate(c, draw("phrase", i)))
+
+    return F.when(F.col("how") == "predicate", shared).otherwise(F.array_join(F.transform("codes", clause), ""))
+
+
+def sentences(rows: DataFrame, key: str, seed: int = 0, p: float = 1.0) -> DataFrame:
+    """Formatted codes -> key, text: fused, in the order of the item's walk, and joined by drawn transitions.
+
+    A unit that follows `with`, or an `and` in its wake, says nothing of being.  Codes without words are
+    left out before anything else, so they never open a text.
+    """
+    said = rows.where(F.col("intptt").isin(*PHRASES))
+    units = compose.ordered(compose.fuse(said, key, p, seed), key, seed)
+    mine = Window.partitionBy(key).orderBy("place")
+    drawn = F.element_at(F.array(*(F.lit(t) for t in TRANSITIONS)), F.floor(uniform(seed, "transition", F.col(key), F.col("place")) * len(TRANSITIONS)).cast("int") + 1)
+    units = units.withColumn("link", F.when(F.col("place") == 0, "").otherwise(drawn))
+    units = units.withColumn("bare", F.coalesce(F.last(F.when(F.col("link") != " and ", F.col("link") == " with "), ignorenulls=True).over(mine), F.lit(False)))
+    c = units.select(key, F.struct("place", F.concat("link", unit_text(key, F.col("bare"), seed)).alias("c")).alias("x"))
+    return c.groupBy(key).agg(polish(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), "")).alias("text"))
+
+
+def describe(poses: DataFrame, contacts: DataFrame | None = None, seed: int = 0, simple: bool = False, p: float = 0.95) -> DataFrame:
+    """poses (pose_id, joints) -> pose_id, text.
+
+    contacts (pose_id, side1, part1, side2, part2): parts that touch, if known.  p: how often codes
+    that can be said together are.  simple: without merging, pruning and fusing of codes.
     """
-    draw = lambda site: uniform(seed, site, F.col(key), F.col("place"))
-    phrase = F.when(F.col("part2").isNull() & F.col("intptt").isin(*ALONE), pick(ALONE, F.col("intptt"), draw("phrase"))).otherwise(pick(PHRASES, F.col("intptt"), draw("phrase")))
-    said = rows.select("*", phrase.alias("phrase"), noun(F.col("side1"), F.col("part1")).alias("s")).where("phrase is not null")
-    before = F.lag("s").over(Window.partitionBy(key).orderBy("place"))
-    again = F.coalesce(before == F.col("s"), F.lit(False)) & (draw("again") < 0.5)
-    said = said.select("*", before.isNull().alias("first"), again.alias("again"))
-    o, both = F.coalesce(noun(F.col("side2"), F.col("part2")), F.lit("each other")), F.col("side1") == "both"
-    subject = F.when(F.col("again"), F.when(both, "they").otherwise("it")).otherwise(F.col("s"))
-    clause = F.replace(F.replace(F.replace("phrase", F.lit("{s}"), subject), F.lit("{v}"), F.when(both, "are").otherwise("is")), F.lit("{o}"), o)
-    drawn = F.element_at(F.array(*(F.lit(t) for t in TRANSITIONS)), F.floor(draw("link") * len(TRANSITIONS)).cast("int") + 1)
-    link = F.when(F.col("first"), "").when(F.col("again"), ". ").otherwise(drawn)
-    c = said.select(key, "place", F.concat(link, clause).alias("c"))
-    return c.groupBy(key).agg(polish(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "c"))), lambda x: x["c"]), "")).alias("text"))
-
-
-def describe(poses: DataFrame, seed: int = 0, simple: bool = False) -> DataFrame:
-    """poses (pose_id, joints) -> pose_id, text.  simple: without merging and pruning of codes."""
     facts = stored(codes.measure(poses).select("pose_id", "code_id", "intptt_id"), "facts")
-    settled = codes.resolve_support(codes.eligibility(facts), codes.super_codes(facts))
-    kept = stored(codes.skip(settled, seed=seed).where("kept").select("pose_id", "code_id", "intptt_id", "elig"), "kept")
+    supers = codes.super_codes(facts)
+    settled = codes.resolve_support(codes.eligibility(facts), supers)
+    kept = stored(codes.skip(codes.with_supers(settled, supers), seed=seed).where("kept").select("pose_id", "code_id", "intptt_id", "elig"), "kept")
     if simple:
         rows = rewrite.formatted(kept).drop("code_id")
     else:
         pruned = rewrite.prune_statistical(kept, facts)
-        rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned")
-        rows = rewrite.merge_symmetric(rewrite.merge_entities(rows).withColumn("code_id", F.lit(0)))
+        rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned").drop("code_id")
+    if contacts is not None:
+        rows = rewrite.merge_contacts(rows, rewrite.prune_contained(contacts.join(facts.select("pose_id").distinct(), "pose_id", "left_semi")))
+    if not simple:
+        rows = rewrite.merge_symmetric(rewrite.merge_entities(rows, seed=seed))
         rows = rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed)
-    return sentences(stored(rewrite.omit_second(rewrite.ordered(rows, seed)), "ordered"), "pose_id", seed)
+    return sentences(stored(rows, "rewritten"), "pose_id", seed, 0.0 if simple else p)
 
 
 def instruct(pair_facts: DataFrame, rotations: DataFrame | None = None, seed: int = 0) -> DataFrame:

@@ -12,33 +12,58 @@ from pyspark.sql import functions as F
 from ..functions.exprs import uniform
 from ..plans import catalog
 from ..plans.catalog import CODES, KINDS, split_side
+from .compose import CODE
 from .pairs import ORDER
 
 #: Kinds whose codes talk about their focus part alone.
 FOCUS_KINDS = ("angle", "relativeVAxis", "onGround", "bodyInclineX", "bodyInclineY", "bodyInclineZ", "relativeRotX", "relativeRotY", "relativeRotZ")
 
-# Two parts that make one, by part.
+# Two parts that make one.
 ENTITIES = (
-    ("wrist", "elbow", "arm"), ("hand", "elbow", "arm"), ("forearm", "upperarm", "arm"), ("ankle", "knee", "leg"), ("foot", "knee", "leg"), ("shin", "thigh", "leg"),
-    ("lowerleg", "thigh", "leg"), ("upperback", "lowerback", "back"), ("belly", "chest", "torso"), ("index", "wrist", "hand"), ("toes", "ankle", "foot"),
-)
+    ("wrist", "elbow", "arm"),
+    ("hand", "elbow", "arm"),
+    ("ankle", "knee", "leg"),
+    ("foot", "knee", "leg"),
+    ("forearm", "upperarm", "arm"),
+    ("shin", "thigh", "leg"),
+    ("lowerleg", "thigh", "leg"),
+    ("upperback", "lowerback", "back"),
+    ("belly", "chest", "torso"),
+    ("index", "wrist", "hand"),
+    ("toes", "ankle", "foot"),
+)
 # Which body part contains which.
 CONTAINS = {
-    "hand": "index wrist", "forearm": "hand wrist elbow", "upperarm": "elbow shoulder", "arm": "forearm upperarm shoulder", "foot": "toes ankle",
-    "lowerleg": "foot ankle knee", "thigh": "knee hip", "leg": "lowerleg thigh hip", "torso": "hip shoulder back chest belly crotch", "back": "upperback lowerback butt",
-    "neck": "throat", "head": "face crown",
-}
-
-
-def format_table(spark: SparkSession) -> DataFrame:
-    """code_id, intptt_id, kind, side1, part1, intptt, side2, part2."""
+    "hand": ("index", "wrist"),
+    "forearm": ("hand", "wrist", "elbow"),
+    "upperarm": ("elbow", "shoulder"),
+    "arm": ("forearm", "upperarm", "shoulder"),
+    "foot": ("toes", "ankle"),
+    "lowerleg": ("foot", "ankle", "knee"),
+    "thigh": ("knee", "hip"),
+    "leg": ("lowerleg", "thigh", "hip"),
+    "torso": ("hip", "shoulder", "back", "chest", "belly", "crotch"),
+    "back": ("upperback", "lowerback", "butt"),
+    "neck": ("throat",),
+    "head": ("face", "crown"),
+}
+
+
+def format_rows() -> list[tuple]:
+    """code_id, intptt_id, kind, side1, part1, intptt, side2, part2 of codes and, numbered after them, of super-codes."""
     rows = []
     for i, c in enumerate(CODES):
         first = c.focus or c.joints[0]
         second = None if c.kind in FOCUS_KINDS else next(j for j in (c.joints[1], c.joints[0]) if j != first)
         for n, name in enumerate(KINDS[c.kind].categories):
             rows.append((i, catalog.OFFSET[c.kind] + n, c.kind, *split_side(first), name, *split_side(second)))
-    return spark.createDataFrame(rows, "code_id int, intptt_id int, kind string, side1 string, part1 string, intptt string, side2 string, part2 string")
+    for i, s in enumerate(catalog.SUPERS):
+        rows.append((len(CODES) + i, catalog.CATEGORIES.index(s.category), "super", *split_side(s.focus[0]), s.category, *split_side(s.focus[1] if len(s.focus) > 1 else None)))
+    return rows
+
+
+def format_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(format_rows(), "code_id int, intptt_id int, kind string, side1 string, part1 string, intptt string, side2 string, part2 string")
 
 
 def formatted(eligible: DataFrame) -> DataFrame:
@@ -63,20 +88,37 @@ def prune_transitive(rows: DataFrame) -> DataFrame:
     return rows.join(dropped, ["pose_id", "code_id"], "left_anti")
 
 
-def merge_entities(rows: DataFrame) -> DataFrame:
-    """Two parts of one side that say the same become their common part; merged codes are distinct, the rest stays."""
+def merge_entities(rows: DataFrame, p: float = 1.0, seed: int = 0, key: str = "pose_id") -> DataFrame:
+    """Two codes of one category become one where parts of theirs make a larger part.
+
+    The sides of first and second parts must be the same in both.  Either the first parts make one and
+    the second parts are equal, or the other way round, or both make one.  Every such pair of codes is
+    replaced, with probability p, by the code of the larger parts; what came of it is distinct, the rest stays.
+    """
     spark = rows.sparkSession
-    t = F.broadcast(spark.createDataFrame(ENTITIES, "x string, y string, entity string"))
-    key = ["pose_id", "side1", "intptt", "side2", "part2"]
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
-    on = same("a", "b")[0]
-    for c in same("a", "b")[1:]:
-        on = on & c
-    both = rows.alias("a").join(t, F.col("part1") == F.col("x")).join(rows.alias("b"), on & (F.col("b.part1") == F.col("y")))
-    merged = both.select("a.pose_id", "a.side1", F.col("entity").alias("part1"), "a.intptt", "a.side2", "a.part2").distinct()
-    gone = both.select("a.pose_id", F.explode(F.array("a.code_id", "b.code_id")).alias("code_id")).distinct()
-    rest = rows.join(gone, ["pose_id", "code_id"], "left_anti").select("pose_id", "side1", "part1", "intptt", "side2", "part2")
-    return rest.unionByName(merged).distinct()
+    t = F.broadcast(spark.createDataFrame([*ENTITIES, *((y, x, e) for x, y, e in ENTITIES)], "x string, y string, entity string"))
+    r = rows.select(key, *CODE).distinct()
+    a = r.select(key, *(F.col(c).alias(f"{c}_a") for c in CODE))
+    same = F.col("intptt_a") == F.col("intptt")
+    for c in ("side1", "side2"):
+        same = same & F.col(f"{c}_a").eqNullSafe(F.col(c))
+    both = a.join(r, key).where(same)
+    for i, n in enumerate(("part1", "part2")):
+        both = both.join(t.select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("entity").alias(f"e{i}")), (F.col(f"{n}_a") == F.col(f"x{i}")) & (F.col(n) == F.col(f"y{i}")), "left")
+    alike = [F.col(f"{n}_a").eqNullSafe(F.col(n)) for n in ("part1", "part2")]
+    made = (F.col("e0").isNotNull() & (alike[1] | F.col("e1").isNotNull())) | (F.col("e1").isNotNull() & alike[0])
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    once = F.struct(text("part1_a"), text("part2_a")) < F.struct(text("part1"), text("part2"))
+    drawn = uniform(seed, "entity", F.col(key), text("side1"), text("part1_a"), text("part1"), F.col("intptt"), text("side2"), text("part2_a"), text("part2")) < p
+    both = both.where(made & once & drawn)
+    merged = both.select(key, "side1", F.coalesce("e0", "part1").alias("part1"), "intptt", "side2", F.coalesce("e1", "part2").alias("part2"))
+    gone = both.select(key, "side1", F.col("part1_a").alias("part1"), "intptt", "side2", F.col("part2_a").alias("part2")).unionByName(both.select(key, *CODE)).distinct()
+    names = [f"gone_{c}" for c in CODE]
+    gone = gone.select(F.col(key).alias("gone_key"), *(F.col(c).alias(n) for c, n in zip(CODE, names, strict=True)))
+    on = F.col(key) == F.col("gone_key")
+    for c, n in zip(CODE, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return r.join(gone, on, "left_anti").unionByName(merged).distinct()
 
 
 def merge_symmetric(rows: DataFrame) -> DataFrame:
@@ -189,15 +231,20 @@ def collapse(rows: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
     return rows.withColumns({"side1": F.when(one, "both").otherwise(F.col("side1")), "side2": F.when(~F.coalesce(one, F.lit(False)), F.col("side2")), "part2": F.when(~F.coalesce(one, F.lit(False)), F.col("part2"))})
 
 
-def omit_second(rows: DataFrame) -> DataFrame:
-    """Drops second parts that only served the measurement: what is behind or in front of the torso, hands beside a shoulder, feet beside a hip, hands above the neck."""
-    hand, foot = F.col("part1").isin("hand", "hands"), F.col("part1").isin("foot", "feet")
-    beside = F.col("intptt").isin("at_right", "at_left")
-    needless = (
-        ((F.col("part2") == "torso") & F.col("intptt").isin("behind", "front")) | (hand & (F.col("part2") == "shoulder") & beside)
-        | (foot & (F.col("part2") == "hip") & beside) | ((hand | (F.col("part1") == "wrist")) & (F.col("part2") == "neck") & (F.col("intptt") == "above"))
+def needless(part1: Column, intptt: Column, part2: Column) -> Column:
+    """Whether a second part only served the measurement: what is behind or in front of the torso, hands beside a shoulder, feet beside a hip, hands above the neck."""
+    hand, foot = part1.isin("hand", "hands"), part1.isin("foot", "feet")
+    beside = intptt.isin("at_right", "at_left")
+    said = (
+        ((part2 == "torso") & intptt.isin("behind", "front")) | (hand & (part2 == "shoulder") & beside)
+        | (foot & (part2 == "hip") & beside) | ((hand | (part1 == "wrist")) & (part2 == "neck") & (intptt == "above"))
     )
-    keep = ~F.coalesce(needless, F.lit(False))
+    return F.coalesce(said, F.lit(False))
+
+
+def omit_second(rows: DataFrame) -> DataFrame:
+    """Rows without their needless second parts."""
+    keep = ~needless(F.col("part1"), F.col("intptt"), F.col("part2"))
     return rows.withColumns({"side2": F.when(keep, F.col("side2")), "part2": F.when(keep, F.col("part2"))})
 
 
@@ -220,7 +267,7 @@ def fuse(rows: DataFrame, exempt: Column | None = None) -> DataFrame:
 def contains_rows() -> list[tuple[str, str]]:
     """whole, part: everything that a part contains, at any depth."""
     def below(p: str) -> set[str]:
-        own = CONTAINS.get(p, "").split()
+        own = CONTAINS.get(p, ())
         return set(own).union(*(below(c) for c in own))
 
     return [(p, c) for p in CONTAINS for c in sorted(below(p))]

@@ -250,10 +250,14 @@ def transitive_prune(spark, sf_dir):
     return rewrite.prune_transitive(rewrite.formatted(settled(spark, sf_dir)[1])).select("pose_id", "code_id", "intptt")
 
 
-_ent = sql.values(list(rewrite.ENTITIES))
-ENTITY = f"""{FORMATTED}, both_ AS (SELECT a.pose_id, a.code_id AS ca, b.code_id AS cb, a.side1, entity, a.intptt, a.side2, a.part2 FROM rows a JOIN {_ent} t(x, y, entity) ON a.part1 = x
-  JOIN rows b ON b.pose_id = a.pose_id AND b.part1 = y AND b.side1 IS NOT DISTINCT FROM a.side1 AND b.intptt = a.intptt AND b.side2 IS NOT DISTINCT FROM a.side2 AND b.part2 IS NOT DISTINCT FROM a.part2),
-merged AS (SELECT pose_id, side1, part1, intptt, side2, part2 FROM rows r WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.pose_id = r.pose_id AND r.code_id IN (ca, cb)) UNION SELECT pose_id, side1, entity, intptt, side2, part2 FROM both_)"""
+_ent = sql.values([*rewrite.ENTITIES, *((y, x, e) for x, y, e in rewrite.ENTITIES)])
+ENTITY = f"""{FORMATTED}, r AS (SELECT DISTINCT pose_id, side1, part1, intptt, side2, part2 FROM rows), ent AS (SELECT * FROM {_ent} t(x, y, entity)),
+both_ AS (SELECT a.pose_id, a.side1, a.intptt, a.side2, a.part1 AS a1, a.part2 AS a2, b.part1 AS b1, b.part2 AS b2, coalesce(t.entity, b.part1) AS m1, coalesce(u.entity, b.part2) AS m2
+  FROM r a JOIN r b ON b.pose_id = a.pose_id AND b.intptt = a.intptt AND b.side1 IS NOT DISTINCT FROM a.side1 AND b.side2 IS NOT DISTINCT FROM a.side2
+  LEFT JOIN ent t ON a.part1 = t.x AND b.part1 = t.y LEFT JOIN ent u ON a.part2 = u.x AND b.part2 = u.y
+  WHERE (t.entity IS NOT NULL AND (u.entity IS NOT NULL OR a.part2 IS NOT DISTINCT FROM b.part2)) OR (u.entity IS NOT NULL AND a.part1 = b.part1)),
+merged AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.pose_id = r.pose_id AND b.intptt = r.intptt AND b.side1 IS NOT DISTINCT FROM r.side1 AND b.side2 IS NOT DISTINCT FROM r.side2 AND b.a1 = r.part1 AND b.a2 IS NOT DISTINCT FROM r.part2)
+  UNION SELECT pose_id, side1, m1, intptt, side2, m2 FROM both_)"""
 
 
 @query("q_entity_merge", f"WITH {ENTITY} SELECT * FROM merged")
@@ -389,7 +393,7 @@ def absolute_filter(spark, sf_dir):
 
 @query("q_describe")
 def describe(spark, sf_dir):
-    return realize.describe(poses(spark, sf_dir))
+    return realize.describe(poses(spark, sf_dir), contacts(spark, sf_dir))
 
 
 @query("q_instruct")
