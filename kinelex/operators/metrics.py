@@ -9,26 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, uniform
+from . import blocks
 from .mining import dot
 
 
-def ranks(queries: DataFrame, targets: DataFrame, bucket: str | None = None, blocks: int = 16) -> DataFrame:
+def ranks(queries: DataFrame, targets: DataFrame, bucket: str | None = None, rows: int = blocks.ROWS) -> DataFrame:
     """queries, targets (id, v[, bucket]) -> id, rank (0: best) of each query's own target among the targets of its bucket.
 
     The rank is counted, not sorted: how many targets score higher, or equal with a smaller id.
-    Without a bucket all targets count; they are dealt into blocks and each query meets every block.
+    Without a bucket all targets count: blocks of queries meet blocks of targets as matrix products.
     """
     on = [bucket] if bucket else []
-    q = queries.select(F.col("id").alias("q"), F.col("v").alias("vq"), *on)
-    t = targets.select(F.col("id").alias("t"), F.col("v").alias("vt"), *on)
-    own = q.join(t.drop(*on), F.col("q") == F.col("t")).select("q", "vq", F.round(dot(F.col("vq"), F.col("vt")), 9).alias("own"), *on)
+    own = queries.join(targets.select("id", F.col("v").alias("vt")), "id").select("id", "v", F.round(dot(F.col("v"), F.col("vt")), 9).alias("own"), *on)
     if not on:
-        on = ["__block"]
-        own = own.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        t = t.withColumn("__block", F.pmod(F.hash("t"), F.lit(blocks)))
-    s = F.round(dot(F.col("vq"), F.col("vt")), 9)
-    ahead = (s > F.col("own")) | ((s == F.col("own")) & (F.col("t") < F.col("q")))
-    return own.join(t, on).groupBy("q").agg(F.sum(ahead.cast("int")).cast("long").alias("rank")).withColumnRenamed("q", "id")
+        return blocks.counts_ahead(own, targets, F.col("own"), rows)
+    t = targets.select(F.col("id").alias("t"), F.col("v").alias("vt"), *on)
+    s = F.round(dot(F.col("v"), F.col("vt")), 9)
+    ahead = (s > F.col("own")) | ((s == F.col("own")) & (F.col("t") < F.col("id")))
+    return own.join(t, on).groupBy("id").agg(F.sum(ahead.cast("int")).cast("long").alias("rank"))
 
 
 def recall(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.exprs import uniform
-from ..functions.stages import shared_dir
+from ..functions.stages import shared_dir, stored
+from . import blocks, text
 
 
 def mpje(a: Column, b: Column) -> Column:
@@ -66,13 +67,12 @@ def in_sequence(frames: DataFrame, within: float = 0.5) -> DataFrame:
     return j.select("a", "b", (F.col("fb") - F.col("fa")).alias("frame_diff"))
 
 
-def similar(features: DataFrame, k: int = 100, low: float = 0.7, high: float = 0.9, bucket: str = "label") -> DataFrame:
-    """features (id, v, bucket) -> b, a, similarity, rank: the k most similar a of each b within a bucket, then those inside (low, high)."""
-    f = features.select("id", "v", bucket)
-    j = f.select(F.col("id").alias("b"), F.col("v").alias("vb"), bucket).join(f.select(F.col("id").alias("a"), F.col("v").alias("va"), bucket), bucket).where("a <> b")
-    s = j.select("b", "a", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("similarity"), "a"))).where(F.col("rank") <= k)
-    return top.where((F.col("similarity") > low) & (F.col("similarity") < high))
+def similar(features: DataFrame, k: int = 100, low: float = 0.7, high: float = 0.9, apart: str | None = None, rows: int = blocks.ROWS) -> DataFrame:
+    """features (id, v of unit length) -> b, a, similarity, rank: of the k rows most similar to each b, all rows looked at, those inside (low, high).
+
+    apart: only rows that differ in this column (as of other sequences) are looked at.
+    """
+    return blocks.most_similar(features, k, apart, rows).where((F.col("similarity") > low) & (F.col("similarity") < high))
 
 
 def code_difference(facts: DataFrame, pairs: DataFrame, more_than: int) -> DataFrame:
@@ -97,12 +97,48 @@ def role_unicity(pairs: DataFrame) -> DataFrame:
     return once(once(pairs, "b", "a"), "a", "b")
 
 
-def annotation_order(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) -> a, b, two_way, weight: by b; a pair is two-way if the reverse exists, and weighs less the more often its a is used."""
-    back = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(True).alias("two_way"))
-    uses = pairs.groupBy("a").agg(F.count("*").alias("uses"))
-    out = pairs.join(back, ["a", "b"], "left").join(uses, "a")
-    return out.select("a", "b", F.coalesce("two_way", F.lit(False)).alias("two_way"), (1.0 / F.col("uses")).alias("weight"))
+def in_order(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) of one sequence -> the same with place: by b and then a."""
+    return text.in_order(pairs.select("a", "b").distinct(), "b", "a")
+
+
+def annotation_order(pairs: DataFrame, seed: int = 0) -> DataFrame:
+    """pairs (a, b) of different sequences, a to be changed into b -> b, a, two_way, step, place.
+
+    Poses b are gone through by id.  Each takes one a, and where it can one that is a later b itself and
+    not yet taken: then the pair is asked both ways (step 0 and 1) and a isn't gone through any more.  Among
+    what it can take, b prefers an a the more, the fewer b it can be used for: each pair draws a
+    waiting time that grows with those uses, and the shortest is taken.
+
+    A b can be settled without those after it, and all of these at once, as soon as no earlier b can take it
+    or its first choice.  So rounds of settled b give what going through them one by one gives; a round
+    costs a few joins, and the smallest b left is always settled.
+    """
+    p = pairs.select("a", "b").where("a <> b").distinct()
+    uses = p.groupBy("a").agg(F.count("*").alias("uses"))
+    wait = -F.log(1 - uniform(seed, "annotate", F.col("b"), F.col("a"))) * F.col("uses")
+    p = stored(p.join(uses, "a").select("a", "b", wait.alias("wait")), "choices")
+    later = p.select(F.col("b").alias("a")).distinct()
+    open_ = stored(p.where("a > b").join(later, "a", "left_semi"), "open")  # what b can take both ways
+    done = None
+    while not open_.isEmpty():
+        first = open_.groupBy("b").agg(F.min(F.struct("wait", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+        asked = open_.groupBy("a").agg(F.min("b").alias("earliest"))
+        free = first.join(asked.select(F.col("a").alias("b")), "b", "left_anti")  # no earlier b can take it
+        took = stored(free.join(asked, "a").where("earliest = b").select("a", "b"), "taken")
+        done = took if done is None else done.unionByName(took)
+        gone = took.select(F.col("a").alias("id")).union(took.select(F.col("b").alias("id")))
+        left = open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        open_ = stored(left, "open")
+    if done is None:
+        done = p.select("a", "b").where("false")
+    alone = p.join(done.select("b"), "b", "left_anti").join(done.select(F.col("a").alias("b")), "b", "left_anti")
+    alone = alone.groupBy("b").agg(F.min(F.struct("wait", "a")).alias("x")).select("b", F.col("x.a").alias("a"), F.lit(False).alias("two_way"), F.array(F.lit(0)).alias("steps"))
+    both = done.select("b", "a", F.lit(True).alias("two_way"), F.array(F.lit(0), F.lit(1)).alias("steps"))
+    out = alone.unionByName(both).select("b", "a", "two_way", F.explode("steps").alias("step"))
+    out = text.in_order(out, "b", "step")
+    turned = F.col("step") == 1
+    return out.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), "two_way", "step", "place")
 
 
 def nearest(features: DataFrame, query: DataFrame, n: int = 12) -> DataFrame:

@@ -230,16 +230,19 @@ def in_sequence_pairs(spark, sf_dir):
     return mining.in_sequence(mining_frames(spark, sf_dir))
 
 
-@query(
-    "q_similar_pairs",
-    f"""WITH s AS (SELECT b.vec_id AS b, a.vec_id AS a, {DOT.format('b.embedding', 'a.embedding')} / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))) AS c
-  FROM embeddings b JOIN embeddings a ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT b, a, round(c, 6) AS similarity, row_number() OVER (PARTITION BY b ORDER BY round(c, 6) DESC, a) AS rank FROM s)
-SELECT b, a, similarity, rank FROM r WHERE rank <= 100 AND similarity > 0.7 AND similarity < 0.9""",
-)
+#: Similarities that are near but not too near, for the features of the tables.
+NEAR, SAME = 0.3, 0.9
+SIMILAR = f"""s AS (SELECT b.vec_id AS b, a.vec_id AS a, round(list_dot_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 6) AS similarity
+  FROM embeddings b JOIN embeddings a ON a.label <> b.label AND a.vec_id <> b.vec_id),
+similar_ AS (SELECT b, a, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) AS rank FROM s) WHERE rank <= 100 AND similarity > {NEAR} AND similarity < {SAME})"""
+
+
+@query("q_similar_pairs", f"WITH {SIMILAR} SELECT b, a, similarity, rank FROM similar_")
 def similar_pairs(spark, sf_dir):
+    """Of the hundred features of other sequences that are most similar to each one, those that aren't too similar."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     n = F.sqrt(mining.dot(F.col("v"), F.col("v")))
-    return mining.similar(e.select("id", F.transform("v", lambda x: x / n).alias("v"), "label"))
+    return mining.similar(e.select("id", F.transform("v", lambda x: x / n).alias("v"), "label"), 100, NEAR, SAME, "label")
 
 
 @query(
@@ -278,15 +281,29 @@ def role_unicity(spark, sf_dir):
     return mining.role_unicity(candidates(spark, sf_dir)).select("a", "b", "frame_diff")
 
 
-@query(
-    "q_annotation_order",
-    f"""WITH {CANDIDATES}, p AS (SELECT a, b FROM c UNION SELECT b, a FROM c WHERE frame_diff = 1), n AS (SELECT a, count(*) AS uses FROM p GROUP BY a)
-SELECT a, b, EXISTS (SELECT 1 FROM p r WHERE r.a = p.b AND r.b = p.a) AS two_way, round(1.0::DOUBLE / uses, 6) AS weight FROM p JOIN n USING (a)""",
-)
+ANNOTATED = f"""RECURSIVE {SIMILAR}, u AS (SELECT a, count(*) AS uses FROM similar_ GROUP BY a),
+w AS (SELECT b, a, -ln(1 - {uniform_sql(0, 'annotate', 'b', 'a')}) * uses AS wait, a > b AND a IN (SELECT b FROM similar_) AS later FROM similar_ JOIN u USING (a)),
+p AS (SELECT b, list(a ORDER BY wait, a) AS choices, list(a ORDER BY wait, a) FILTER (later) AS ahead FROM w GROUP BY b),
+q AS (SELECT *, row_number() OVER (ORDER BY b) AS k FROM p),
+rec AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, NULL::BIGINT AS b, NULL::BIGINT AS a, false AS two_way
+  UNION ALL
+  SELECT q.k, CASE WHEN list_contains(gone, q.b) OR x.a IS NULL THEN gone ELSE list_append(gone, x.a) END, CASE WHEN NOT list_contains(gone, q.b) THEN q.b END, coalesce(x.a, choices[1]), x.a IS NOT NULL
+  FROM rec JOIN q ON q.k = rec.k + 1, LATERAL (SELECT [i FOR i IN q.ahead IF NOT list_contains(rec.gone, i)][1] AS a) x),
+steps AS (SELECT b AS turn, b, a, two_way, 0 AS step FROM rec WHERE b IS NOT NULL UNION ALL SELECT b, a, b, two_way, 1 FROM rec WHERE b IS NOT NULL AND two_way)"""
+
+
+@query("q_annotation_order", f"WITH {ANNOTATED} SELECT b, a, two_way, step, row_number() OVER (ORDER BY turn, step) - 1 AS place FROM steps")
 def annotation_order(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    p = c.select("a", "b").union(c.where("frame_diff = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return rounded(mining.annotation_order(p), "weight")
+    """The similar pairs of different sequences in the order in which they would be annotated, both ways where that can be."""
+    out = mining.annotation_order(similar_pairs(spark, sf_dir).select("a", "b"))
+    return out.select("b", "a", "two_way", F.col("step").cast("long").alias("step"), F.col("place").cast("long").alias("place"))
+
+
+@query("q_sequence_order", f"WITH {CANDIDATES} SELECT a, b, row_number() OVER (ORDER BY b, a) - 1 AS place FROM c")
+def sequence_order(spark, sf_dir):
+    """The pairs of one sequence in the order in which they would be annotated."""
+    return mining.in_order(candidates(spark, sf_dir)).select("a", "b", F.col("place").cast("long").alias("place"))
 
 
 @query("q_nearest", f"SELECT id, similarity FROM (SELECT vec_id AS id, {DOT.format('embedding', '(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)')} AS similarity FROM embeddings) ORDER BY similarity DESC, id LIMIT 12")
