@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.exprs import bin_of, let, uniform
+from ..functions.stages import stored
 from ..plans import catalog
 from ..plans.catalog import AT, CODES, KINDS
 
@@ -216,3 +217,54 @@ def rule_mining(facts: DataFrame, confidence: float = 0.7, support: int = 50) ->
     f = f.join(F.broadcast(single), "item")
     pairs = f.alias("a").join(f.alias("b"), "pose_id").where("a.item <> b.item").groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b")).agg(F.count("*").alias("n"), F.max("a.n_a").alias("n_a"))
     return pairs.where((F.col("n") >= support) & (F.col("n") >= confidence * F.col("n_a"))).select("a", "b", F.col("n"), (F.col("n") / F.col("n_a")).alias("confidence"))
+
+
+def _items(facts: DataFrame, support: int) -> DataFrame:
+    """pose_id, item: accepted categories that at least `support` poses have, as one number each."""
+    t = F.broadcast(code_table(facts.sparkSession).where("accepted = 1").select("code_id", "intptt_id"))
+    f = facts.join(t, ["code_id", "intptt_id"]).select("pose_id", (F.col("code_id") * 1000 + F.col("intptt_id")).alias("item"))
+    often = f.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("item")
+    return f.join(F.broadcast(often), "item")
+
+
+def mirror_rows() -> list[tuple[int, int]]:
+    """item, item: each accepted category and the one that says the same of the other side."""
+    from .rewrite import mirrored_code
+
+    number = lambda c: catalog.CODE_ID[c[0], c[1]] * 1000 + catalog.OFFSET[c[0]] + KINDS[c[0]].categories.index(c[2])
+    rows = [((c.kind, c.joints, x), mirrored_code((c.kind, c.joints, x))) for c in CODES for x in c.accepted]
+    return [(number(a), number(b)) for a, b in rows]
+
+
+def symmetric(rules: DataFrame, *columns: str) -> DataFrame:
+    """Those of the rules over items whose mirror image is a rule too; the items before the last may change places."""
+    m = F.broadcast(rules.sparkSession.createDataFrame(mirror_rows(), "item int, other int"))
+    image = rules.select(*columns)
+    for c in columns:
+        image = image.join(m.select(F.col("item").alias(c), F.col("other").alias(f"m_{c}")), c)
+    *given, said = (F.col(f"m_{c}") for c in columns)
+    sides = [F.least(*given), F.greatest(*given)] if len(given) > 1 else given
+    return rules.join(image.select(*(x.alias(c) for x, c in zip([*sides, said], columns, strict=True))).distinct(), list(columns), "left_semi")
+
+
+def tri_rules(facts: DataFrame, confidence: float = 0.8, support: int = 50, bi_confidence: float = 0.7) -> DataFrame:
+    """Rules a, b => c (a < b) between accepted categories of one pose: a, b, c, n (poses that have all three), confidence.
+
+    Level by level: categories that enough poses have, then pairs, then triples.  As all of
+    a, b, c hold in no more poses than two of them, only triples whose pairs are frequent enough
+    for the rule are counted.  A rule that adds b to a mined rule a => c says nothing new and is left
+    out; a rule must hold for the other side of the body too.
+    """
+    items = stored(_items(facts, support), "items")
+    pose = items.groupBy("pose_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    pairs = items.join(pose, "pose_id").select("pose_id", F.col("item").alias("a"), "items", F.explode(F.filter("items", lambda x: x > F.col("item"))).alias("b"))
+    both = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= support), "pairs")
+    n_of = both.select("a", "b", "n_ab").union(both.select("b", "a", "n_ab"))
+    third = lambda x, to: n_of.select(F.col("a").alias(x), F.col("b").alias("c"), F.col("n_ab").alias(to))
+    enough = F.least("n_ac", "n_bc") >= F.greatest(F.lit(float(support)), confidence * F.col("n_ab"))
+    wanted = both.join(third("a", "n_ac"), "a").join(third("b", "n_bc"), ["b", "c"]).where(enough).select("a", "b", "c", "n_ab")
+    mined = symmetric(rule_mining(facts, bi_confidence, support), "a", "b").select("a", F.col("b").alias("c"))
+    wanted = wanted.join(mined, ["a", "c"], "left_anti").join(mined.select(F.col("a").alias("b"), "c"), ["b", "c"], "left_anti")
+    found = pairs.join(stored(wanted, "triples"), ["a", "b"]).where(F.array_contains("items", F.col("c")))
+    found = found.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.max("n_ab").alias("n_ab")).where((F.col("n") >= support) & (F.col("n") >= confidence * F.col("n_ab")))
+    return symmetric(stored(found.select("a", "b", "c", "n", (F.col("n") / F.col("n_ab")).alias("confidence")), "rules"), "a", "b", "c")

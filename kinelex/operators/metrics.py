@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -202,3 +203,19 @@ def formatted(metrics: DataFrame) -> DataFrame:
     v = F.col("value")
     text = F.when(F.col("metric").rlike("dist|mpje"), F.format_number(v * 1000, 0)).when(F.col("metric").rlike("bleu|rouge"), F.format_number(v * 100, 2)).when(F.col("metric").rlike("recall|precision"), F.format_number(v, 2))
     return metrics.select("metric", text.otherwise(F.format_number(v, 3)).alias("text"))
+
+
+def by_setting(rows: DataFrame, settings: dict[str, Column], sets: dict[str, Column], of: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """setting, subset, n_data and the mean of every metric: all settings on all subsets in one pass over rows.
+
+    settings: what a model gives for a row under each; sets: whether a row belongs to each; of: the
+    metrics of one such value.  Every row is laid out once per setting, with the metrics' values and its
+    subsets; a subset without rows has no line, and a null metric doesn't count.
+    """
+    given = F.explode(F.array(*(F.struct(F.lit(k).alias("setting"), v.alias("given")) for k, v in settings.items()))).alias("s")
+    inside = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in sets.items())), lambda x: x.isNotNull()).alias("subsets")
+    r = rows.select("*", inside).select("*", given)
+    values = of(F.col("s.given"))
+    r = r.select(F.col("s.setting").alias("setting"), "subsets", *(v.alias(k) for k, v in values.items()))
+    r = r.select("setting", F.explode("subsets").alias("subset"), *values)
+    return r.groupBy("setting", "subset").agg(F.count("*").alias("n_data"), *(F.avg(k).alias(k) for k in values))

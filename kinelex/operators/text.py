@@ -89,6 +89,65 @@ def flip(ts: Column) -> Column:
     return F.when(~F.arrays_overlap(ts, F.array(*(F.lit(g) for g in GUARDS))), F.transform(ts, one))
 
 
+#: Pieces of words, as a vocabulary may hold them: `anti-clockwise` is three.
+PIECE = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
+def flip_words() -> tuple[str, ...]:
+    """Every word that decides about a flip."""
+    return tuple(dict.fromkeys([*FLIPS, *FLIPS.values(), *ALSO_CLOCKWISE, *GUARDS, *DETERMINERS, *AFTER_BE, *ANGLES, *PREPOSITIONS]))
+
+
+def flip_table(vocab: DataFrame, piece: str = PIECE) -> list[tuple[str, tuple[int, ...], int]]:
+    """vocab (word, idx) of pieces -> (word, its ids, an id of its own beyond the vocabulary), the longest first.
+
+    The words are a constant of this package, so their few rows of the vocabulary and its largest id
+    may come to the driver.  A word with a piece that the vocabulary lacks can't occur and has no row.
+    """
+    import regex
+
+    pieces = {w: regex.findall(piece, w) for w in flip_words()}
+    known = {r.word: r.idx for r in vocab.where(F.col("word").isin(sorted({x for xs in pieces.values() for x in xs}))).collect()}
+    beyond = vocab.agg(F.max("idx")).first()[0] + 1
+    rows = [(w, tuple(known[x] for x in xs)) for w, xs in pieces.items() if all(x in known for x in xs)]
+    return [(w, ids, beyond + i) for i, (w, ids) in enumerate(sorted(rows, key=lambda r: (-len(r[1]), r[0])))]
+
+
+def _chained(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+
+
+def _unchained(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda i: i.cast("int"))
+
+
+def to_flip_ids(ids: Column, table: list[tuple[str, tuple[int, ...], int]]) -> Column:
+    """Ids with the ids of every flip word put into one; longer words go first, so no word is broken by one inside it."""
+    chain = _chained(ids)
+    for _, own, one in table:
+        chain = F.replace(chain, F.lit("".join(f"<{i}>" for i in own)), F.lit(f"<{one}>"))
+    return _unchained(chain)
+
+
+def from_flip_ids(ids: Column, table: list[tuple[str, tuple[int, ...], int]]) -> Column:
+    """The vocabulary's own ids again."""
+    many = F.create_map(*(x for _, own, one in table for x in (F.lit(one), F.array(*(F.lit(i) for i in own)))))
+    return F.flatten(F.transform(ids, lambda i: F.coalesce(many[i], F.array(i))))
+
+
+def flip_ids(ids: Column, table: list[tuple[str, tuple[int, ...], int]]) -> Column:
+    """Ids of a text whose sides are exchanged by the rules of `flip`; null where a guard word forbids it.
+
+    A word whose counterpart the vocabulary lacks stays.
+    """
+    word = F.create_map(*(F.lit(x) for w, _, one in table for x in (one, w)))
+    back = F.create_map(*(F.lit(x) for w, _, one in table for x in (w, one)))
+    one = to_flip_ids(ids, table)
+    words = F.transform(one, lambda i: F.coalesce(word[i], F.concat(F.lit("#"), i.cast("string"))))
+    turned = F.transform(flip(words), lambda w, k: F.coalesce(back[w], F.get(one, k)))
+    return from_flip_ids(turned, table)
+
+
 def coverage(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """How many vocabulary words have a pretrained vector, and how many lack one."""
     j = vocab.join(vectors.select("word").distinct().withColumn("has", F.lit(1)), "word", "left")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.exprs import uniform_sql
-from ..operators import codes, metrics, mining, pairs
+from ..functions.stages import stored
+from ..operators import codes, metrics, mining, pairs, text
 from . import catalog
 from . import oracle as sql
 from .queries import bodies, poses, query, rounded, table
@@ -317,3 +318,37 @@ def nearest(spark, sf_dir):
 def farthest(spark, sf_dir):
     """The first twenty poses of the diversity order."""
     return mining.farthest(poses(spark, sf_dir), 20)
+
+
+#: What stands for a model's pose B under each setting: pose A itself, A and the pose after it, a pose that the text alone decides, A and B.
+SETTINGS_SQL = f"""WITH {sql.POSES}, {sql.PAIRS}, e AS (SELECT vec_id AS pose_id, label FROM embeddings), m AS (SELECT count(*) AS m FROM pairs), pk AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS k FROM pairs),
+base AS (
+  SELECT pk.pair_id, k, a.p AS pa, b.p AS pb, ea.label = eb.label AS same, l.doc_id IS NOT NULL AS shared, coalesce(l.quality, 0) = 1 AS described
+  FROM pk JOIN poses a ON a.pose_id = pose_a JOIN poses b ON b.pose_id = pose_b JOIN e ea ON ea.pose_id = pose_a JOIN e eb ON eb.pose_id = pose_b LEFT JOIN labels l ON l.doc_id = pose_b),
+nxt AS (SELECT x.pair_id, y.pb AS other, z.pa AS after FROM base x, m JOIN base y ON y.k = (x.k * 7 + 3) % m JOIN base z ON z.k = (x.k + 1) % m),
+lay AS (
+  SELECT pair_id, s, j, pb[j] AS b, CASE s WHEN 'pose_similarity' THEN pa[j] WHEN 'pose_only' THEN [(pa[j][c] + after[j][c]) / 2 FOR c IN [1, 2, 3]] WHEN 'text_only' THEN other[j] ELSE [(pa[j][c] + pb[j][c]) / 2 FOR c IN [1, 2, 3]] END AS g
+  FROM base JOIN nxt USING (pair_id), (VALUES ('pose_similarity'), ('pose_only'), ('text_only'), ('regular')) t(s), range(1, {len(catalog.JOINTS) + 1}) r(j)),
+d AS (SELECT pair_id, s AS setting, avg(sqrt((g[1] - b[1]) ** 2 + (g[2] - b[2]) ** 2 + (g[3] - b[3]) ** 2)) AS mpje, max(sqrt((g[1] - b[1]) ** 2 + (g[2] - b[2]) ** 2 + (g[3] - b[3]) ** 2)) AS worst FROM lay GROUP BY ALL),
+sets AS (SELECT pair_id, unnest(['all', CASE WHEN same THEN 'in-sequence' ELSE 'out-sequence' END, CASE WHEN shared THEN 'shared' END, CASE WHEN shared AND NOT described THEN 'shared, modifier only' END, CASE WHEN shared AND described THEN 'shared, description only' END]) AS subset FROM base)
+SELECT setting, subset, count(*) AS n_data, round(avg(mpje), 6) AS mpje, round(avg(worst), 6) AS worst FROM d JOIN sets USING (pair_id) WHERE subset IS NOT NULL GROUP BY ALL"""
+
+
+@query("q_settings", SETTINGS_SQL)
+def settings(spark, sf_dir):
+    """Four ways to ask for pose B on six subsets of the pairs, in one pass."""
+    p = poses(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings")
+    label = lambda side: e.select(F.col("vec_id").alias(f"pose_{side}"), F.col("label").alias(f"label_{side}"))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pose_b"), F.lit(True).alias("shared"), (F.coalesce("quality", F.lit(0)) == 1).alias("described"))
+    base = pairs.with_joints(p, pairs.pairs_of(p)).join(label("a"), "pose_a").join(label("b"), "pose_b").join(known, "pose_b", "left")
+    at = text.in_order(base.select("pair_id"), "pair_id").withColumnRenamed("place", "k")
+    base = stored(base.join(at, "pair_id"), "base")
+    at = at.crossJoin(F.broadcast(at.agg(F.count("*").alias("m")))).select("pair_id", ((F.col("k") * 7 + 3) % F.col("m")).alias("k_other"), ((F.col("k") + 1) % F.col("m")).alias("k_after"))
+    rows = base.join(at, "pair_id").join(base.select(F.col("k").alias("k_other"), F.col("jb").alias("other")), "k_other").join(base.select(F.col("k").alias("k_after"), F.col("ja").alias("after")), "k_after")
+    middle = lambda x, y: F.zip_with(x, y, lambda p, q: g.mean(p, q))
+    given = {"pose_similarity": F.col("ja"), "pose_only": middle("ja", "after"), "text_only": F.col("other"), "regular": middle("ja", "jb")}
+    same, shared, described = F.col("label_a") == F.col("label_b"), F.coalesce("shared", F.lit(False)), F.coalesce("described", F.lit(False))
+    sets = {"all": F.lit(True), "in-sequence": same, "out-sequence": ~same, "shared": shared, "shared, modifier only": shared & ~described, "shared, description only": shared & described}
+    out = metrics.by_setting(rows, given, sets, lambda x: {"mpje": mining.mpje(x, F.col("jb")), "worst": F.array_max(F.zip_with(x, "jb", g.distance))})
+    return rounded(out, "mpje", "worst")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.stages import stored
 from ..operators import codes, pairs
 from . import catalog
 from . import oracle as sql
@@ -144,6 +145,29 @@ def rule_mining(spark, sf_dir):
     return rounded(codes.rule_mining(codes.measure(poses(spark, sf_dir))), "confidence")
 
 
+_mirror = sql.values(codes.mirror_rows())
+TRI_SQL = f"""WITH {sql.facts()}, {sql.code_table()}, mir AS (SELECT * FROM {_mirror} t(item, other)),
+g AS (SELECT pose_id, code_id * 1000 + intptt_id AS item FROM facts JOIN code_table USING (code_id, intptt_id) WHERE accepted = 1),
+i AS (SELECT item, count(*) AS n FROM g GROUP BY item HAVING count(*) >= 50), f AS MATERIALIZED (SELECT pose_id, item FROM g JOIN i USING (item)),
+n2 AS MATERIALIZED (SELECT x.item AS a, y.item AS b, count(*) AS n FROM f x JOIN f y ON y.pose_id = x.pose_id AND y.item <> x.item GROUP BY ALL HAVING count(*) >= 50),
+bi AS (SELECT a, b AS c FROM n2 JOIN i ON item = a WHERE n2.n >= 0.7::DOUBLE * i.n),
+bis AS (SELECT bi.* FROM bi WHERE EXISTS (SELECT 1 FROM bi o JOIN mir x ON x.item = o.a JOIN mir y ON y.item = o.c WHERE x.other = bi.a AND y.other = bi.c)),
+t3 AS MATERIALIZED (SELECT p.a, p.b, q.b AS c FROM n2 p JOIN n2 q ON q.a = p.a JOIN n2 r ON r.a = p.b AND r.b = q.b WHERE p.a < p.b AND q.n >= 0.8::DOUBLE * p.n AND r.n >= 0.8::DOUBLE * p.n),
+pp AS MATERIALIZED (SELECT x.pose_id, x.item AS a, y.item AS b FROM f x JOIN f y ON y.pose_id = x.pose_id AND y.item > x.item),
+m3 AS MATERIALIZED (SELECT pose_id, a, b, c FROM pp JOIN t3 USING (a, b)),
+n3 AS (SELECT a, b, c, count(*) AS n FROM m3 JOIN f z ON z.pose_id = m3.pose_id AND z.item = c GROUP BY ALL HAVING count(*) >= 50),
+r AS (SELECT n3.a, n3.b, n3.c, n3.n, n3.n / n2.n AS confidence FROM n3 JOIN n2 ON n2.a = n3.a AND n2.b = n3.b WHERE n3.n >= 0.8::DOUBLE * n2.n
+  AND NOT EXISTS (SELECT 1 FROM bis WHERE bis.a IN (n3.a, n3.b) AND bis.c = n3.c))
+SELECT a, b, c, n, round(confidence, 6) AS confidence FROM r WHERE EXISTS (SELECT 1 FROM r o JOIN mir x ON x.item = o.a JOIN mir y ON y.item = o.b JOIN mir z ON z.item = o.c
+  WHERE least(x.other, y.other) = r.a AND greatest(x.other, y.other) = r.b AND z.other = r.c)"""
+
+
+@query("q_tri_rules", TRI_SQL)
+def tri_rules(spark, sf_dir):
+    facts = stored(codes.measure(poses(spark, sf_dir)).select("pose_id", "code_id", "intptt_id"), "facts")
+    return rounded(codes.tri_rules(facts), "confidence")
+
+
 @query(
     "q_random_skip",
     f"""WITH {sql.resolved()}, e AS (SELECT pose_id, code_id, intptt_id, elig, elig = 2 OR {sql.uniform_sql(0, 'skip', 'pose_id', 'code_id')} >= 0.15::DOUBLE AS k FROM resolved WHERE elig > 0)

@@ -198,6 +198,25 @@ def mirror_text(spark, sf_dir):
     return t.select("id", F.array_join(text.flip(F.col("ts")), " ").alias("flipped"))
 
 
+def flip_texts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    start = F.when(F.col("id") % 4 == 0, "turn anti-clockwise to the right, ").when(F.col("id") % 4 == 1, "the left-hand is right behind the head, clockwise: ").when(F.col("id") % 4 == 2, "look at the right behind, counter-clockwise ").otherwise("at ten o'clock ")
+    return b.unionByName(b.select((-1 - F.col("id")).alias("id"), F.concat(start, "text").alias("text")))
+
+
+@query("q_flip_ids")
+def flip_ids(spark, sf_dir):
+    """Ids of pieces of words with the sides exchanged, and whether the way there and back gives the same ids."""
+    rows = flip_texts(spark, sf_dir).select("id", F.regexp_extract_all(F.lower("text"), F.lit(text.PIECE), F.lit(0)).alias("pieces"))
+    words = rows.select(F.explode("pieces").alias("word")).distinct()
+    vocab = text.in_order(words, "word").select("word", F.col("place").cast("int").alias("idx"))
+    known = text.flip_table(vocab)
+    ids = rows.select("id", F.posexplode("pieces").alias("pos", "word")).join(vocab, "word").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"]).alias("own"))
+    one = text.to_flip_ids(F.col("own"), known)
+    join = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return ids.select("id", join(F.col("own")).alias("ids"), join(text.flip_ids(F.col("own"), known)).alias("flipped"), F.size(one).alias("n_one"), (text.from_flip_ids(one, known) == F.col("own")).alias("round_trip"))
+
+
 _swap = {"left": "right", "right": "left"}
 _from = [catalog.AT["_".join([_swap.get(n.split("_")[0], n.split("_")[0]), *n.split("_")[1:]])] + 1 for n in catalog.BODY]
 
