@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_of
+from ..functions.exprs import bin_of, uniform
 from ..plans import catalog
 from ..plans.catalog import AT, PAIR_CODES, PAIR_KINDS
 from .codes import code_table, upright
@@ -187,19 +187,33 @@ def formatted(eligible: DataFrame) -> DataFrame:
     return eligible.where("elig > 0").join(t, ["code_id", "intptt_id"]).select("pair_id", "code_id", "side1", "part1", "intptt_id", "nature", "direction", "magnitude", "side2", "part2")
 
 
-def merge_entities(rows: DataFrame, entities: tuple[tuple[str, str, str], ...]) -> DataFrame:
-    """Two parts of one side that change in one nature and direction become their common part, with the larger change; the rest stays."""
-    t = F.broadcast(rows.sparkSession.createDataFrame(entities, "x string, y string, entity string"))
-    on = F.col("b.part1") == F.col("y")
-    for k in ("pair_id", "side1", "nature", "direction", "side2", "part2"):
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = rows.alias("a").join(t, F.col("part1") == F.col("x")).join(rows.alias("b"), on)
-    larger = F.when(F.col("b.magnitude") > F.col("a.magnitude"), F.col("b.intptt_id")).otherwise(F.col("a.intptt_id"))
-    merged = both.select("a.pair_id", "a.side1", F.col("entity").alias("part1"), larger.alias("intptt_id"), F.greatest("a.magnitude", "b.magnitude").alias("magnitude"), "a.nature", "a.direction", "a.side2", "a.part2")
-    merged = merged.groupBy("pair_id", "side1", "part1", "nature", "direction", "side2", "part2").agg(F.max_by("intptt_id", "magnitude").alias("intptt_id"))
-    gone = both.select("a.pair_id", F.explode(F.array("a.code_id", "b.code_id")).alias("code_id")).distinct()
-    columns = ("pair_id", "side1", "part1", "intptt_id", "side2", "part2")
-    return rows.join(gone, ["pair_id", "code_id"], "left_anti").select(*columns).unionByName(merged.select(*columns)).distinct()
+def merge_entities(rows: DataFrame, entities: tuple[tuple[str, str, str], ...], p: float = 1.0, seed: int = 0) -> DataFrame:
+    """Two codes of one nature and direction become one, with the larger change, where parts of theirs make a larger part.
+
+    The sides of first and second parts must be the same in both.  Either the first parts make one and
+    the second parts are equal, or the other way round, or both make one.  Every such pair of codes is
+    replaced with probability p; where several make the same code, the largest change stays.  rows have the
+    category as `intptt` or `intptt_id`; what comes of them is distinct.
+    """
+    name = "intptt" if "intptt" in rows.columns else "intptt_id"
+    t = F.broadcast(rows.sparkSession.createDataFrame([*entities, *((y, x, e) for x, y, e in entities)], "x string, y string, entity string"))
+    same = ("side1", "nature", "direction", "side2")
+    own = (*same, "part1", "part2", "code_id", name, "magnitude")
+    a = rows.select("pair_id", *(F.col(c).alias(f"{c}_a") for c in own))
+    on = F.col("code_id_a") < F.col("code_id")
+    for c in same:
+        on = on & F.col(f"{c}_a").eqNullSafe(F.col(c))
+    both = a.join(rows.select("pair_id", *own), "pair_id").where(on & ((F.col("direction") != 0) | (F.col(f"{name}_a") == F.col(name))))
+    for i, n in enumerate(("part1", "part2")):
+        both = both.join(t.select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("entity").alias(f"e{i}")), (F.col(f"{n}_a") == F.col(f"x{i}")) & (F.col(n) == F.col(f"y{i}")), "left")
+    alike = [F.col(f"{n}_a").eqNullSafe(F.col(n)) for n in ("part1", "part2")]
+    made = (F.col("e0").isNotNull() & (alike[1] | F.col("e1").isNotNull())) | (F.col("e1").isNotNull() & alike[0])
+    both = both.where(made & (uniform(seed, "entity", F.col("pair_id"), F.col("code_id_a"), F.col("code_id")) < p))
+    larger = F.max(F.struct(F.greatest("magnitude_a", "magnitude").alias("m"), F.when(F.col("magnitude") > F.col("magnitude_a"), F.col(name)).otherwise(F.col(f"{name}_a")).alias("c")))
+    merged = both.groupBy("pair_id", "side1", "nature", "direction", "side2", F.coalesce("e0", "part1").alias("part1"), F.coalesce("e1", "part2").alias("part2")).agg(larger.alias("x"))
+    gone = both.select("pair_id", F.explode(F.array("code_id_a", "code_id")).alias("code_id")).distinct()
+    columns = ("pair_id", "side1", "part1", name, "side2", "part2")
+    return rows.join(gone, ["pair_id", "code_id"], "left_anti").select(*columns).unionByName(merged.withColumn(name, F.col("x.c")).select(*columns)).distinct()
 
 
 def search(facts: DataFrame, wanted: list[tuple[str, tuple[str, ...], str]]) -> DataFrame:

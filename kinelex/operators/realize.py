@@ -58,7 +58,10 @@ for _k in ("bodyInclineX", "bodyInclineY", "bodyInclineZ", "relativeRotX", "rela
     for _c in catalog.KINDS[_k].categories:
         PHRASES.setdefault(_c, (("{s} {v} " if _c.startswith("body") else "{s} {v} ") + {"incline": "tilted", "twist": "twisted", "lean": "leaning", "turn": "turned"}.get(_c.removeprefix("body ").split(" ")[0], "") + " " + " ".join(_c.removeprefix("body ").split(" ")[1:]),))
 
+#: Wordings of changes: {s} what changes, {o} the other part.
 PAIR_PHRASES: dict[str, tuple[str, ...]] = {
+    "straighten": ("straighten {s}", "stretch {s} out"),
+    "touch": ("make {s} touch {o}", "let {s} reach {o}"),
     **{c: (f"bend {{s}} {c.removeprefix('bent ')}",) for c in catalog.PAIR_KINDS["pair_angle"].categories if "ignored" not in c},
     **{c: (f"bring {{s}} {c.replace('farther', 'further')} {'from' if 'farther' in c else 'to'} {{o}}",) for c in catalog.PAIR_KINDS["pair_distance"].categories if "ignored" not in c},
     **{c: (f"move {{s}} {c.replace('more ', '')}",) for a in "XYZ" for c in catalog.PAIR_KINDS[f"pair_relativePos{a}"].categories if "ignored" not in c},
@@ -171,25 +174,122 @@ def describe(poses: DataFrame, contacts: DataFrame | None = None, seed: int = 0,
     return sentences(stored(rows, "rewritten"), "pose_id", seed, 0.0 if simple else p)
 
 
-def instruct(pair_facts: DataFrame, rotations: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """pair_facts (pair_id, code_id, intptt_id) -> pair_id, text: what to change, preceded by the turn of the whole body."""
-    spark = pair_facts.sparkSession
+PAIR_DIFFERENCES = ("pair_angle", "pair_distance")
+#: Changes that two same parts can share as one subject.
+PAIR_SHARED = tuple("change " + c for c in (*catalog.PAIR_KINDS["pair_distance"].categories, "touch"))
+#: Marks categories of changes where they stand beside those of poses, of which some have the same name.
+CHANGE = "change "
+#: What may stand between two instructions, and between those on one part.
+STEPS, GOES_ON = (". ", ", then ", "; ", " and "), (" and ", ", then ", ". also ")
+#: How a fact about the pose to reach is put.
+OUGHT = ("should be", "must be", "needs to be", "ends up")
+
+
+def change_rows(eligible: DataFrame, supers: DataFrame) -> DataFrame:
+    """Eligible pair facts and super-pair-codes that hold -> pair_id, code_id, elig, side1, part1, intptt (marked), side2, part2, nature, direction, magnitude.
+
+    A super-pair-code has a nature of its own, so it is merged with its likes only.
+    """
+    spark = eligible.sparkSession
+    names = [(catalog.PAIR_OFFSET[k] + n, CHANGE + c) for k, kind in catalog.PAIR_KINDS.items() for n, c in enumerate(kind.categories)]
+    t = F.broadcast(spark.createDataFrame(names, "intptt_id int, intptt string"))
+    own = eligible.where("elig > 0").join(F.broadcast(pairs.pair_code_table(spark).drop("accepted", "rare")), ["code_id", "intptt_id"]).join(t, "intptt_id")
+    columns = ("pair_id", "code_id", "elig", "side1", "part1", "intptt", "side2", "part2", "nature", "direction", "magnitude")
     rows = []
-    for i, c in enumerate(catalog.PAIR_CODES):
-        first = c.focus or c.joints[0]
-        second = next((j for j in c.joints[::-1] if j != first), None) if c.kind == "pair_distance" else None
-        rows += [(i, catalog.PAIR_OFFSET[c.kind] + n, name, *rewrite.split_side(first), *rewrite.split_side(second)) for n, name in enumerate(catalog.PAIR_KINDS[c.kind].categories) if name in c.accepted]
-    t = F.broadcast(spark.createDataFrame(rows, "code_id int, intptt_id int, intptt string, side1 string, part1 string, side2 string, part2 string"))
-    f = rewrite.ordered(pair_facts.join(t, ["code_id", "intptt_id"]).withColumnRenamed("pair_id", "pose_id"), seed).withColumnRenamed("pose_id", "pair_id")
-    phrase = pick(PAIR_PHRASES, F.col("intptt"), uniform(seed, "phrase", F.col("pair_id"), F.col("place")))
-    clause = F.replace(F.replace(phrase, F.lit("{s}"), noun(F.col("side1"), F.col("part1"))), F.lit("{o}"), F.coalesce(noun(F.col("side2"), F.col("part2")), F.lit("each other")))
-    texts = f.select("pair_id", F.struct("place", clause.alias("c")).alias("x")).where("x.c is not null").groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), ". ").alias("text"))
+    for i, x in enumerate(catalog.SUPER_PAIRS):
+        torso = any("torso" in joints for way in x.ways for _, _, joints, _ in way)
+        rows.append((i, len(catalog.PAIR_CODES) + i, 1, *catalog.split_side(x.focus), CHANGE + x.category, None, "torso" if torso else None, -1 if x.category == "straighten" else -2, -1 if "farther" in x.category else 1, 1 if "slightly" in x.category else 2))
+    more = F.broadcast(spark.createDataFrame(rows, "super_id int, code_id int, elig int, side1 string, part1 string, intptt string, side2 string, part2 string, nature int, direction int, magnitude int"))
+    return own.select(*columns).unionByName(supers.join(more, "super_id").select(*columns))
+
+
+def fact_rows(facts: DataFrame, supers: DataFrame, ids: DataFrame, changed: DataFrame) -> DataFrame:
+    """What is said of pose B as such: its absolute codes about changed parts and those further out -> pair_id, code_id, elig and the columns of a code."""
+    spark = facts.sparkSession
+    absolute = pairs.resolve_pose_support(pairs.absolute_eligibility(facts), supers, ids).where("elig > 0")
+    t = F.broadcast(rewrite.format_table(spark).drop("kind"))
+    b = absolute.join(t, ["code_id", "intptt_id"]).join(ids.select("pair_id", F.col("pose_b").alias("pose_id")), "pose_id").withColumn("part", F.concat_ws("_", "side1", "part1"))
+    held = pairs.facts_of_b(changed, b.select("pair_id", "code_id", "part"))
+    return b.join(held.select("pair_id", "code_id"), ["pair_id", "code_id"], "left_semi").select("pair_id", "code_id", "elig", *compose.CODE)
+
+
+def rewritten_changes(ids: DataFrame, facts: DataFrame, changes: DataFrame, contacts: DataFrame | None = None, seed: int = 0, p: float = 0.95) -> DataFrame:
+    """pair_id, side1, part1, intptt, side2, part2: what there is to say of each pair, merged.
+
+    ids (pair_id, pose_a, pose_b); facts of poses and changes of pairs (code_id, intptt_id, kind); contacts
+    of poses, of which a pair says those that B has and A lacks.
+    """
+    supers = stored(pairs.super_pairs(facts, changes.where(F.col("kind").isin(*PAIR_DIFFERENCES)), ids), "super-pairs")
+    settled = pairs.resolve_pair_support(pairs.pair_eligibility(changes), supers)
+    said = stored(change_rows(settled, supers), "changes")
+    changed = said.select("pair_id", F.concat_ws("_", "side1", "part1").alias("part"))
+    of_b = fact_rows(facts, supers, ids, changed).select("*", F.lit(0).alias("nature"), F.lit(0).alias("direction"), F.lit(0).alias("magnitude"))
+    # facts are numbered after the changes, so that each draws for itself
+    first = len(catalog.PAIR_CODES) + len(catalog.SUPER_PAIRS)
+    rows = said.unionByName(of_b.withColumn("code_id", F.col("code_id") + first))
+    kept = stored(codes.skip(rows.withColumnRenamed("pair_id", "pose_id"), seed=seed).where("kept").drop("kept", "elig").withColumnRenamed("pose_id", "pair_id"), "kept")
+    rows = pairs.merge_entities(kept, rewrite.ENTITIES, p, seed)
+    if contacts is not None:
+        c = contacts.select(F.col("pose_id").alias("pose"), *(x for x in compose.CODE if x != "intptt"))
+        had = c.join(ids.select("pair_id", F.col("pose_a").alias("pose")), "pose").drop("pose")
+        has = c.join(ids.select("pair_id", F.col("pose_b").alias("pose")), "pose").drop("pose").distinct()
+        new = has.exceptAll(had.distinct()).withColumn("intptt", F.lit(CHANGE + "touch"))
+        rows = rows.unionByName(rewrite.prune_contained(new.drop("intptt").withColumnRenamed("pair_id", "pose_id")).withColumnRenamed("pose_id", "pair_id").withColumn("intptt", F.lit(CHANGE + "touch")))
+    rows = rewrite.merge_symmetric(rows.withColumnRenamed("pair_id", "pose_id"))
+    return rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed, shared=PAIR_SHARED).withColumnRenamed("pose_id", "pair_id").select("pair_id", *compose.CODE)
+
+
+def exempt_changes() -> Column:
+    """Changes of distance and new contacts are never said together with others."""
+    return F.col("intptt").isin(*(CHANGE + c for c in (*catalog.PAIR_KINDS["pair_distance"].categories, "touch")))
+
+
+def instruction_text(key: str, seed: int = 0) -> Column:
+    """The words of a unit of changes and facts."""
+    draw = lambda site, i: uniform(seed, site, F.col(key), F.col("how"), F.col("grp"), i)
+    first = F.get("codes", F.lit(0))
+    subjects = F.transform("codes", lambda c: noun(c["side1"], c["part1"]))
+    many = (F.col("how") == "predicate") | is_plural(first)
+
+    def said(c: Column, subject: Column, plural: Column, i: Column) -> Column:
+        change = F.replace(F.replace(pick(PAIR_PHRASES, F.replace(c["intptt"], F.lit(CHANGE), F.lit("")), draw("phrase", i)), F.lit("{s}"), subject), F.lit("{o}"), F.coalesce(noun(c["side2"], c["part2"]), F.lit("each other")))
+        ought = F.element_at(F.array(*(F.lit(x) for x in OUGHT)), F.floor(draw("ought", i) * len(OUGHT)).cast("int") + 1)
+        ought = F.when(plural, F.replace(F.replace(ought, F.lit("needs"), F.lit("need")), F.lit("ends"), F.lit("end"))).otherwise(ought)
+        nominative = F.when(subject == "them", "they").otherwise(subject)
+        return F.when(c["intptt"].startswith(CHANGE), change).otherwise(F.concat(nominative, F.lit(" "), ought, F.lit(" "), predicate(c, draw("phrase", i))))
+
+    def clause(c: Column, i: Column) -> Column:
+        link = F.element_at(F.array(*(F.lit(x) for x in GOES_ON)), F.floor(draw("link", i) * len(GOES_ON)).cast("int") + 1)
+        it = F.when(many, "them").otherwise("it")
+        return F.when(i == 0, said(c, F.get(subjects, F.lit(0)), many, i)).otherwise(F.concat(link, said(c, it, many, i)))
+
+    return F.when(F.col("how") == "predicate", said(first, several(subjects), F.lit(True), F.lit(0))).otherwise(F.array_join(F.transform("codes", clause), ""))
+
+
+def instructions(rows: DataFrame, rotations: DataFrame | None = None, seed: int = 0, p: float = 0.95) -> DataFrame:
+    """Rows of `rewritten_changes` -> pair_id, text, preceded by the turn of the whole body (rotations: pair_id, degrees), if it is told.
+
+    A pair of which nothing is to be said has no row.
+    """
+    known = rows.where(F.col("intptt").isin(*PHRASES, *(CHANGE + c for c in PAIR_PHRASES)))
+    units = compose.ordered(compose.fuse(known, "pair_id", p, seed, exempt_changes()), "pair_id", seed)
+    step = F.element_at(F.array(*(F.lit(t) for t in STEPS)), F.floor(uniform(seed, "step", F.col("pair_id"), F.col("place")) * len(STEPS)).cast("int") + 1)
+    c = units.select("pair_id", F.struct("place", F.concat(F.when(F.col("place") == 0, "").otherwise(step), instruction_text("pair_id", seed)).alias("c")).alias("x"))
+    texts = c.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), "").alias("text"))
     if rotations is not None:
         turns = F.create_map(*(F.lit(x) for i, c in enumerate(catalog.ROOT_ROTATION.categories[:-1]) for x in (i, "" if "ignored" in c else f"turn {c}. ")))
-        texts = texts.join(pairs.root_rotation(rotations).select("pair_id", turns[F.col("bin")].alias("turn")), "pair_id", "left").withColumn("text", F.concat(F.coalesce("turn", F.lit("")), "text"))
+        turned = pairs.root_rotation(rotations).select("pair_id", turns[F.col("bin")].alias("turn")).where("turn <> ''")
+        texts = texts.join(turned, "pair_id", "full").select("pair_id", F.concat(F.coalesce("turn", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+        texts = texts.withColumn("text", F.regexp_replace("text", r"\. $", ""))
     return texts.select("pair_id", polish(F.col("text")).alias("text"))
 
 
+def instruct(poses: DataFrame, ids: DataFrame, changes: DataFrame, rotations: DataFrame | None = None, contacts: DataFrame | None = None, seed: int = 0, p: float = 0.95) -> DataFrame:
+    """poses (pose_id, joints), ids (pair_id, pose_a, pose_b), changes of the pairs -> pair_id, text: how to get from pose A to pose B."""
+    facts = stored(codes.measure(poses).select("pose_id", "code_id", "kind", "intptt_id"), "facts")
+    return instructions(stored(rewritten_changes(ids, facts, changes, contacts, seed, p), "rewritten-changes"), rotations, seed, p)
+
+
 def clean_tags(tags: Column) -> Column:
     """Distinct tags without nulls and dataset markers (`__name__`)."""
     return F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & ~t.rlike("^__.*__$")))

@@ -225,9 +225,9 @@ def reverse(rows: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
 SHARED = (*KINDS["distance"].categories, "touch")
 
 
-def collapse(rows: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
+def collapse(rows: DataFrame, p: float = 0.5, seed: int = 0, shared: tuple[str, ...] = SHARED) -> DataFrame:
     """With probability p a distance or contact between two same parts becomes a code of both, without a second part."""
-    one = (F.col("part1") == F.col("part2")) & F.col("intptt").isin(*SHARED) & (uniform(seed, "collapse", F.col("pose_id"), F.col("part1"), F.col("intptt")) < p)
+    one = (F.col("part1") == F.col("part2")) & F.col("intptt").isin(*shared) & (uniform(seed, "collapse", F.col("pose_id"), F.col("part1"), F.col("intptt")) < p)
     return rows.withColumns({"side1": F.when(one, "both").otherwise(F.col("side1")), "side2": F.when(~F.coalesce(one, F.lit(False)), F.col("side2")), "part2": F.when(~F.coalesce(one, F.lit(False)), F.col("part2"))})
 
 

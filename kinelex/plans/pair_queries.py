@@ -80,17 +80,19 @@ def pair_pose_support(spark, sf_dir):
     return pairs.resolve_pose_support(pairs.absolute_eligibility(facts), supers, ids).where("elig > 0").select("pose_id", "code_id", "intptt_id", "elig")
 
 
-_ent = sql.values(list(rewrite.ENTITIES))
+_ent = sql.values([*rewrite.ENTITIES, *((y, x, e) for x, y, e in rewrite.ENTITIES)])
 
 
 @query(
     "q_pair_entity_merge",
-    f"""WITH {FIRED}, {GONE}, rows AS (SELECT pair_id, code_id, side1, part1, intptt_id, nature, direction, magnitude, side2, part2 FROM settled s JOIN pair_table t USING (code_id, intptt_id) WHERE s.elig > 0),
-both_ AS (SELECT a.pair_id, a.code_id AS ca, b.code_id AS cb, a.side1, entity, a.nature, a.direction, a.side2, a.part2, greatest(a.magnitude, b.magnitude) AS m, CASE WHEN b.magnitude > a.magnitude THEN b.intptt_id ELSE a.intptt_id END AS i
-  FROM rows a JOIN {_ent} t(x, y, entity) ON a.part1 = x JOIN rows b ON b.pair_id = a.pair_id AND b.part1 = y AND b.side1 IS NOT DISTINCT FROM a.side1 AND b.nature = a.nature AND b.direction = a.direction
-  AND b.side2 IS NOT DISTINCT FROM a.side2 AND b.part2 IS NOT DISTINCT FROM a.part2)
+    f"""WITH {FIRED}, {GONE}, ent AS (SELECT * FROM {_ent} t(x, y, entity)),
+rows AS (SELECT pair_id, code_id, side1, part1, intptt_id, nature, direction, magnitude, side2, part2 FROM settled s JOIN pair_table t USING (code_id, intptt_id) WHERE s.elig > 0),
+both_ AS (SELECT a.pair_id, a.code_id AS ca, b.code_id AS cb, a.side1, coalesce(t.entity, b.part1) AS m1, a.nature, a.direction, a.side2, coalesce(u.entity, b.part2) AS m2, greatest(a.magnitude, b.magnitude) AS m, CASE WHEN b.magnitude > a.magnitude THEN b.intptt_id ELSE a.intptt_id END AS i
+  FROM rows a JOIN rows b ON b.pair_id = a.pair_id AND b.code_id > a.code_id AND b.side1 IS NOT DISTINCT FROM a.side1 AND b.nature = a.nature AND b.direction = a.direction AND b.side2 IS NOT DISTINCT FROM a.side2
+  LEFT JOIN ent t ON a.part1 = t.x AND b.part1 = t.y LEFT JOIN ent u ON a.part2 = u.x AND b.part2 = u.y
+  WHERE (t.entity IS NOT NULL AND (u.entity IS NOT NULL OR a.part2 IS NOT DISTINCT FROM b.part2)) OR (u.entity IS NOT NULL AND a.part1 = b.part1))
 SELECT DISTINCT pair_id, side1, part1, intptt_id, side2, part2 FROM rows r WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.pair_id = r.pair_id AND r.code_id IN (ca, cb))
-UNION SELECT pair_id, side1, entity, arg_max(i, m), side2, part2 FROM both_ GROUP BY pair_id, side1, entity, nature, direction, side2, part2""",
+UNION SELECT pair_id, side1, m1, max((m, i))[2], side2, m2 FROM both_ GROUP BY pair_id, side1, m1, nature, direction, side2, m2""",
 )
 def pair_entity_merge(spark, sf_dir):
     _, _, changes, supers = measured(spark, sf_dir)

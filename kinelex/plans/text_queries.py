@@ -393,7 +393,7 @@ _mid = ", ".join(str(catalog.PAIR_OFFSET[k] + next(i for i, c in enumerate(v.cat
 
 @query(
     "q_absolute_filter",
-    f"""WITH {sql.pair_facts(('pair_angle',))}, {sql.code_table()}, o AS (SELECT * FROM {_order} t(part, branch, rank)),
+    f"""WITH {sql.pair_facts(('pair_angle', 'pair_distance', 'pair_relativePosX', 'pair_relativePosY', 'pair_relativePosZ', 'pair_bodyInclineX', 'pair_bodyInclineY', 'pair_bodyInclineZ'))}, {sql.code_table()}, o AS (SELECT * FROM {_order} t(part, branch, rank)),
 changed AS (SELECT DISTINCT pair_id, part FROM pair_facts JOIN {_pair_focus} f(code_id, part) USING (code_id) WHERE intptt_id NOT IN ({_mid})),
 b AS (SELECT pair_id, code_id, part FROM pairs JOIN facts ON pose_id = pose_b JOIN code_table USING (code_id, intptt_id) JOIN {_focus} f(code_id, part) USING (code_id) WHERE absolute = 1)
 SELECT DISTINCT pair_id, code_id, part FROM b WHERE EXISTS (SELECT 1 FROM changed c WHERE c.pair_id = b.pair_id AND c.part = b.part)
@@ -404,7 +404,7 @@ def absolute_filter(spark, sf_dir):
     ids, facts = pairs.pairs_of(p), codes.measure(p)
     focus = lambda cs: spark.createDataFrame([(i, c.focus or c.joints[0]) for i, c in enumerate(cs)], "code_id int, part string")
     d = pairs.direction_table(spark).where("direction <> 0").select("intptt_id")
-    changed = pairs.change(facts, ids, ("pair_angle",)).join(F.broadcast(d), "intptt_id").join(F.broadcast(focus(catalog.PAIR_CODES)), "code_id").select("pair_id", "part")
+    changed = pair_facts(spark, sf_dir, PAIR_ALL).join(F.broadcast(d), "intptt_id").join(F.broadcast(focus(catalog.PAIR_CODES)), "code_id").select("pair_id", "part")
     absolute = F.broadcast(codes.code_table(spark).where("absolute = 1").select("code_id", "intptt_id"))
     b = facts.join(absolute, ["code_id", "intptt_id"]).join(F.broadcast(focus(catalog.CODES)), "code_id").join(ids, F.col("pose_id") == F.col("pose_b")).select("pair_id", "code_id", "part")
     return pairs.facts_of_b(changed, b)
@@ -415,11 +415,17 @@ def describe(spark, sf_dir):
     return realize.describe(poses(spark, sf_dir), contacts(spark, sf_dir))
 
 
+PAIR_ALL = ("pair_angle", "pair_distance", "pair_relativePosX", "pair_relativePosY", "pair_relativePosZ", "pair_bodyInclineX", "pair_bodyInclineY", "pair_bodyInclineZ")
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), (F.col("embedding")[63].cast("double") * 1000).alias("degrees"), "vec_id").where("vec_id % 2 = 0").drop("vec_id")
+
+
 @query("q_instruct")
 def instruct(spark, sf_dir):
-    facts = pair_facts(spark, sf_dir, ("pair_angle", "pair_distance", "pair_relativePosX", "pair_relativePosY", "pair_relativePosZ", "pair_bodyInclineX", "pair_bodyInclineY", "pair_bodyInclineZ"))
-    turns = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), (F.col("embedding")[63].cast("double") * 1000).alias("degrees"))
-    return realize.instruct(facts, turns)
+    p = poses(spark, sf_dir)
+    return realize.instruct(p, pairs.pairs_of(p), stored(pair_facts(spark, sf_dir, PAIR_ALL), "pair-facts"), turns(spark, sf_dir), contacts(spark, sf_dir))
 
 
 @query("q_rotation_change")
