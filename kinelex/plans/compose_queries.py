@@ -8,7 +8,8 @@ from ..functions.exprs import uniform_sql
 from ..functions.stages import stored
 from ..operators import compose, rewrite
 from . import oracle as sql
-from .queries import query
+from ..sources.batches import batches
+from .queries import query, table
 from .text_queries import FORMATTED, settled
 
 #: How often codes that can be said together are, in these queries.
@@ -69,3 +70,13 @@ def part_walk(spark, sf_dir):
     """For each pose the order in which a depth-first walk of its own visits the parts."""
     rows = settled(spark, sf_dir)[0].select("pose_id").distinct()
     return rows.select("pose_id", F.explode(compose.walk(F.col("pose_id"))).alias("spot", "visit"))
+
+
+@query(
+    "q_batches",
+    """WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('0|1|' || vec_id)) - 1 AS place, count(*) OVER () AS n FROM embeddings)
+SELECT vec_id, place // 32 AS batch, CAST(place % 32 AS INT) AS slot FROM o WHERE place // 32 < n // 32""",
+)
+def epoch_batches(spark, sf_dir):
+    """The whole batches of an epoch, in its drawn order."""
+    return batches(table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"], 32, epoch=1, drop_last=True)
