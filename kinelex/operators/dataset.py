@@ -55,8 +55,17 @@ def mixed(pairs: DataFrame, singles: DataFrame, rest_pose: int = -1) -> DataFram
 
 
 def interval_labels(frames: DataFrame, spans: DataFrame) -> DataFrame:
-    """frames (frame_id, sequence, t), spans (sequence, start_t, end_t, label) -> every label whose span, ends included, holds the frame's time."""
-    return frames.join(spans, "sequence").where("t >= start_t and t <= end_t").select("frame_id", "sequence", "label")
+    """frames (frame_id, sequence, t), spans (sequence, start_t, end_t, label) -> every label whose span, ends included, holds the frame's time.
+
+    Time is cut into slots as wide as the spans are on average, so a span lies in about two of them and a frame
+    meets the spans of its own slot alone; a long sequence is many groups.  Spans that end before they start hold nothing.
+    """
+    spans = spans.where("start_t <= end_t")
+    width = spans.agg(F.avg(F.col("end_t") - F.col("start_t"))).first()[0] or 1.0
+    slot = lambda t: F.floor(F.col(t) / F.lit(float(width))).cast("long")
+    laid = spans.select("sequence", "start_t", "end_t", "label", F.explode(F.sequence(slot("start_t"), slot("end_t"))).alias("slot"))
+    at = frames.select("frame_id", "sequence", "t", slot("t").alias("slot"))
+    return at.join(laid, ["sequence", "slot"]).where("t >= start_t and t <= end_t").select("frame_id", "sequence", "label")
 
 
 def label_histogram(labels: DataFrame, frames: DataFrame, sequences: DataFrame) -> DataFrame:

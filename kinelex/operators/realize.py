@@ -5,6 +5,8 @@ The wording is this package's own.  Choices are drawn by keyed hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,9 +182,25 @@ PAIR_SHARED = tuple("change " + c for c in (*catalog.PAIR_KINDS["pair_distance"]
 #: Marks categories of changes where they stand beside those of poses, of which some have the same name.
 CHANGE = "change "
 #: What may stand between two instructions, and between those on one part.
-STEPS, GOES_ON = (". ", ", then ", "; ", " and "), (" and ", ", then ", ". also ")
-#: How a fact about the pose to reach is put.
-OUGHT = ("should be", "must be", "needs to be", "ends up")
+STEPS, GOES_ON = (". ", ", then ", ", while ", " and "), (" and ", ", then ", ". also ")
+#: How a fact about the pose to reach is put: a verb and what follows it.  Verbs of duty have one form.
+OUGHT, DUTIES = ("should be", "must be", "need to be", "end up"), ("should", "must")
+
+
+def third_person(verb: Column) -> Column:
+    """A verb as it goes with one part."""
+    return F.when(verb.isin(*DUTIES), verb).when(verb.rlike("(s|x|z|ch|sh|o)$"), F.concat(verb, F.lit("es"))).otherwise(F.concat(verb, F.lit("s")))
+
+
+def gerund(verb: Column) -> Column:
+    """The -ing form: a last e goes, the last letter of `let` is doubled, verbs of duty stay."""
+    return F.when(verb.isin(*DUTIES), verb).when(verb.isin("let"), F.concat(verb, F.substring(verb, -1, 1), F.lit("ing"))).when(verb.endswith("e"), F.regexp_replace(verb, "e$", "ing")).otherwise(F.concat(verb, F.lit("ing")))
+
+
+def conjugated(clause: Column, form: Callable[[Column], Column]) -> Column:
+    """A clause whose first word, a verb, takes a form."""
+    verb = F.substring_index(clause, " ", 1)
+    return F.concat(form(verb), F.substring(clause, F.length(verb) + 1, F.length(clause)))
 
 
 def change_rows(eligible: DataFrame, supers: DataFrame) -> DataFrame:
@@ -244,8 +262,8 @@ def exempt_changes() -> Column:
     return F.col("intptt").isin(*(CHANGE + c for c in (*catalog.PAIR_KINDS["pair_distance"].categories, "touch")))
 
 
-def instruction_text(key: str, seed: int = 0) -> Column:
-    """The words of a unit of changes and facts."""
+def instruction_text(key: str, going: Column, seed: int = 0) -> Column:
+    """The words of a unit of changes and facts; going: changes go on while something else does."""
     draw = lambda site, i: uniform(seed, site, F.col(key), F.col("how"), F.col("grp"), i)
     first = F.get("codes", F.lit(0))
     subjects = F.transform("codes", lambda c: noun(c["side1"], c["part1"]))
@@ -254,7 +272,8 @@ def instruction_text(key: str, seed: int = 0) -> Column:
     def said(c: Column, subject: Column, plural: Column, i: Column) -> Column:
         change = F.replace(F.replace(pick(PAIR_PHRASES, F.replace(c["intptt"], F.lit(CHANGE), F.lit("")), draw("phrase", i)), F.lit("{s}"), subject), F.lit("{o}"), F.coalesce(noun(c["side2"], c["part2"]), F.lit("each other")))
         ought = F.element_at(F.array(*(F.lit(x) for x in OUGHT)), F.floor(draw("ought", i) * len(OUGHT)).cast("int") + 1)
-        ought = F.when(plural, F.replace(F.replace(ought, F.lit("needs"), F.lit("need")), F.lit("ends"), F.lit("end"))).otherwise(ought)
+        ought = F.when(plural, ought).otherwise(conjugated(ought, third_person))
+        change = F.when(going, conjugated(change, gerund)).otherwise(change)
         nominative = F.when(subject == "them", "they").otherwise(subject)
         return F.when(c["intptt"].startswith(CHANGE), change).otherwise(F.concat(nominative, F.lit(" "), ought, F.lit(" "), predicate(c, draw("phrase", i))))
 
@@ -274,7 +293,11 @@ def instructions(rows: DataFrame, rotations: DataFrame | None = None, seed: int
     known = rows.where(F.col("intptt").isin(*PHRASES, *(CHANGE + c for c in PAIR_PHRASES)))
     units = compose.ordered(compose.fuse(known, "pair_id", p, seed, exempt_changes()), "pair_id", seed)
     step = F.element_at(F.array(*(F.lit(t) for t in STEPS)), F.floor(uniform(seed, "step", F.col("pair_id"), F.col("place")) * len(STEPS)).cast("int") + 1)
-    c = units.select("pair_id", F.struct("place", F.concat(F.when(F.col("place") == 0, "").otherwise(step), instruction_text("pair_id", seed)).alias("c")).alias("x"))
+    units = units.withColumn("step", F.when(F.col("place") == 0, "").otherwise(step))
+    # what follows `while`, and each `and` in its wake, goes on at the same time
+    going = F.last(F.when(F.col("step") != " and ", F.col("step") == ", while "), ignorenulls=True).over(Window.partitionBy("pair_id").orderBy("place"))
+    units = units.withColumn("going", F.coalesce(going, F.lit(False)))
+    c = units.select("pair_id", F.struct("place", F.concat("step", instruction_text("pair_id", F.col("going"), seed)).alias("c")).alias("x"))
     texts = c.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]), "").alias("text"))
     if rotations is not None:
         turns = F.create_map(*(F.lit(x) for i, c in enumerate(catalog.ROOT_ROTATION.categories[:-1]) for x in (i, "" if "ignored" in c else f"turn {c}. ")))

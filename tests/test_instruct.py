@@ -17,8 +17,11 @@ ALONE_ONLY = {realize.CHANGE + c for c in (*catalog.PAIR_KINDS["pair_distance"].
 def text_of(pair, codes, p):
     said_codes = {c for c in codes if c[2] in CHANGES or c[2] in realize.PHRASES}
     units = units_of(pair, [c for c in said_codes if c[2] not in ALONE_ONLY], p) + [("alone", key_of(c), [c]) for c in said_codes if c[2] in ALONE_ONLY]
-    text = ""
+    text, going = "", False
+    ing = lambda v: v + "ting" if v == "let" else v.removesuffix("e") + "ing"
     for n, (how, grp, cs) in enumerate(place_units(pair, units)):
+        step = "" if n == 0 else realize.STEPS[int(drawn("step", pair, n) * len(realize.STEPS))]
+        going = step == ", while " if step != " and " else going
         many = how == "predicate" or cs[0][0] == "both" or cs[0][1] in ("hands", "feet", "toes")
 
         def said(c, subject, plural, i):
@@ -26,11 +29,12 @@ def text_of(pair, codes, p):
             other = noun_of(c[3], c[4]) if c[4] else "each other"
             if c[2].startswith(realize.CHANGE):
                 bank = realize.PAIR_PHRASES[c[2].removeprefix(realize.CHANGE)]
-                return bank[int(d * len(bank))].replace("{s}", subject).replace("{o}", other)
+                words = bank[int(d * len(bank))].replace("{s}", subject).replace("{o}", other).split(" ")
+                return " ".join([ing(words[0]) if going else words[0], *words[1:]])
             silent = (c[4] == "torso" and c[2] in ("behind", "front")) or (c[4] == "shoulder" and c[1] in ("hand", "hands") and c[2] in ("at_right", "at_left")) or (c[4] == "hip" and c[1] in ("foot", "feet") and c[2] in ("at_right", "at_left")) or (c[4] == "neck" and c[1] in ("hand", "hands", "wrist") and c[2] == "above")
             bank = (realize.ALONE if (silent or c[4] is None) and c[2] in realize.ALONE else realize.PHRASES)[c[2]]
             ought = realize.OUGHT[int(drawn("ought", pair, how, grp, i) * len(realize.OUGHT))]
-            ought = ought.replace("needs", "need").replace("ends", "end") if plural else ought
+            ought = ought if plural else {"need to be": "needs to be", "end up": "ends up"}.get(ought, ought)
             return f"{'they' if subject == 'them' else subject} {ought} {bank[int(d * len(bank))].removeprefix('{s} {v} ').replace('{o}', other)}"
 
         names = [noun_of(*c[:2]) for c in cs]
@@ -40,7 +44,7 @@ def text_of(pair, codes, p):
             clause = said(cs[0], names[0], many, 0)
             for i, c in enumerate(cs[1:], 1):
                 clause += realize.GOES_ON[int(drawn("link", pair, how, grp, i) * len(realize.GOES_ON))] + said(c, "them" if many else "it", many, i)
-        text += ("" if n == 0 else realize.STEPS[int(drawn("step", pair, n) * len(realize.STEPS))]) + clause
+        text += step + clause
     return text
 
 
@@ -102,3 +106,11 @@ def test_merging_of_parts(spark):
     poses = df.select(F.col("pair_id").alias("pose_id"), *compose.CODE)
     same = {tuple(r) for r in rewrite.merge_entities(poses.withColumn("intptt", F.lit("close"))).collect()}
     assert {(1, "left", "arm", "close", None, None), (2, "left", "hand", "close", "right", "leg"), (3, "left", "arm", "close", "right", "leg"), (4, "left", "arm", "close", None, None)} <= same
+
+
+def test_forms_of_verbs(spark):
+    verbs = [("move", "moves", "moving"), ("let", "lets", "letting"), ("stretch", "stretches", "stretching"), ("must", "must", "must"), ("end", "ends", "ending"), ("make", "makes", "making")]
+    df = spark.createDataFrame([(v,) for v, _, _ in verbs], "v string")
+    assert [tuple(r) for r in df.select("v", realize.third_person(F.col("v")), realize.gerund(F.col("v"))).collect()] == verbs
+    first = {w.split(" ")[0] for ws in realize.PAIR_PHRASES.values() for w in ws}
+    assert all(w.isalpha() for w in first) and realize.conjugated(F.lit("make {s} touch"), realize.gerund) is not None
