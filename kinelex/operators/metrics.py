@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions.exprs import clamp, uniform
 from . import blocks
-from .mining import dot
+from .mining import dot, mpje
 
 
 def ranks(queries: DataFrame, targets: DataFrame, bucket: str | None = None, rows: int = blocks.ROWS) -> DataFrame:
@@ -219,3 +220,22 @@ def by_setting(rows: DataFrame, settings: dict[str, Column], sets: dict[str, Col
     r = r.select(F.col("s.setting").alias("setting"), "subsets", *(v.alias(k) for k, v in values.items()))
     r = r.select("setting", F.explode("subsets").alias("subset"), *values)
     return r.groupBy("setting", "subset").agg(F.count("*").alias("n_data"), *(F.avg(k).alias(k) for k in values))
+
+
+def top_precision(ranked: DataFrame, ks: tuple[int, ...] = (1, 2, 3), pool: int = 32) -> DataFrame:
+    """ranked (id, mean_rank, score) of `r_precision` -> metric, value, random: percent of rows whose mean rank is under k, their mean score, and what random output would reach."""
+    r = ranked.agg(*(F.avg((F.col("mean_rank") < k).cast("double") * 100).alias(f"r{k}") for k in ks), F.avg("score").alias("score"))
+    rows = [F.struct(F.lit(f"r{k}_precision").alias("metric"), F.col(f"r{k}").alias("value"), F.lit(100.0 * k / pool).alias("random")) for k in ks]
+    rows.append(F.struct(F.lit("score").alias("metric"), F.col("score").alias("value"), F.lit(None).cast("double").alias("random")))
+    return r.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def control_measures(rows: DataFrame, batch: Column) -> DataFrame:
+    """rows (id, a, b: joints; ra, rb: rotation vectors) -> metric, value: how far B is from A, and from the A of the row half a batch further on."""
+    r = rows.withColumn("batch", batch)
+    partner = shifted(r.select("batch", "id")).join(r.select(F.col("id").alias("partner"), F.col("a").alias("other"), F.col("ra").alias("rother")), "partner")
+    both = r.join(partner, "id")
+    turned = lambda x: F.aggregate(F.zip_with(x, "rb", lambda p, q: geodesic(g.quaternion(p), g.quaternion(q))), F.lit(0.0), lambda s, d: s + d) / F.size("rb")
+    values = {"jts_dist_A": mpje(F.col("a"), F.col("b")), "jts_dist_rand": mpje(F.col("other"), F.col("b")), "rot_dist_A": turned("ra"), "rot_dist_rand": turned("rother")}
+    found = both.agg(*(F.avg(v).alias(k) for k, v in values.items()))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values))).alias("x")).select("x.*")

@@ -56,6 +56,43 @@ def r_precision(spark, sf_dir):
     return rounded(metrics.r_precision(a, b, "label"), "mean_rank")
 
 
+PRECISION = f"""WITH {FEATURES}, p AS (SELECT q.id, rep, {DOT.format('q.v', 'y.v')} AS own, x.id AS other, {DOT.format('q.v', 'x.v')} AS s,
+  row_number() OVER (PARTITION BY q.id, rep ORDER BY {uniform_sql(0, 'pool', 'rep', 'q.id', 'x.id')}, x.id) AS draw
+  FROM q JOIN t y ON y.id = q.id JOIN t x ON x.label = q.label AND x.id <> q.id, range(10) r(rep)),
+n AS (SELECT id, rep, max(own) AS own, count(*) FILTER (s > own OR (s = own AND other < id)) AS rank FROM p WHERE draw < 32 GROUP BY ALL),
+m AS (SELECT id, avg(rank) AS mean_rank, max(own) AS score FROM n GROUP BY id)
+SELECT 'r' || k || '_precision' AS metric, round(avg(CASE WHEN mean_rank < k THEN 100.0::DOUBLE ELSE 0 END), 6) AS value, 100.0::DOUBLE * k / 32 AS random FROM m, (VALUES (1), (2), (3)) t(k) GROUP BY k
+UNION ALL SELECT 'score', round(avg(score), 6), NULL FROM m"""
+
+
+@query("q_top_precision", PRECISION)
+def top_precision(spark, sf_dir):
+    """Shares of queries whose own target is first, or among the first two or three, of pools of 32 on average."""
+    a, b = sides(spark, sf_dir)
+    return rounded(metrics.top_precision(metrics.r_precision(a, b, "label")), "value")
+
+
+_turn = "degrees(2 * acos(greatest(-1.0, least(1.0, abs(x.w * y.w + x.a * y.a + x.b * y.b + x.c * y.c)))))"
+CONTROL = f"""WITH {sql.POSES}, {sql.PAIRS}, v AS (SELECT vec_id AS pose_id, j, CASE j WHEN 0 THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [embedding[3 * j - 2]::DOUBLE, embedding[3 * j - 1]::DOUBLE, embedding[3 * j]::DOUBLE] END AS r FROM embeddings, range(22) t(j)),
+n AS (SELECT *, sqrt(r[1] * r[1] + r[2] * r[2] + r[3] * r[3]) AS n FROM v), k AS (SELECT *, CASE WHEN n < 1e-12 THEN 0.5 ELSE sin(n / 2) / n END AS k FROM n),
+rot AS (SELECT pose_id, j, cos(n / 2) AS w, r[1] * k AS a, r[2] * k AS b, r[3] * k AS c FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id // 32 ORDER BY pair_id) - 1 AS at, count(*) OVER (PARTITION BY pair_id // 32) AS n FROM pairs),
+s AS (SELECT x.pair_id, x.pose_a, x.pose_b, y.pose_a AS rand FROM o x JOIN o y ON y.pair_id // 32 = x.pair_id // 32 AND y.at = (x.at + x.n // 2) % x.n),
+e AS (SELECT pair_id, 'A' AS w, pose_a AS one, pose_b FROM s UNION ALL SELECT pair_id, 'rand', rand, pose_b FROM s),
+jts AS (SELECT e.w, avg(sqrt((x.p[i][1] - y.p[i][1]) ** 2 + (x.p[i][2] - y.p[i][2]) ** 2 + (x.p[i][3] - y.p[i][3]) ** 2)) AS d FROM e JOIN poses x ON x.pose_id = one JOIN poses y ON y.pose_id = e.pose_b, range(1, {len(catalog.JOINTS) + 1}) t(i) GROUP BY e.w),
+rots AS (SELECT e.w, avg({_turn}) AS d FROM e JOIN rot x ON x.pose_id = one JOIN rot y ON y.pose_id = e.pose_b AND y.j = x.j GROUP BY e.w)
+SELECT 'jts_dist_' || w AS metric, round(d, 6) AS value FROM jts UNION ALL SELECT 'rot_dist_' || w, round(d, 6) FROM rots"""
+
+
+@query("q_control_measures", CONTROL)
+def control_measures(spark, sf_dir):
+    """How far pose B is from pose A, and from the A of another pair of its batch of 32: joints and rotations."""
+    b, p = bodies(spark, sf_dir), poses(spark, sf_dir)
+    r = lambda side: b.select(F.col("pose_id").alias(f"pose_{side}"), F.col("body").alias(f"r{side}"))
+    rows = pairs.with_joints(p, pairs.pairs_of(p)).join(r("a"), "pose_a").join(r("b"), "pose_b")
+    return rounded(metrics.control_measures(rows.select(F.col("pair_id").alias("id"), F.col("ja").alias("a"), F.col("jb").alias("b"), "ra", "rb"), F.floor(F.col("id") / 32)), "value")
+
+
 @query(
     "q_joint_distance",
     f"""WITH {sql.POSES}, {sql.PAIRS}, d AS (SELECT pair_id, i - 1 AS joint, sqrt((a.p[i][1] - b.p[i][1]) ** 2 + (a.p[i][2] - b.p[i][2]) ** 2 + (a.p[i][3] - b.p[i][3]) ** 2) AS d
