@@ -144,7 +144,7 @@ def sentences(rows: DataFrame, key: str, seed: int = 0, p: float = 1.0) -> DataF
     left out before anything else, so they never open a text.
     """
     said = rows.where(F.col("intptt").isin(*PHRASES))
-    units = compose.ordered(compose.fuse(said, key, p, seed), key, seed)
+    units = compose.ordered(stored(compose.fuse(said, key, p, seed), "units"), key, seed)
     mine = Window.partitionBy(key).orderBy("place")
     drawn = F.element_at(F.array(*(F.lit(t) for t in TRANSITIONS)), F.floor(uniform(seed, "transition", F.col(key), F.col("place")) * len(TRANSITIONS)).cast("int") + 1)
     units = units.withColumn("link", F.when(F.col("place") == 0, "").otherwise(drawn))
@@ -169,9 +169,10 @@ def describe(poses: DataFrame, contacts: DataFrame | None = None, seed: int = 0,
         pruned = rewrite.prune_statistical(kept, facts)
         rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned").drop("code_id")
     if contacts is not None:
-        rows = rewrite.merge_contacts(rows, rewrite.prune_contained(contacts.join(facts.select("pose_id").distinct(), "pose_id", "left_semi")))
+        rows = stored(rewrite.merge_contacts(rows, rewrite.prune_contained(stored(contacts, "contacts"))), "touching")
     if not simple:
-        rows = rewrite.merge_symmetric(rewrite.merge_entities(rows, seed=seed))
+        # each step looks at its rows several times, so what it looks at is made once
+        rows = rewrite.merge_symmetric(stored(rewrite.merge_entities(rows, seed=seed), "merged"))
         rows = rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed)
     return sentences(stored(rows, "rewritten"), "pose_id", seed, 0.0 if simple else p)
 
@@ -246,13 +247,13 @@ def rewritten_changes(ids: DataFrame, facts: DataFrame, changes: DataFrame, cont
     first = len(catalog.PAIR_CODES) + len(catalog.SUPER_PAIRS)
     rows = said.unionByName(of_b.withColumn("code_id", F.col("code_id") + first))
     kept = stored(codes.skip(rows.withColumnRenamed("pair_id", "pose_id"), seed=seed).where("kept").drop("kept", "elig").withColumnRenamed("pose_id", "pair_id"), "kept")
-    rows = pairs.merge_entities(kept, rewrite.ENTITIES, p, seed)
+    rows = stored(pairs.merge_entities(kept, rewrite.ENTITIES, p, seed), "merged")
     if contacts is not None:
-        c = contacts.select(F.col("pose_id").alias("pose"), *(x for x in compose.CODE if x != "intptt"))
+        c = stored(contacts, "contacts").select(F.col("pose_id").alias("pose"), *(x for x in compose.CODE if x != "intptt"))
         had = c.join(ids.select("pair_id", F.col("pose_a").alias("pose")), "pose").drop("pose")
         has = c.join(ids.select("pair_id", F.col("pose_b").alias("pose")), "pose").drop("pose").distinct()
         new = has.exceptAll(had.distinct()).withColumn("intptt", F.lit(CHANGE + "touch"))
-        rows = rows.unionByName(rewrite.prune_contained(new.drop("intptt").withColumnRenamed("pair_id", "pose_id")).withColumnRenamed("pose_id", "pair_id").withColumn("intptt", F.lit(CHANGE + "touch")))
+        rows = rows.unionByName(rewrite.prune_contained(stored(new.drop("intptt"), "new-contacts").withColumnRenamed("pair_id", "pose_id")).withColumnRenamed("pose_id", "pair_id").withColumn("intptt", F.lit(CHANGE + "touch")))
     rows = rewrite.merge_symmetric(rows.withColumnRenamed("pair_id", "pose_id"))
     return rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed, shared=PAIR_SHARED).withColumnRenamed("pose_id", "pair_id").select("pair_id", *compose.CODE)
 
@@ -291,7 +292,7 @@ def instructions(rows: DataFrame, rotations: DataFrame | None = None, seed: int
     A pair of which nothing is to be said has no row.
     """
     known = rows.where(F.col("intptt").isin(*PHRASES, *(CHANGE + c for c in PAIR_PHRASES)))
-    units = compose.ordered(compose.fuse(known, "pair_id", p, seed, exempt_changes()), "pair_id", seed)
+    units = compose.ordered(stored(compose.fuse(known, "pair_id", p, seed, exempt_changes()), "units"), "pair_id", seed)
     step = F.element_at(F.array(*(F.lit(t) for t in STEPS)), F.floor(uniform(seed, "step", F.col("pair_id"), F.col("place")) * len(STEPS)).cast("int") + 1)
     units = units.withColumn("step", F.when(F.col("place") == 0, "").otherwise(step))
     # what follows `while`, and each `and` in its wake, goes on at the same time
