@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that go when the innermost `scratch` ends.
+_passing: list[list[str]] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again.
 
@@ -75,10 +80,65 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is stored inside goes at the end; the function given stores what stays.
+
+    Only for work whose results are all stored by that function: a plan that still reads what went would fail.
+    """
+    _passing.append([])
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        held, _passing[:] = _passing[:], []
+        try:
+            return stored(df, what)
+        finally:
+            _passing[:] = held
+
+    try:
+        yield kept
+    finally:
+        for path in _passing.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of a filter of row numbers for each number in it, and at most: 2 ** 27 bits are 2 million longs.
+BITS, MOST_BITS = 16, 1 << 27
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, column: str = "row") -> DataFrame:
+    """rows plus `perhaps`: false only where the number is not among ids (all of one column, whole numbers).
+
+    The numbers are marked in a map of bits whose size is bounded however many there are, so it may be
+    broadcast; what it lets pass is still to be joined.  It keeps most rows from being shuffled where few are wanted.
+    """
+    n = ids.count()
+    bits = 1 << max(10, min(MOST_BITS, max(1, n * BITS) - 1).bit_length())
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    marks = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("marks"))
+    out = rows.withColumns({"word": word, "mask": mask}).join(F.broadcast(marks), "word", "left")
+    return out.withColumn("perhaps", F.coalesce(F.col("marks").bitwiseAND(F.col("mask")) != 0, F.lit(False))).select(*rows.columns, "perhaps")
+
+
+def only(rows: DataFrame, ids: DataFrame, column: str = "row") -> DataFrame:
+    """The rows whose number is among ids; rows that can't be are never shuffled."""
+    return perhaps_in(rows, ids, column).where("perhaps").drop("perhaps").join(ids, column, "left_semi")
+
+
+def without_rows(rows: DataFrame, ids: DataFrame, column: str = "row") -> DataFrame:
+    """The rows whose number is not among ids; only those that may be are shuffled."""
+    known = perhaps_in(rows, ids, column)
+    return known.where("not perhaps").drop("perhaps").unionByName(known.where("perhaps").drop("perhaps").join(ids, column, "left_anti"))
+
+
 #: The column that tells the rows of a numbered table apart, and the one that holds a row as it came.
 ROW, WHOLE = "row", "whole"
 
@@ -103,8 +163,8 @@ def fields(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(ROW, *(F.col(f"{WHOLE}.`{n}`").alias(n) for n in names))
 
 
-def one_of_each(rows: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of numbered rows and their members (row, component) the one row per component with the smallest key, null keys last; as they came."""
+def surplus(rows: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of numbered rows and their members (row, component) the numbers of all but the one row per component with the smallest key, null keys last."""
     order = fields(rows, key, text).select(ROW, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(ROW).alias(ROW)).alias("x"))
     kept = members.join(order, ROW).groupBy("component").agg(F.min("x").alias("x")).select(F.col(f"x.{ROW}").alias(ROW))
-    return unpacked(rows.join(kept, ROW, "left_semi"))
+    return members.select(ROW).join(kept, ROW, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import ROW, fields, numbered, one_of_each, stored
+from .common import ROW, fields, numbered, scratch, stored, surplus, unpacked, without_rows
 from .components import components
 
 #: First bit and width of each segment.
@@ -102,5 +102,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
 def keep_first(docs: DataFrame, most: int = 4) -> DataFrame:
     """Exactly one row of each component, that of the smallest doc_id; null ids come last."""
     rows = numbered(docs)
-    members = classes(fields(rows, "text"), key=ROW, most=most).select(F.col("id").alias(ROW), F.col("component_id").alias("component"))
-    return one_of_each(rows, members)
+    with scratch(docs.sparkSession) as kept:
+        members = classes(fields(rows, "text"), key=ROW, most=most).select(F.col("id").alias(ROW), F.col("component_id").alias("component"))
+        gone = kept(surplus(rows, members), "surplus")
+    return unpacked(without_rows(rows, gone))
