@@ -2,8 +2,7 @@
 
 Every document gets a hash-random key.  Within its source the keys are cut into equal
 ranges (a range partition, as the keys are uniform), each range is sorted, and word
-counts are summed in two levels: per range over the small (source, range) table, and
-inside each range.  The cut lies where that distributed prefix sum reaches the source's
+counts are summed in three levels: inside each range, over the ranges of a run, and over the runs.  The cut lies where that distributed prefix sum reaches the source's
 budget; a budget above the source's size first takes whole epochs.
 """
 
@@ -12,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WHOLE, fields, n_words, numbered, stored, unpacked
+from .common import ROW, WHOLE, fields, n_words, numbered, scratch, stored, unpacked
 
 #: 2 ** 52: keys are the first 13 hexadecimal digits of an md5 digest.
 KEY_SPACE = 1 << 52
+#: Ranges are summed in runs of so many.
+RUN = 4096
 
 
 def hash_key(seed: str, *parts: Column) -> Column:
@@ -76,9 +77,14 @@ def plan(docs: DataFrame, most: int = 3, seed: str = "mix", range_docs: int = 10
     # The large side is never shuffled by source alone: after this join it goes by (source, range).
     d = d.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     d = d.withColumn("__range", F.floor(F.col("__key").cast("double") / KEY_SPACE * F.col("__ranges")).cast("long"))
-    at = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = d.groupBy("source", "__range").agg(F.sum("size").alias("__sum")).withColumn("__start", F.coalesce(F.sum("__sum").over(at), F.lit(0)))
-    starts = starts.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), "__start")
+    # ranges are summed in runs of RUN, and the runs' sums in a window with a row per run
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("source", "__range").agg(F.sum("size").alias("__sum")).withColumn("__run", F.floor(F.col("__range") / RUN))
+    runs = sums.groupBy("source", "__run").agg(F.sum("__sum").alias("__sum"))
+    runs = runs.select(F.col("source").alias("__s"), F.col("__run").alias("__r"), F.coalesce(F.sum("__sum").over(before("source", "__run")), F.lit(0)).alias("__first"))
+    sums = sums.withColumn("__inside", F.coalesce(F.sum("__sum").over(before("source", "__run", "__range")), F.lit(0)))
+    starts = sums.join(runs, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__run") == F.col("__r")))
+    starts = starts.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), (F.col("__first") + F.col("__inside")).alias("__start"))
     inside = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")), "left")
@@ -98,6 +104,7 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "mix") -> DataFrame:
     `plan`; an empty table gives an empty result.
     """
     rows = numbered(docs)
-    taken = plan(fields(rows, "doc_id", "text", "source"), most, seed).where("copies > 0").select(ROW, "copies")
+    with scratch(docs.sparkSession) as kept:
+        taken = kept(plan(fields(rows, "doc_id", "text", "source"), most, seed).where("copies > 0").select(ROW, "copies"), "copies")
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch")
     return unpacked(rows.join(taken, ROW).select(WHOLE, again))

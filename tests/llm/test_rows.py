@@ -20,6 +20,15 @@ def test_one_row_of_each_component(spark, module):
     assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, c)])
 
 
+@pytest.mark.parametrize("run", [1, 3, 4096])
+def test_runs_of_ranges_make_no_difference(spark, monkeypatch, run):
+    rows = [(i, "one two three " * (i % 5), "a" if i % 3 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.doc_id: r.taken for r in mixing.plan(docs).collect()}
+    monkeypatch.setattr(mixing, "RUN", run)
+    assert {r.doc_id: r.taken for r in mixing.plan(docs, range_docs=7).collect()} == want
+
+
 def test_mix_takes_each_row_by_itself(spark):
     rows = [(7, "one two three", "a")] * 40 + [(None, "one two three", "a")] * 40 + [(i, "x y", "b") for i in range(100, 140)] + [(9, "z", None)] * 9
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
