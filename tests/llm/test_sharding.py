@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR, spark_rows
 from kinelex.llm import queries, sharding
+from kinelex.llm.common import packed
 
 
 def test_repeated_records_and_keys_spread(spark):
     text = "x" * 400
     rows = [(None, text)] * 6000 + [(5, f"{i} {text}") for i in range(6000)] + [(i, f"{i} {text}") for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    cols = ["doc_id", "text"]
-    spread = sharding._spread(df, cols, "text", (64 << 10) // 8)
-    assert Counter((r.doc_id, r.text) for r in spread.collect()) == Counter(rows)
-    buckets = spread.groupBy(F.pmod(F.xxhash64(F.lit(7), *cols, "__copy"), F.lit(64))).count()
+    whole = df.select(packed(df), (F.octet_length("text") + 64).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+    spread = sharding._spread(whole, sharding._parts(df, "whole."), (64 << 10) // 8)
+    assert Counter((r.doc_id, r.text) for r in spread.select("whole.*").collect()) == Counter(rows)
+    buckets = spread.groupBy(F.pmod(F.xxhash64(F.lit(7), "h", "copy"), F.lit(64))).count()
     assert buckets.agg(F.max("count")).first()[0] < 2 * len(rows) / 64
     out = sharding.shuffled(df, bucket_bytes=64 << 10)
     got = out.collect()
