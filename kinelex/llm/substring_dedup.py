@@ -154,8 +154,11 @@ def _sketched(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
 
 
 def _shared(windows: DataFrame, *by: str) -> DataFrame:
-    """The hashes that stand in documents of different keys, with the smallest of these."""
-    return windows.groupBy(*by).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select(*by, "lo")
+    """The hashes that stand in documents of different keys, with the smallest of these.
+
+    Stored, so that a join with it has plain shuffles on both sides: a frequent hash is then split.
+    """
+    return stored(windows.groupBy(*by).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select(*by, "lo"), "shared")
 
 
 def _survivors(windows: DataFrame, n: int) -> DataFrame:
