@@ -244,7 +244,7 @@ def deduplicate(docs: DataFrame, length: int = 50, key: str = "doc_id", text: st
     removed = level.where("later").groupBy("id").agg(F.collect_set("pos").alias("starts"), F.lit(n).cast("long").alias("longest"))
     while doubling and not level.isEmpty():
         levels.append(level.where("later").select("id", F.lit(n).cast("long").alias("longest")).distinct())
-        level, n = _survivors(_extended(level, n), 2 * n), 2 * n
+        level, n = _survivors(stored(_extended(level, n), "candidates"), 2 * n), 2 * n
     if len(levels) > 1:
         longest = levels[0]
         for more in levels[1:]:
