@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a stored table that may be broadcast unasked.
+FEW = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """`df` written once as Parquet and read again, with its rows counted on the way.
+
+    Spark would broadcast a table whose files are small, and columns of repeated values, or rows yet to be
+    exploded, take a hundredth of their size in memory.  So a table of more than FEW rows asks for merge
+    joins; the request holds through projections and aggregates up to the next join, and F.broadcast overrides it.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table.hint("merge") if seen.get["n"] > FEW else table
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """`df` written once as Parquet and read again: what follows is planned by itself, and a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written once in the shared folder and read again: what follows is planned by itself, and a lost executor costs a re-read."""
+    return written(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}")

@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import written
+
 #: ASCII white space, as the word pattern below sees it.
 SPACES = " \t\n\x0b\f\r"
 #: A word: a longest run of anything but ASCII white space.
@@ -82,8 +84,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     if _passing:
         _passing[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, path)
 
 
 @contextmanager
