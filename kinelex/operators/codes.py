@@ -6,13 +6,16 @@ it goes into expressions and literal tables and never grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.exprs import bin_of, let, uniform
+from ..functions.shipping import ship
 from ..functions.stages import stored
 from ..plans import catalog
 from ..plans.catalog import AT, CODES, KINDS
@@ -247,24 +250,44 @@ def symmetric(rules: DataFrame, *columns: str) -> DataFrame:
     return rules.join(image.select(*(x.alias(c) for x, c in zip([*sides, said], columns, strict=True))).distinct(), list(columns), "left_semi")
 
 
+def _together(items: DataFrame, confidence: float, support: int, bi_confidence: float) -> DataFrame:
+    """items (pose_id, item) -> a, b, c, n, n_ab of the rules a, b => c (a < b), and a, b, b, n_ab, n_a of the rules a => b.
+
+    A pose's items, one short row, go to the group of each of them.  The poses of a's group pass in
+    batches; what is kept of them is a matrix of how many have b and c, as large as the catalogue squared.
+    """
+    ship(items.sparkSession)
+    known = np.array(sorted({x for x, _ in mirror_rows()}))
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, n = key[0].as_py(), np.zeros((len(known), len(known)), np.int64)
+        for batch in batches:
+            lists = batch.column("items")
+            x = np.zeros((batch.num_rows, len(known)), np.float32)  # whole numbers up to 2 ** 24 are exact
+            x[np.repeat(np.arange(len(lists)), lists.value_lengths()), np.searchsorted(known, lists.flatten())] = 1
+            n += (x.T @ x).astype(np.int64)
+        at = int(np.searchsorted(known, a))
+        n_ab = np.diag(n)
+        three = (n >= support) & (n >= confidence * n_ab[:, None]) & (np.arange(len(known)) > at)[:, None]
+        three[:, at] = False
+        np.fill_diagonal(three, False)
+        two = np.flatnonzero((n_ab >= support) & (n_ab >= bi_confidence * n_ab[at]) & (np.arange(len(known)) != at))
+        b, c = np.nonzero(three)
+        b, c, of = np.concatenate([b, two]), np.concatenate([c, two]), np.concatenate([n_ab[b], np.full(len(two), n_ab[at])])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(b), a, np.int32), known[b].astype(np.int32), known[c].astype(np.int32), n[b, c], of)], ["a", "b", "c", "n", "n_ab"])
+
+    pose = items.groupBy("pose_id").agg(F.collect_list("item").alias("items"))
+    dealt = pose.select(F.explode("items").alias("a"), F.transform("items", lambda x: x.cast("int")).alias("items"))
+    return dealt.groupBy("a").applyInArrow(count, "a int, b int, c int, n long, n_ab long")
+
+
 def tri_rules(facts: DataFrame, confidence: float = 0.8, support: int = 50, bi_confidence: float = 0.7) -> DataFrame:
     """Rules a, b => c (a < b) between accepted categories of one pose: a, b, c, n (poses that have all three), confidence.
 
-    Level by level: categories that enough poses have, then pairs, then triples.  As all of
-    a, b, c hold in no more poses than two of them, only triples whose pairs are frequent enough
-    for the rule are counted.  A rule that adds b to a mined rule a => c says nothing new and is left
-    out; a rule must hold for the other side of the body too.
+    A rule that adds b to a mined rule a => c says nothing new and is left out; a rule must hold for
+    the other side of the body too.
     """
-    items = stored(_items(facts, support), "items")
-    pose = items.groupBy("pose_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    pairs = items.join(pose, "pose_id").select("pose_id", F.col("item").alias("a"), "items", F.explode(F.filter("items", lambda x: x > F.col("item"))).alias("b"))
-    both = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= support), "pairs")
-    n_of = both.select("a", "b", "n_ab").union(both.select("b", "a", "n_ab"))
-    third = lambda x, to: n_of.select(F.col("a").alias(x), F.col("b").alias("c"), F.col("n_ab").alias(to))
-    enough = F.least("n_ac", "n_bc") >= F.greatest(F.lit(float(support)), confidence * F.col("n_ab"))
-    wanted = both.join(third("a", "n_ac"), "a").join(third("b", "n_bc"), ["b", "c"]).where(enough).select("a", "b", "c", "n_ab")
-    mined = symmetric(rule_mining(facts, bi_confidence, support), "a", "b").select("a", F.col("b").alias("c"))
-    wanted = wanted.join(mined, ["a", "c"], "left_anti").join(mined.select(F.col("a").alias("b"), "c"), ["b", "c"], "left_anti")
-    found = pairs.join(stored(wanted, "triples"), ["a", "b"]).where(F.array_contains("items", F.col("c")))
-    found = found.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.max("n_ab").alias("n_ab")).where((F.col("n") >= support) & (F.col("n") >= confidence * F.col("n_ab")))
+    counts = stored(_together(_items(facts, support), confidence, support, bi_confidence), "together")
+    mined = symmetric(counts.where("b = c").select("a", "c", "n"), "a", "c").select("a", "c")
+    found = counts.where("b <> c").join(mined, ["a", "c"], "left_anti").join(mined.select(F.col("a").alias("b"), "c"), ["b", "c"], "left_anti")
     return symmetric(stored(found.select("a", "b", "c", "n", (F.col("n") / F.col("n_ab")).alias("confidence")), "rules"), "a", "b", "c")

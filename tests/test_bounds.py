@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinelex.functions import stages
 from kinelex.llm import common
+from kinelex.operators import codes
+from kinelex.plans import catalog
 
 
 def plan(df) -> str:
@@ -21,3 +25,37 @@ def test_a_long_table_in_small_files_is_not_broadcast_unasked(spark, stored):
     few = stored(spark.range(5).select(F.lit(7).alias("a")), "few")
     assert "Broadcast" in plan(few.join(spark.range(10).select(F.col("id").cast("int").alias("a")), "a"))
     assert "Broadcast" in plan(other.join(F.broadcast(wide), "a")), "what is asked for is done"
+
+
+def test_rules_of_three_store_no_more_than_facts_and_rules(spark, monkeypatch):
+    """Two of three codes often go together in all these poses, three never often enough: candidates would be hundreds of thousands."""
+    r = random.Random(4)
+    table = [(i, catalog.OFFSET[c.kind] + catalog.KINDS[c.kind].categories.index(c.accepted[0])) for i, c in enumerate(catalog.CODES) if c.accepted][:120]
+    rows = [(p, *x) for p in range(300) for x in table if r.random() < 0.72] + [(p, *x) for p in range(300, 370) for x in table[:3]]
+    facts = spark.createDataFrame(rows, "pose_id long, code_id int, intptt_id int")
+    sizes = []
+
+    def counted(df, what):
+        out = stages.stored(df, what)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(codes, "stored", counted)
+    got = {(x.a, x.b, x.c, x.n, round(x.confidence, 9)) for x in codes.tri_rules(facts).collect()}
+    assert max(sizes) <= len(rows)
+    has = {}
+    for p, c, i in rows:
+        has.setdefault(c * 1000 + i, set()).add(p)
+    two = {(a, c) for a in has for c in has if a != c and len(has[a] & has[c]) >= max(50, 0.7 * len(has[a]))}
+    m = dict(codes.mirror_rows())
+    two = {(a, c) for a, c in two if any((m[x], m[y]) == (a, c) for x, y in two)}
+    three = {}
+    for a in has:
+        for b in has:
+            ab = has[a] & has[b] if a < b else ()
+            for c in has if len(ab) >= 50 else ():
+                n = len(ab & has[c])
+                if c not in (a, b) and n >= 50 and n >= 0.8 * len(ab) and not {(a, c), (b, c)} & two:
+                    three[a, b, c] = n, round(n / len(ab), 9)
+    images = {(*sorted((m[a], m[b])), m[c]) for a, b, c in three}
+    assert got == {(*k, *v) for k, v in three.items() if k in images}
