@@ -107,15 +107,24 @@ def ordered(units: DataFrame, key: str = "pose_id", seed: int = 0) -> DataFrame:
     What is said of both sides goes to a drawn side, or to the other if only that side is spoken of
     elsewhere.  Units of one part follow in drawn order; parts the walk doesn't know come last.
     """
+    others = [c for c in units.columns if c != key]
     first = F.get("codes", F.lit(0))
-    u = units.select("*", first["side1"].alias("side"), first["part1"].alias("part"), uniform(seed, "unit", F.col(key), F.col("how"), F.col("grp")).alias("draw"))
-    mine = Window.partitionBy(key)
-    there = F.collect_set(F.when(F.col("side").isin("left", "right"), F.concat_ws("_", "side", "part"))).over(mine)
-    side = F.when(uniform(seed, "side", F.col(key), single(F.col("part"))) < 0.5, "left").otherwise("right")
-    other = F.when(side == "left", "right").otherwise("left")
-    on = lambda s: F.concat_ws("_", s, single(F.col("part")))
-    spot = F.when(F.col("side") == "both", F.when(~F.array_contains(there, on(side)) & F.array_contains(there, on(other)), on(other)).otherwise(on(side))).otherwise(F.concat_ws("_", "side", "part"))
-    walks = units.select(key).distinct().select(key, F.explode(walk(F.col(key), seed)).alias("spot", "visit"))
-    placed = u.select("*", spot.alias("spot")).join(walks, [key, "spot"], "left")
-    place = F.row_number().over(mine.orderBy(F.coalesce("visit", F.lit("~")), "spot", "draw", "how", "grp")) - 1
-    return placed.select(*units.columns, "spot", place.alias("place"))
+    unit = F.struct(F.struct(*others).alias("unit"), first["side1"].alias("side"), first["part1"].alias("part"), uniform(seed, "unit", F.col(key), F.col("how"), F.col("grp")).alias("draw"))
+    u = units.groupBy(key).agg(F.collect_list(unit).alias("units"))
+    sided = F.filter("units", lambda x: x["side"].isin("left", "right"))
+    u = u.withColumn("there", F.transform(sided, lambda x: F.concat_ws("_", x["side"], x["part"])))
+
+    def spot(x: Column) -> Column:
+        side = F.when(uniform(seed, "side", F.col(key), single(x["part"])) < 0.5, "left").otherwise("right")
+        other = F.when(side == "left", "right").otherwise("left")
+        on = lambda s: F.concat_ws("_", s, single(x["part"]))
+        held = lambda s: F.array_contains("there", on(s))
+        return F.when(x["side"] == "both", F.when(~held(side) & held(other), on(other)).otherwise(on(side))).otherwise(F.concat_ws("_", x["side"], x["part"]))
+
+    def placed(visits: Column, x: Column) -> Column:
+        return let(spot(x), lambda s: F.struct(F.coalesce(visits[s], F.lit("~")).alias("visit"), s.alias("spot"), x["draw"].alias("draw"), x["unit"]["how"], x["unit"]["grp"], x["unit"].alias("unit")))
+
+    # the walk is met where it is made: exploded, it is hundreds of times what its key takes, which no estimate tells
+    told = let(walk(F.col(key), seed), lambda visits: F.transform("units", lambda x: placed(visits, x)))
+    out = u.select(key, F.posexplode(F.sort_array(told)).alias("place", "x"))
+    return out.select(*(key if c == key else F.col(f"x.unit.`{c}`").alias(c) for c in units.columns), "x.spot", "place")

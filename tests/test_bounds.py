@@ -59,3 +59,15 @@ def test_rules_of_three_store_no_more_than_facts_and_rules(spark, monkeypatch):
                     three[a, b, c] = n, round(n / len(ab), 9)
     images = {(*sorted((m[a], m[b])), m[c]) for a, b, c in three}
     assert got == {(*k, *v) for k, v in three.items() if k in images}
+
+
+def test_units_are_ordered_where_their_walk_is_made(spark):
+    """A walk is hundreds of times as large as its key, so no table of walks is joined."""
+    from kinelex.operators import compose
+
+    rows = spark.createDataFrame([(i, s, p, "above", None, "neck") for i in range(3) for s in ("left", "right") for p in ("hand", "foot")], "pose_id long, side1 string, part1 string, intptt string, side2 string, part2 string")
+    units = stages.stored(compose.fuse(rows), "units")
+    out = compose.ordered(units)
+    assert "Join" not in plan(out) and out.columns == [*units.columns, "spot", "place"]
+    got = [r.place for r in out.where("pose_id = 1").collect()]
+    assert sorted(got) == list(range(len(got))) and len(got) > 0
