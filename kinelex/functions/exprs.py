@@ -19,10 +19,14 @@ def total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def digits(seed: int, site: str, *keys: Column) -> Column:
+    """The eight hexadecimal digits behind `uniform`: a text in the same order."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(site), *(k.cast("string") for k in keys))), 1, 8)
+
+
 def uniform(seed: int, site: str, *keys: Column) -> Column:
     """A number in [0, 1) from seed, place of use and row keys: the same in every run, partitioning and engine."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(site), *(k.cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(digits(seed, site, *keys), 16, 10).cast("double") / 4294967296.0
 
 
 def uniform_sql(seed: int, site: str, *keys: str) -> str:

@@ -71,3 +71,33 @@ def test_units_are_ordered_where_their_walk_is_made(spark):
     assert "Join" not in plan(out) and out.columns == [*units.columns, "spot", "place"]
     got = [r.place for r in out.where("pose_id = 1").collect()]
     assert sorted(got) == list(range(len(got))) and len(got) > 0
+
+
+@pytest.mark.parametrize("spare", [3.0, None])
+def test_pools_are_drawn_in_the_join(spark, spare):
+    """Blocks of 16 rows; limits that hide too much are made up for, and with none only few draws leave the join."""
+    import hashlib
+
+    from kinelex.operators import metrics
+
+    r = random.Random(2)
+    v = [[[r.gauss(0, 1) for _ in range(3)] for _ in range(200)] for _ in range(2)]
+    q, t = (spark.createDataFrame([(i, x, 0 if i < 190 else 1) for i, x in enumerate(side)], "id long, v array<double>, label int") for side in v)
+    got = {x.id: round(x.mean_rank, 9) for x in metrics.r_precision(q, t, "label", pool=8, repeats=3, rows=16, spare=spare).collect()}
+    draw = lambda rep, a, b: hashlib.md5(f"0|pool|{rep}|{a}|{b}".encode()).hexdigest()[:8]
+    s = lambda a, b: round(sum(x * y for x, y in zip(v[0][a], v[1][b], strict=True)), 9)
+    for i in (0, 17, 189, 195):
+        group = range(190) if i < 190 else range(190, 200)
+        ranks = [sum(s(i, x) > s(i, i) or (s(i, x) == s(i, i) and x < i) for x in sorted((x for x in group if x != i), key=lambda x: (draw(rep, i, x), x))[:7]) for rep in range(3)]
+        assert got[i] == round(sum(ranks) / 3, 9)
+    assert len(got) == 200
+
+
+def test_similar_rows_are_ranked_where_they_are_found(spark):
+    """A row hands on its k best in all, not k for every block."""
+    from kinelex.operators import blocks
+
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(64)], "id long, v array<double>")
+    out = blocks.most_similar(df, 5, rows=8)
+    assert "Window" not in plan(out) and out.count() == 64 * 5
