@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
 #: Rows of a block, on average; a task holds two blocks and their product.
 ROWS = 2048
+#: Most rows of which a task keeps the best of all others, and how many of them it multiplies at once.
+QUERIES, STRIP = 16_384, 512
 
 
 def n_blocks(df: DataFrame, rows: int = ROWS) -> int:
@@ -49,39 +51,69 @@ def every_block_pair(left: DataFrame, right: DataFrame, work: Callable[[pa.Table
     return a.groupBy("l", "r").cogroup(b.groupBy("l2", "r2")).applyInArrow(joined, schema)
 
 
-def most_similar(features: DataFrame, k: int = 100, apart: str | None = None, rows: int = ROWS) -> DataFrame:
+def most_similar(features: DataFrame, k: int = 100, apart: str | None = None, rows: int | None = None) -> DataFrame:
     """features (id, v) with v of unit length -> b, a, similarity, rank: the k most similar a of every b, of all rows.
 
     apart: a column whose value must differ, or else be null on either side; that holds before the k
-    are taken.  A block hands on its k best of each b, and of those the k best stay; ties go to the
-    smaller a.  Similarities are rounded to six decimals before they are ordered.
+    are taken.  All rows pass by each block of `rows` b (a sixteenth of them, but 2048 to 16384) in batches, and the block keeps the k best of each
+    b so far, so a b hands on k rows in all; ties go to the smaller a.  Similarities are rounded to six
+    decimals before they are ordered.
     """
-    cols = ["id", "v", *([apart] if apart else [])]
-    f = features.select(*cols)
-
-    def best(b: pa.Table, a: pa.Table) -> pa.Table:
-        ids_b, ids_a = b.column("id").to_numpy(), a.column("id").to_numpy()
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(ids_a) and len(ids_b):
-            order = np.argsort(ids_a, kind="stable")
-            ids_a = ids_a[order]
-            s = np.round(matrix(b, "v") @ matrix(a, "v")[order].T, 6) + 0.0
-            out_of = ids_b[:, None] == ids_a[None, :]
-            if apart:
-                known = {x: i for i, x in enumerate({*b.column(apart).to_pylist(), *a.column(apart).to_pylist()} - {None})}
-                code = lambda t, none: np.array([known.get(x, none) for x in t.column(apart).to_pylist()])
-                out_of |= code(b, -1)[:, None] == code(a, -2)[order][None, :]
-            s[out_of] = -np.inf
-            n = min(k, len(ids_a))
-            # stable, so equal similarities keep the order of a
-            top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            value = np.take_along_axis(s, top, axis=1)
-            there = np.isfinite(value)
-            out = [np.repeat(ids_b, n).reshape(-1, n)[there], ids_a[top][there], value[there]]
-        return pa.table({"b": out[0], "a": out[1], "similarity": out[2]})
-
-    found = every_block_pair(f, f, best, "b long, a long, similarity double", rows)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("similarity"), "a"))).where(F.col("rank") <= k)
+    ship(features.sparkSession)
+    n = n_blocks(features, rows or min(QUERIES, max(ROWS, features.count() // 16)))
+    f = features.select("id", "v", (F.col(apart) if apart else F.lit(None).cast("int")).alias("apart"))
+    mine = f.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.lit(0).alias("side"), "*")
+    theirs = f.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), F.lit(1).alias("side"), "*")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        known: dict = {None: -1}
+        codes = lambda b, none: np.array([none if x is None else known.setdefault(x, len(known)) for x in b.column("apart").to_pylist()], np.int64)
+        block = None
+        for batch in batches:
+            n_mine = int((batch.column("side").to_numpy() == 0).sum())
+            if n_mine:
+                if block is not None:
+                    raise RuntimeError("a block's own rows must come first")
+                held.append(batch.slice(0, n_mine))
+            a = batch.slice(n_mine)
+            if a.num_rows and (a.column("side").to_numpy() == 0).any():
+                raise RuntimeError("a block's own rows must come first")
+            if not a.num_rows or not held:
+                continue
+            if block is None:
+                own = pa.Table.from_batches(held)
+                ids, v, of = own.column("id").to_numpy(), matrix(own, "v"), np.concatenate([codes(x, -1) for x in held])
+                block, top_a, top_s = len(ids), np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+            ids_a, of_a, va = a.column("id").to_numpy(), codes(a, -2), matrix(pa.Table.from_batches([a]), "v")
+            for at in range(0, block, STRIP):
+                part = slice(at, at + STRIP)
+                s = v[part] @ va.T
+                # what is under the k-th best so far can't be among the k best; a tie may
+                least = top_s[part, -1:]
+                if np.isinf(least).any() and a.num_rows > k:  # not full yet: the batch's own k-th best is a bound too
+                    s[(ids[part][:, None] == ids_a) | (of[part][:, None] == of_a)] = -np.inf
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k, None])
+                row, col = np.nonzero(s >= least - 1e-6)
+                there = (ids[part][row] != ids_a[col]) & (of[part][row] != of_a[col])
+                row, col = row[there], col[there]
+                value = np.round(s[row, col], 6) + 0.0
+                touched = np.unique(row)
+                rows_ = np.concatenate([row, np.repeat(touched, k)])
+                values = np.concatenate([value, top_s[part][touched].ravel()])
+                found = np.concatenate([ids_a[col], top_a[part][touched].ravel()])
+                order = np.lexsort((found, -values, rows_))
+                rows_, values, found = rows_[order], values[order], found[order]
+                place = np.arange(len(rows_)) - np.searchsorted(rows_, rows_)
+                kept = place < k
+                top_s[at + rows_[kept], place[kept]], top_a[at + rows_[kept], place[kept]] = values[kept], found[kept]
+        if block:
+            for at in range(0, block, STRIP):
+                row, place = np.nonzero(np.isfinite(top_s[at : at + STRIP]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at + row], top_a[at + row, place], top_s[at + row, place], (place + 1).astype(np.int32))], ["b", "a", "similarity", "rank"])
+
+    both = mine.unionByName(theirs).repartition(n, "block").sortWithinPartitions("block", "side")
+    return both.groupBy("block").applyInArrow(best, "b long, a long, similarity double, rank int")
 
 
 def counts_ahead(queries: DataFrame, targets: DataFrame, own: Column, rows: int = ROWS) -> DataFrame:

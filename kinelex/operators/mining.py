@@ -67,7 +67,7 @@ def in_sequence(frames: DataFrame, within: float = 0.5) -> DataFrame:
     return j.select("a", "b", (F.col("fb") - F.col("fa")).alias("frame_diff"))
 
 
-def similar(features: DataFrame, k: int = 100, low: float = 0.7, high: float = 0.9, apart: str | None = None, rows: int = blocks.ROWS) -> DataFrame:
+def similar(features: DataFrame, k: int = 100, low: float = 0.7, high: float = 0.9, apart: str | None = None, rows: int | None = None) -> DataFrame:
     """features (id, v of unit length) -> b, a, similarity, rank: of the k rows most similar to each b, all rows looked at, those inside (low, high).
 
     apart: only rows that differ in this column (as of other sequences) are looked at.
