@@ -110,9 +110,9 @@ def annotation_order(pairs: DataFrame, seed: int = 0) -> DataFrame:
     what it can take, b prefers an a the more, the fewer b it can be used for: each pair draws a
     waiting time that grows with those uses, and the shortest is taken.
 
-    A b can be settled without those after it, and all of these at once, as soon as no earlier b can take it
-    or its first choice.  So rounds of settled b give what going through them one by one gives; a round
-    costs a few joins, and the smallest b left is always settled.
+    What a b takes follows from what those before it took.  So all b choose at once, given what the round before
+    gave, until no choice changes.  Choices before the first that changed are those of going through them one by one,
+    and leave the rounds with all they rule out; the smallest b left is always among them.
     """
     p = pairs.select("a", "b").where("a <> b").distinct()
     uses = p.groupBy("a").agg(F.count("*").alias("uses"))
@@ -120,18 +120,20 @@ def annotation_order(pairs: DataFrame, seed: int = 0) -> DataFrame:
     p = stored(p.join(uses, "a").select("a", "b", wait.alias("wait")), "choices")
     later = p.select(F.col("b").alias("a")).distinct()
     open_ = stored(p.where("a > b").join(later, "a", "left_semi"), "open")  # what b can take both ways
-    done = None
-    while not open_.isEmpty():
-        first = open_.groupBy("b").agg(F.min(F.struct("wait", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-        asked = open_.groupBy("a").agg(F.min("b").alias("earliest"))
-        free = first.join(asked.select(F.col("a").alias("b")), "b", "left_anti")  # no earlier b can take it
-        took = stored(free.join(asked, "a").where("earliest = b").select("a", "b"), "taken")
-        done = took if done is None else done.unionByName(took)
-        gone = took.select(F.col("a").alias("id")).union(took.select(F.col("b").alias("id")))
-        left = open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+    guess = done = open_.select("a", "b").where("false")
+    while True:
+        by = guess.select("a", F.col("b").alias("by"))
+        there = open_.join(by, "a", "left").where("by is null or by >= b").join(guess.select(F.col("a").alias("b")), "b", "left_anti")
+        first = there.groupBy("b").agg(F.min(F.struct("wait", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+        took = stored(first.groupBy("a").agg(F.min("b").alias("b")), "taken")
+        changed = took.join(by, "a", "full").where(~F.col("b").eqNullSafe(F.col("by"))).agg(F.min(F.least("b", "by"))).first()[0]
+        if changed is None:
+            done = done.unionByName(took)
+            break
+        settled, guess = took.where(F.col("b") < changed), took.where(F.col("b") >= changed)
+        done = done.unionByName(settled)
+        left = open_.where(F.col("b") >= changed).join(settled.select("a"), "a", "left_anti").join(settled.select(F.col("a").alias("b")), "b", "left_anti")
         open_ = stored(left, "open")
-    if done is None:
-        done = p.select("a", "b").where("false")
     alone = p.join(done.select("b"), "b", "left_anti").join(done.select(F.col("a").alias("b")), "b", "left_anti")
     alone = alone.groupBy("b").agg(F.min(F.struct("wait", "a")).alias("x")).select("b", F.col("x.a").alias("a"), F.lit(False).alias("two_way"), F.array(F.lit(0)).alias("steps"))
     both = done.select("b", "a", F.lit(True).alias("two_way"), F.array(F.lit(0), F.lit(1)).alias("steps"))

@@ -54,6 +54,16 @@ def test_annotation_order(spark, kind):
     assert got == want and sum(not x[2] for x in got) == one_way
 
 
+def test_annotation_order_takes_few_rounds(spark, monkeypatch):
+    """Where every pose can be taken by all before it, settling one of them a round took as many rounds as there are pairs asked both ways."""
+    pairs = {(a, b) for a in range(60) for b in range(60) if a != b}
+    rounds = []
+    plain = mining.stored
+    monkeypatch.setattr(mining, "stored", lambda df, what: rounds.append(what) or plain(df, what))
+    got = sorted((tuple(x) for x in mining.annotation_order(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()), key=lambda x: x[-1])
+    assert got == one_by_one(pairs)[0] and rounds.count("taken") < 20
+
+
 @pytest.mark.parametrize("rows", [3, 1000])
 def test_blocks_give_what_the_whole_matrix_gives(spark, rows):
     """More than one block, ties, equal vectors, and values that must differ with nulls among them."""
