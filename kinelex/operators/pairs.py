@@ -29,6 +29,12 @@ def _binned(df: DataFrame) -> DataFrame:
     return df.withColumn("intptt_id", b)
 
 
+def codes_behind(kinds: tuple[str, ...]) -> frozenset[int]:
+    """Numbers of the pose codes whose values these kinds of changes compare."""
+    known = {(c.kind.removeprefix("pair_"), c.joints) for c in PAIR_CODES if c.kind in kinds}
+    return frozenset(catalog.CODE_ID[x] for x in known if x in catalog.CODE_ID)
+
+
 def change(facts: DataFrame, pairs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """facts (measured pose codes), pairs -> pair_id, code_id, kind, value, intptt_id for codes whose change is a difference of pose values."""
     spark = facts.sparkSession

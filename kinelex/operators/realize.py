@@ -228,6 +228,7 @@ def fact_rows(facts: DataFrame, supers: DataFrame, ids: DataFrame, changed: Data
     absolute = pairs.resolve_pose_support(pairs.absolute_eligibility(facts), supers, ids).where("elig > 0")
     t = F.broadcast(rewrite.format_table(spark).drop("kind"))
     b = absolute.join(t, ["code_id", "intptt_id"]).join(ids.select("pair_id", F.col("pose_b").alias("pose_id")), "pose_id").withColumn("part", F.concat_ws("_", "side1", "part1"))
+    b = stored(b, "facts-of-b")  # looked at three times below
     held = pairs.facts_of_b(changed, b.select("pair_id", "code_id", "part"))
     return b.join(held.select("pair_id", "code_id"), ["pair_id", "code_id"], "left_semi").select("pair_id", "code_id", "elig", *compose.CODE)
 
@@ -241,7 +242,7 @@ def rewritten_changes(ids: DataFrame, facts: DataFrame, changes: DataFrame, cont
     supers = stored(pairs.super_pairs(facts, changes.where(F.col("kind").isin(*PAIR_DIFFERENCES)), ids), "super-pairs")
     settled = pairs.resolve_pair_support(pairs.pair_eligibility(changes), supers)
     said = stored(change_rows(settled, supers), "changes")
-    changed = said.select("pair_id", F.concat_ws("_", "side1", "part1").alias("part"))
+    changed = stored(said.select("pair_id", F.concat_ws("_", "side1", "part1").alias("part")).distinct(), "changed")
     of_b = fact_rows(facts, supers, ids, changed).select("*", F.lit(0).alias("nature"), F.lit(0).alias("direction"), F.lit(0).alias("magnitude"))
     # facts are numbered after the changes, so that each draws for itself
     first = len(catalog.PAIR_CODES) + len(catalog.SUPER_PAIRS)
@@ -254,7 +255,7 @@ def rewritten_changes(ids: DataFrame, facts: DataFrame, changes: DataFrame, cont
         has = c.join(ids.select("pair_id", F.col("pose_b").alias("pose")), "pose").drop("pose").distinct()
         new = has.exceptAll(had.distinct()).withColumn("intptt", F.lit(CHANGE + "touch"))
         rows = rows.unionByName(rewrite.prune_contained(stored(new.drop("intptt"), "new-contacts").withColumnRenamed("pair_id", "pose_id")).withColumnRenamed("pose_id", "pair_id").withColumn("intptt", F.lit(CHANGE + "touch")))
-    rows = rewrite.merge_symmetric(rows.withColumnRenamed("pair_id", "pose_id"))
+    rows = rewrite.merge_symmetric(stored(rows, "touching").withColumnRenamed("pair_id", "pose_id"))
     return rewrite.collapse(rewrite.reverse(rows, seed=seed), seed=seed, shared=PAIR_SHARED).withColumnRenamed("pose_id", "pair_id").select("pair_id", *compose.CODE)
 
 

@@ -189,7 +189,8 @@ DIFFERENCES = ("pair_angle", "pair_distance")
 
 def pair_facts(spark, sf_dir, kinds: tuple[str, ...]) -> DataFrame:
     p = poses(spark, sf_dir)
-    ids, facts = pairs.pairs_of(p), codes.measure(p)
+    ids, behind = pairs.pairs_of(p), pairs.codes_behind(kinds)
+    facts = codes.measure(p, only=behind) if behind else None
     parts = [pairs.change(facts, ids, tuple(k for k in kinds if k in DIFFERENCES))] if set(kinds) & set(DIFFERENCES) else []
     parts += [pairs.moved(p, ids).where(F.col("kind").isin(*kinds))] if any("relativePos" in k for k in kinds) else []
     parts += [pairs.inclined(facts, p, ids)] if any("Incline" in k for k in kinds) else []

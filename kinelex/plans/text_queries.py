@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.exprs import uniform_sql
 from ..functions.stages import stored
@@ -425,7 +427,9 @@ def turns(spark, sf_dir):
 @query("q_instruct")
 def instruct(spark, sf_dir):
     p = poses(spark, sf_dir)
-    return realize.instruct(p, pairs.pairs_of(p), stored(pair_facts(spark, sf_dir, PAIR_ALL), "pair-facts"), turns(spark, sf_dir), contacts(spark, sf_dir))
+    # a plan for each way of measuring: in one, they take the driver's memory together
+    changes = [stored(pair_facts(spark, sf_dir, tuple(k for k in PAIR_ALL if way in k)), "pair-facts") for way in ("angle", "distance", "relativePos", "Incline")]
+    return realize.instruct(p, pairs.pairs_of(p), reduce(DataFrame.unionByName, changes), turns(spark, sf_dir), contacts(spark, sf_dir))
 
 
 @query("q_rotation_change")

@@ -7,10 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_DIR
 from kinelex.functions import stages
 from kinelex.llm import common
 from kinelex.operators import codes
-from kinelex.plans import catalog
+from kinelex.plans import catalog, text_queries
 
 
 def plan(df) -> str:
@@ -27,6 +28,15 @@ def test_a_long_table_in_small_files_is_not_broadcast_unasked(spark, stored):
     assert "Broadcast" in plan(other.join(F.broadcast(wide), "a")), "what is asked for is done"
 
 
+@pytest.mark.parametrize("query", ["instruct"])
+def test_no_plan_of_a_text_is_large(spark, monkeypatch, query):
+    """Plans, not rows, are what fills the driver here: in one, dozens of exchanges and their threads are held together."""
+    sizes, plain = [], stages.written
+    monkeypatch.setattr(stages, "written", lambda df, path: sizes.append(plan(df).count("Exchange")) or plain(df, path))
+    getattr(text_queries, query)(spark, SF_DIR)
+    assert len(sizes) > 8 and max(sizes) <= 24, sizes
+
+
 def test_rules_of_three_store_no_more_than_facts_and_rules(spark, monkeypatch):
     """Two of three codes often go together in all these poses, three never often enough: candidates would be hundreds of thousands."""
     r = random.Random(4)
