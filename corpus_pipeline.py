@@ -4,8 +4,8 @@ Stages read and return the columns of `documents`; the last returns the encoded
 come back unchanged, whatever their names; empty tables give empty results; very long texts are
 worked on whole; what nulls, ties and repeated rows give stands at each stage.
 
-The near-duplicate stage is that of operator 7, asked for five-word similarity of 0.8 or more, which its
-fingerprints can't find (README): `similar.py` takes their place, other stages are as dealt.
+The near-duplicate stage is asked for five-word similarity of 0.8 or more.  It begins with the classes of operator 7,
+checked exactly; MinHash bands add what its fingerprints can't reach (`similar.py`).
 """
 
 from __future__ import annotations

@@ -90,7 +90,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     many there are.  A null id is never the smallest unless its component has no other; repeated
     rows stay; an empty table gives an empty result.  Only `key` and `text` are read.
     """
-    fps = stored(fingerprints(docs, key, text), "simhash")
+    return placed(stored(fingerprints(docs, key, text), "simhash"), most)
+
+
+def placed(fps: DataFrame, most: int = 4) -> DataFrame:
+    """Stored fingerprints (id, fp) -> id, fp, component_id, as `classes` returns them."""
     firsts = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
     comp = components(links(firsts.select("fp"), most)).withColumnRenamed("node", "fp")
     named = firsts.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

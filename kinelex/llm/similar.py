@@ -1,7 +1,8 @@
-"""Near-duplicates by exact word-shingle similarity.
+"""Near-duplicates by SimHash fingerprints and exact word-shingle similarity.
 
-A text is the set of its five-word shingles.  MinHash bands only propose pairs; each pair counts
-after the Jaccard similarity of its whole shingle sets is computed.  At a similarity of 0.8 the
+A text is the set of its five-word shingles.  Operator 7 places texts in classes by their fingerprints, and each text is
+held against the first of its class.  MinHash bands propose what lies beyond 4 differing bits, as most pairs near 0.8 do.
+Both only propose; each pair counts after the Jaccard similarity of its whole shingle sets is computed.  At a similarity of 0.8 the
 bands miss a pair with probability (1 - 0.8 ** ROWS) ** BANDS, about five in a million.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from . import simhash
 from .common import ROW, fields, numbered, only, scratch, stored, surplus, unpacked, without_rows
 from .components import components
 
@@ -54,9 +56,10 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts(batches):
-        sets = [shingles(t) for t in b.column(1).to_pylist()]
+        texts = b.column(1).to_pylist()
+        sets = [shingles(t) for t in texts]
         same = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["row", "same", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([simhash.fingerprint(t) for t in texts], pa.int64())], ["row", "same", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,16 +86,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def members(docs: DataFrame, text: str = "text") -> DataFrame:
     """Numbered texts (row, text) -> row, component: rows linked by pairs of similarity LEAST or more share one.
 
-    Equal shingle sets collapse first.  Then every text is held against a leader of each of its
-    bands, which settles most groups in linear time.  Only in bands that still hold several
+    Equal shingle sets collapse first.  Then every text is held against the first of its class of
+    operator 7, and against a leader of each of its bands, which settles most groups in linear time.  Only in bands that still hold several
     components more is asked: shingles that no other text of such bands has can't be shared, so
     they bound a pair's similarity; texts that can reach nobody go, the others are held against
     the text of fewest such shingles, and last against all that the bound still allows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(ROW).alias("row"), F.col(text).cast("binary").alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches, "row long, same binary, n long, bands array<long>"), "sketches")
-    nodes = stored(sketches.groupBy("same").agg(F.min("row").alias("node"), F.min_by("n", "row").alias("n"), F.min_by("bands", "row").alias("bands")), "nodes")
+    sketches = stored(rows.mapInArrow(_sketches, "row long, same binary, n long, bands array<long>, fp long"), "sketches")
+    nodes = stored(sketches.groupBy("same").agg(F.min("row").alias("node"), F.min_by("n", "row").alias("n"), F.min_by("bands", "row").alias("bands"), F.min_by("fp", "row").alias("fp")), "nodes")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     open_keys = stored(keys.join(several, "key").select("node", "n", F.col("n").alias("reach"), "key", F.col("node").alias("component")), "bands")
@@ -115,6 +118,8 @@ def members(docs: DataFrame, text: str = "text") -> DataFrame:
         leaders = open_keys.groupBy("key").agg(x.alias("x")).select("key", "x.other", "x.m", "x.other_reach", "x.d")
         return open_keys.join(leaders, "key").where(fits)
 
+    alike = simhash.placed(nodes.select(F.col("node").alias("id"), "fp"))
+    verified(alike.where("id <> component_id").select(F.col("id").alias("node"), F.col("component_id").alias("other")))
     verified(led(F.lit(0)))
     open_nodes = stored(open_keys.select(F.col("node").alias("row")).distinct(), "open")
     sets = stored(_sets_of(open_nodes, docs, text).select(F.col("row").alias("node"), F.explode("set").alias("shingle")), "shingles")

@@ -49,3 +49,17 @@ def test_members_of_a_group_without_a_common_leader(spark):
     ws = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(i, " ".join(ws[4 * i : 4 * i + 100])) for i in range(20)], "doc_id long, text string")
     assert len({x.component for x in similar.members(fields(numbered(docs), "text")).collect()}) == 1
+
+
+def test_classes_of_operator_7_come_first_and_are_checked(spark, monkeypatch):
+    """All texts in one class: each is held against its first, and only what is similar is linked."""
+    ws = [f"w{i}" for i in range(200)]
+    texts = [" ".join(ws), " ".join([*ws[:-1], "changed"]), " ".join(ws[::-1])]
+    seen = []
+    monkeypatch.setattr(similar.simhash, "placed", lambda fps: seen.append(fps.count()) or fps.select("id", "fp", F.lit(fps.agg(F.min("id")).first()[0]).alias("component_id")))
+    docs = numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {x.row: x.doc_id for x in fields(docs, "doc_id").collect()}
+    groups: dict = {}
+    for x in similar.members(fields(docs, "text")).collect():
+        groups.setdefault(x.component, set()).add(ids[x.row])
+    assert seen == [3] and sorted(map(sorted, groups.values())) == [[0, 1], [2]]
