@@ -160,14 +160,14 @@ def describe(poses: DataFrame, contacts: DataFrame | None = None, seed: int = 0,
     that can be said together are.  simple: without merging, pruning and fusing of codes.
     """
     facts = stored(codes.measure(poses).select("pose_id", "code_id", "intptt_id"), "facts")
-    supers = codes.super_codes(facts)
+    supers = stored(codes.super_codes(facts), "supers")
     settled = codes.resolve_support(codes.eligibility(facts), supers)
     kept = stored(codes.skip(codes.with_supers(settled, supers), seed=seed).where("kept").select("pose_id", "code_id", "intptt_id", "elig"), "kept")
     if simple:
         rows = rewrite.formatted(kept).drop("code_id")
     else:
         pruned = rewrite.prune_statistical(kept, facts)
-        rows = stored(rewrite.prune_transitive(rewrite.formatted(pruned)), "pruned").drop("code_id")
+        rows = stored(rewrite.prune_transitive(stored(rewrite.formatted(pruned), "formatted")), "pruned").drop("code_id")
     if contacts is not None:
         rows = stored(rewrite.merge_contacts(rows, rewrite.prune_contained(stored(contacts, "contacts"))), "touching")
     if not simple:

@@ -28,7 +28,7 @@ def test_a_long_table_in_small_files_is_not_broadcast_unasked(spark, stored):
     assert "Broadcast" in plan(other.join(F.broadcast(wide), "a")), "what is asked for is done"
 
 
-@pytest.mark.parametrize("query", ["instruct"])
+@pytest.mark.parametrize("query", ["describe", "instruct"])
 def test_no_plan_of_a_text_is_large(spark, monkeypatch, query):
     """Plans, not rows, are what fills the driver here: in one, dozens of exchanges and their threads are held together."""
     sizes, plain = [], stages.written
