@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a stored table that may be broadcast unasked.
 FEW = 10_000
+#: Frees the shuffle files of a query as it ends.  Else they stay until the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,14 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """`df` written once as Parquet and read again, with its rows counted on the way.
+    """`df` written once as Parquet and read again, with its rows counted on the way; what it shuffled is freed.
 
     Spark would broadcast a table whose files are small, and columns of repeated values, or rows yet to be
     exploded, take a hundredth of their size in memory.  So a table of more than FEW rows asks for merge
     joins; the request holds through projections and aggregates up to the next join, and F.broadcast overrides it.
     """
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    seen, conf = Observation(), df.sparkSession.conf
+    before = conf.get(FREED, "false")
+    conf.set(FREED, "true")
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    finally:
+        conf.set(FREED, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     return table.hint("merge") if seen.get["n"] > FEW else table
 

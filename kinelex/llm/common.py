@@ -62,14 +62,6 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by an eager reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 #: Folders that go when the innermost `scratch` ends.
 _passing: list[list[str]] = []
 
