@@ -127,7 +127,7 @@ def members(docs: DataFrame, text: str = "text") -> DataFrame:
         # what only one component holds can't link it to another; texts that go may leave more of that behind
         held = sets.join(open_keys.select("node", "component").distinct(), "node")
         common = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-        reach = held.join(common, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
+        reach = stored(held.join(common, "shingle").groupBy("node").agg(F.count("*").alias("reach")), "reach")
         known = open_keys.drop("reach").join(reach, "node").where(F.col("reach") >= LEAST * F.col("n"))
         open_keys = _mixed(known.select("node", "n", "reach", "key", "component"))
     verified(led(1 - F.col("reach") / F.col("n")))
