@@ -3,21 +3,25 @@
 A 100-byte window is anchored at its least-hashed K-gram, so equal windows have equal
 anchors wherever they stand.  Windows that share an anchor and are neighbours travel as one
 piece.  Pieces equal as a whole are settled by a sort; where an anchor has several different
-pieces, one of each goes to the anchor's shard.  A shard's suffix array is induced (suffixes
-are classified, leftmost-smaller substrings named and sorted first), permuted common
-prefixes cut it into classes of equal windows, and all but each class's first window are
-repeats.  Only anchors, not texts, are shuffled to find out which pieces repeat.
+pieces, one of each goes to the anchor's shard.  The pieces of a frequent anchor are cut by where
+their windows hold it: windows of one such class have more bytes in common, and these deal them to
+shards.  Suffix arrays of bounded size are induced (suffixes are classified, leftmost-smaller
+substrings named and sorted first), permuted common prefixes cut them into classes of equal
+windows, and all but each class's first window are repeats.  Only anchors, not texts, are
+shuffled to find out which pieces repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,9 @@ from .common import stored
 
 #: Bytes of an anchoring K-gram.
 GRAM = 32
-#: Bytes of text that a task anchors at a time.
+#: Bytes of text that a task anchors at a time; positions in it fit _LOW, so of equal grams the leftmost anchors, wherever it stands.
+BLOCK = 1 << 17
+#: Bytes of text whose equal pieces a task settles by itself, and of the largest suffix array.
 SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 17) - 1)
@@ -41,7 +47,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, SLICE + (SLICE >> 1))
+            size = max(n, 2 * BLOCK)
             for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -76,9 +82,12 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Texts laid end to end in b, text i up to ends[i] -> (anchor, content hash, text, start in text, windows) of each piece."""
+    """Texts laid end to end in b, text i up to ends[i] -> (anchor, content hash, text, start in text, windows, anchor's place) of each piece.
+
+    b has at most BLOCK bytes; the place is counted from the piece's start.
+    """
     begins = np.concatenate([[0], ends[:-1]])
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     if len(b) < length:
         return none
     prefix = _prefix_hash(b)
@@ -95,7 +104,47 @@ def pieces(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ..
         return none
     stops = np.flatnonzero(whole & ~np.concatenate([whole[1:] & ~new[1:], [False]])) + 1
     h = least[starts] >> np.uint64(17)
-    return h, _span_hash(prefix, starts, stops + length - 1), text[starts], starts - begins[text[starts]], stops - starts
+    place = (least[starts] & _LOW).astype(np.int64) - starts
+    return h, _span_hash(prefix, starts, stops + length - 1), text[starts], starts - begins[text[starts]], stops - starts, place
+
+
+def blocks(texts: Iterable[bytes], length: int, most: int = BLOCK) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (number of the text, start in it, bytes) of at most `most` bytes in all; every window of a text lies in one of its parts."""
+    block: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), most - length + 1):
+            part = text[at : at + most] if len(text) > most else text
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((i, at, part))
+            size += len(part)
+    if block:
+        yield block
+
+
+def anchored_pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(anchor, content hash, text, start in text, windows, anchor's place) of the pieces of some texts, block by block."""
+    found = []
+    for block in blocks(texts, length):
+        number, begin = np.array([b[0] for b in block]), np.array([b[1] for b in block])
+        h, content, which, start, windows, place = pieces(np.frombuffer(b"".join(b[2] for b in block), np.uint8), np.cumsum([len(b[2]) for b in block]), length)
+        found.append((h, content, number[which], begin[which] + start, windows, place))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def finer(start: int, place: int, piece: bytes, length: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """A piece cut into those of its windows that hold the anchor within the same `width` places -> (key, start, place, piece) of each.
+
+    All windows of a class hold the same bytes around the anchor, of which the key is made; equal windows
+    hold it at the same place, so they have equal keys.
+    """
+    last = place - (len(piece) - length)
+    for c in range(place // width, last // width - 1, -1):
+        low, high = c * width, min(c * width + width - 1, length - GRAM)
+        skip, stop = place - min(place, high), place - max(last, low) + length
+        yield zlib.crc32(piece[place - low : place - high + length], c), start + skip, place - skip, piece[skip:stop]
 
 
 def suffix_array(t: np.ndarray, alphabet: int, depth: int) -> np.ndarray:
@@ -238,6 +287,39 @@ def repeats(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int)
     return doc[lp[run]], start[lp[run]] + lo[run], np.diff(np.concatenate([run, [len(lp)]]))
 
 
+def shard_repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray, place: np.ndarray, piece: list[bytes], length: int, width: int, most: int = SLICE) -> tuple[np.ndarray, ...]:
+    """As `repeats`, where only pieces of one key have equal windows: by suffix arrays of at most `most` bytes.
+
+    A key with more bytes of different pieces than half of that is cut into classes of `width` places, then of half as many,
+    down to single windows, which are equal as a whole.
+    """
+    content = pd.factorize(pd.Series(piece, dtype=object))[0]
+    sizes = np.array([len(x) for x in piece], np.int64)
+    by = np.lexsort((start, doc, content, key))
+    new_key = np.concatenate([[True], np.diff(key[by]) != 0]) if len(by) else np.zeros(0, bool)
+    first = new_key.copy()
+    first[1:] |= np.diff(content[by]) != 0
+    same = by[~first]
+    found = [(doc[same], start[same], sizes[same] - length + 1)]
+    group = (np.cumsum(new_key) - 1)[first]
+    by = by[first]
+    several = np.bincount(group)[group] > 1 if len(by) else first
+    by, group = by[several], np.unique(group[several], return_inverse=True)[1]
+    total = np.bincount(group, weights=sizes[by] + 1).astype(np.int64) if len(by) else np.zeros(0, np.int64)
+    large = total > most // 2 if width else np.zeros(len(total), bool)
+    for g in np.flatnonzero(large):
+        cut = [(*x, doc[i]) for i in by[group == g] for x in finer(int(start[i]), int(place[i]), piece[i], length, width)]
+        keys, starts, places, parts, docs = zip(*cut, strict=True)
+        found.append(shard_repeats(np.array(keys), np.array(docs), np.array(starts), np.array(places), list(parts), length, (width + 1) // 2 if width > 1 else 0, most))
+    small = np.where(large, 0, total)
+    batch = ((np.cumsum(small) - small) // max(1, most // 2))[group]
+    by, batch = by[~large[group]], batch[~large[group]]
+    for x in np.split(by, np.flatnonzero(np.diff(batch)) + 1):
+        if len(x):
+            found.append(repeats([piece[i] for i in x], doc[x], start[x], length))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc (the order of documents), key and text as bytes.
 
@@ -269,71 +351,80 @@ def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: s
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            doc, texts = whole.column(0).to_numpy(), whole.column(1).to_pylist()
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy().astype(np.int64))
             at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                    size += len(texts[to])
-                    to += 1
-                ends = np.cumsum([len(x) for x in texts[at:to]])
-                h, content, which, start, windows = pieces(np.frombuffer(b"".join(texts[at:to]), np.uint8), ends, length)
-                where = doc[at:to][which]
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+                part = whole.slice(at, to - at)
                 at = to
+                h, content, which, start, windows, place = anchored_pieces(part.column(1).to_pylist(), length)
+                where = part.column(0).to_numpy()[which]
                 # equal pieces of one slice: all but the first are repeats already
                 by = np.lexsort((start, where, content, h))
                 again = np.zeros(len(h), bool)
                 again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (content[by[1:]] == content[by[:-1]])
                 shard = np.where(again, where % shards, (h % np.uint64(shards)).astype(np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(h.astype(np.int64)), pa.array(content.view(np.int64)), pa.array(where), pa.array(start.astype(np.int32)), pa.array(np.where(again, -windows, windows).astype(np.int16))],
-                    ["shard", "h", "content", "doc", "start", "windows"],
-                )
+                # a batch of bounded size, however long a text is
+                columns = [shard, h.astype(np.int64), content.view(np.int64), where, start.astype(np.int32), np.where(again, -windows, windows).astype(np.int16), place.astype(np.int16)]
+                for i in range(0, len(h), SLICE // GRAM):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + SLICE // GRAM]) for x in columns], ["shard", "h", "content", "doc", "start", "windows", "place"])
 
     def settled(g: pa.Table) -> pa.Table:
-        """Repeats (h null) and pieces whose anchor has others (h set)."""
+        """Repeats (h null) and pieces whose anchor has others (h set); frequent: whether these have many bytes."""
         g = g.combine_chunks()
-        h, content, doc, start, windows = (g.column(c).to_numpy() for c in ("h", "content", "doc", "start", "windows"))
+        h, content, doc, start, windows, place = (g.column(c).to_numpy() for c in ("h", "content", "doc", "start", "windows", "place"))
         again = windows < 0
-        done = (doc[again], start[again], -windows[again])
-        h, content, doc, start, windows = (x[~again] for x in (h, content, doc, start, windows))
+        done = (doc[again], start[again], -windows[again], place[again])
+        h, content, doc, start, windows, place = (x[~again] for x in (h, content, doc, start, windows, place))
         by = np.lexsort((start, doc, content, h))
-        h, content, doc, start, windows = (x[by] for x in (h, content, doc, start, windows))
+        h, content, doc, start, windows, place = (x[by] for x in (h, content, doc, start, windows, place))
         new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
         first = new_h.copy()
         first[1:] |= content[1:] != content[:-1]
         kinds = np.bincount(np.cumsum(new_h)[first] - 1) if len(h) else np.zeros(0, int)
         several = first & (kinds[np.cumsum(new_h) - 1] > 1) if len(h) else first
         same = ~first
-        parts = [np.concatenate([a, b[same], b[several]]) for a, b in zip(done, (doc, start, windows), strict=True)]
-        anchor = pa.concat_arrays([pa.nulls(len(done[0]) + int(same.sum()), pa.int64()), pa.array(h[several])])
-        return pa.table({"h": anchor, "doc": parts[0], "start": parts[1].astype(np.int32), "windows": parts[2].astype(np.int16)})
-
-    rows = d.select("doc", "text").mapInArrow(anchored, "shard int, h long, content long, doc long, start int, windows short")
-    known = stored(rows.groupBy("shard").applyInArrow(settled, "h long, doc long, start int, windows short"), "pieces")
+        anchors = (np.cumsum(new_h) - 1)[several]
+        frequent = np.bincount(anchors, weights=windows[several] + float(length))[anchors] > shard_bytes // 8 if len(anchors) else np.zeros(0, bool)
+        parts = [np.concatenate([a, b[same], b[several]]) for a, b in zip(done, (doc, start, windows, place), strict=True)]
+        settled_now = len(done[0]) + int(same.sum())
+        anchor = pa.concat_arrays([pa.nulls(settled_now, pa.int64()), pa.array(h[several])])
+        often = np.concatenate([np.zeros(settled_now, bool), frequent])
+        return pa.table({"h": anchor, "doc": parts[0], "start": parts[1].astype(np.int32), "windows": parts[2].astype(np.int16), "place": parts[3].astype(np.int16), "frequent": often})
+
+    rows = d.select("doc", "text").mapInArrow(anchored, "shard int, h long, content long, doc long, start int, windows short, place short")
+    known = stored(rows.groupBy("shard").applyInArrow(settled, "h long, doc long, start int, windows short, place short, frequent boolean"), "pieces")
     open_pieces = known.where("h is not null")
-    size = open_pieces.agg(F.sum(F.col("windows") + length)).first()[0] or 0
+    size = open_pieces.agg(F.sum(F.when(F.col("frequent"), F.col("windows") + 4 * length).otherwise(F.col("windows") + length))).first()[0] or 0
+    width = math.ceil((length - GRAM + 1) / 4)
     parts = max(1, math.ceil(size / shard_bytes))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("place", pa.int16()), ("piece", pa.binary())])
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("shard", "doc", "start", "piece")}
-            for doc, t, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for x in found:
-                    out["shard"].append(x["h"] % parts)
-                    out["doc"].append(doc)
-                    out["start"].append(x["start"])
-                    out["piece"].append(t[x["start"] : x["start"] + x["windows"] + length - 1])
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())]))
-
-    wanted = open_pieces.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "windows")).alias("found"))
-    cut = d.select("doc", "text").join(wanted, "doc").select("doc", "text", "found").mapInArrow(cut_out, "shard int, doc long, start int, piece binary")
-
-    def sorted_shard(g: pd.DataFrame) -> pd.DataFrame:
-        doc, start, windows = repeats(g["piece"].tolist(), g["doc"].to_numpy(), g["start"].to_numpy().astype(np.int64), length)
-        return pd.DataFrame({"doc": doc, "start": start.astype(np.int32), "windows": windows.astype(np.int32)})
-
-    more = stored(cut.groupBy("shard").applyInPandas(sorted_shard, "doc long, start int, windows int"), "repeats")
+            for at in range(0, b.num_rows, 500):
+                out: dict[str, list] = {k: [] for k in schema.names}
+                for doc, t, found in zip(*(b.column(i).slice(at, 500).to_pylist() for i in range(3)), strict=True):
+                    for x in found:
+                        h, piece = x["h"], t[x["start"] : x["start"] + x["windows"] + length - 1]
+                        for key, start, place, part in finer(x["start"], x["place"], piece, length, width) if x["frequent"] else [(0, x["start"], x["place"], piece)]:
+                            out["shard"].append((h ^ key) % parts)
+                            out["key"].append(h ^ key)
+                            out["doc"].append(doc)
+                            out["start"].append(start)
+                            out["place"].append(place)
+                            out["piece"].append(part)
+                yield pa.RecordBatch.from_pydict(out, schema)
+
+    wanted = open_pieces.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "windows", "place", "frequent")).alias("found"))
+    cut = d.select("doc", "text").join(wanted, "doc").select("doc", "text", "found").mapInArrow(cut_out, "shard int, key long, doc long, start int, place short, piece binary")
+
+    def sorted_shard(g: pa.Table) -> pa.Table:
+        key, doc, start, place = (g.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "place"))
+        doc, start, windows = shard_repeats(key, doc, start, place, g.column("piece").to_pylist(), length, width)
+        return pa.table({"doc": doc, "start": start.astype(np.int32), "windows": windows.astype(np.int32)})
+
+    more = stored(cut.groupBy("shard").applyInArrow(sorted_shard, "doc long, start int, windows int"), "repeats")
     runs = known.where("h is null").select("doc", "start", F.col("windows").cast("int")).union(more)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
