@@ -32,7 +32,7 @@ def test_draws_are_the_first_digits_of_md5(monkeypatch, at_once):
 
 
 def test_no_row_is_made_for_a_draw(spark, tmp_path, monkeypatch):
-    """A draw that took a row, a text and a digest of its own took microseconds, and there are ten for each two rows of a label."""
+    """A draw that takes a row, a text and a digest of its own takes about a microsecond, and there are ten for each two rows of a label."""
     table(tmp_path, 400, 2)
     made, plain = [], stages.written
     monkeypatch.setattr(stages, "written", lambda df, path: made.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, path))
